@@ -6,7 +6,7 @@ import importlib
 
 from nazar.plans.registry import REGISTRY, Query
 
-_MODULES = ["q_labels"]
+_MODULES = ["q_labels", "q_text"]
 
 
 def all_queries() -> dict[str, Query]:

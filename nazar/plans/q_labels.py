@@ -61,7 +61,7 @@ def q_avg_reviews(spark, sf):
 # ------------------------------------------------------------------ E1–E8
 
 @query("label_candidates", "E1", """
-SELECT id, app_name, length(comment) AS n_chars FROM reviews WHERE comment IS NOT NULL AND length(comment) > 10
+SELECT id, app_name, CAST(length(comment) AS INTEGER) AS n_chars FROM reviews WHERE comment IS NOT NULL AND length(comment) > 10
 """, ("reviews",))
 def q_label_candidates(spark, sf):
     return L.label_candidates(X.reviews(spark, sf)).select("id", "app_name", F.length("comment").alias("n_chars"))

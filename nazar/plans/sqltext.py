@@ -87,3 +87,51 @@ def remove_stopwords(e: str, stopwords) -> str:
         return e
     arr = "[" + ", ".join(lit(w) for w in sw) + "]"
     return f"list_filter({e}, lambda t: NOT list_contains({arr}, lower(t)))"
+
+
+def strip_suffixes(e: str, suffixes, min_stem: int = 2) -> str:
+    import re as _re
+    sfx = sorted(set(x for x in suffixes if x), key=lambda x: (-len(x), x))
+    if not sfx:
+        return e
+    pat = f"^(.{{{min_stem},}}?)(?:{'|'.join(_re.escape(x) for x in sfx)})$"
+    return f"list_transform({e}, lambda t: regexp_replace(t, {lit(pat)}, '\\1'))"
+
+
+def lemmatize(e: str, lemmas) -> str:
+    if not lemmas:
+        return e
+    case = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in lemmas)
+    return f"list_transform({e}, lambda t: CASE t {case} ELSE t END)"
+
+
+def tokens_from_cleaned(e: str, stopwords=(), stem_suffixes=None, lemmas=None) -> str:
+    t = tokenize(e)
+    if stopwords:
+        t = remove_stopwords(t, stopwords)
+    if lemmas:
+        t = lemmatize(t, lemmas)
+    elif stem_suffixes:
+        t = strip_suffixes(t, stem_suffixes)
+    return t
+
+
+def join_tokens(e: str) -> str:
+    return f"array_to_string({e}, ' ')"
+
+
+def versions_sql(src: str, text: str, id_col: str, stopwords, suffixes, lemmas, emoji_map,
+                 min_len: int = 10, keep=()) -> str:
+    """The four stacked preprocessing versions (mirror of operators.cleaning.versions)."""
+    k = "".join(f"{c}, " for c in keep)
+    base = (f"SELECT {id_col}, {k}{clean_text(text, 'light', emoji_map)} AS _l, "
+            f"{clean_text(text, 'medium', emoji_map)} AS _m, {clean_text(text, 'heavy', emoji_map)} AS _h FROM {src}")
+    med = join_tokens(tokens_from_cleaned("_m", stopwords))
+    stem = join_tokens(tokens_from_cleaned("_h", stopwords, stem_suffixes=suffixes))
+    lem = join_tokens(tokens_from_cleaned("_h", stopwords, lemmas=lemmas))
+    parts = [f"SELECT {id_col}, {k}'light' AS version, _l AS comment_cleaned, _l AS comment_processed, "
+             f"length(_l) > 0 AS kept FROM b"]
+    for v, cl, pr in (("medium", "_m", med), ("heavy_stem", "_h", stem), ("heavy_lemma", "_h", lem)):
+        parts.append(f"SELECT {id_col}, {k}'{v}' AS version, {cl} AS comment_cleaned, p AS comment_processed, "
+                     f"length({cl}) > 0 AND length(p) >= {min_len} AS kept FROM (SELECT *, {pr} AS p FROM b)")
+    return f"WITH b AS ({base}) " + " UNION ALL ".join(parts)

@@ -50,6 +50,20 @@ def _digest(cols, rows):
     return hashlib.sha256("\n".join(keyed).encode()).hexdigest(), keyed
 
 
+_SPARK2DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+               "BooleanType": "BOOLEAN", "DateType": "DATE", "FloatType": "FLOAT", "ShortType": "SMALLINT",
+               "ByteType": "TINYINT", "TimestampNTZType": "TIMESTAMP", "TimestampType": "TIMESTAMP WITH TIME ZONE"}
+
+
+def spark_type_name(dt_) -> str:
+    n = type(dt_).__name__
+    if n == "ArrayType":
+        return spark_type_name(dt_.elementType) + "[]"
+    if n == "DecimalType":
+        return f"DECIMAL({dt_.precision},{dt_.scale})"
+    return _SPARK2DUCK.get(n, n)
+
+
 def compare(spark, sf_dir: str, q, con=None, verbose: bool = False) -> dict:
     con = con or duck(sf_dir)
     t0 = time.time()
@@ -68,6 +82,9 @@ def compare(spark, sf_dir: str, q, con=None, verbose: bool = False) -> dict:
     if sorted(scols) != sorted(dcols):
         res["status"] = f"COLUMNS {sorted(scols)} vs {sorted(dcols)}"
         return res
+    stypes = {f.name: spark_type_name(f.dataType) for f in sdf.schema.fields}
+    dtypes = {c: str(t) for c, t in zip(dcols, rel.types)}
+    tdiff = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
     hs, ks = _digest(scols, srows)
     hd, kd = _digest(dcols, drows)
     if len(srows) != len(drows):
@@ -76,6 +93,8 @@ def compare(spark, sf_dir: str, q, con=None, verbose: bool = False) -> dict:
         res["status"] = "VALUES"
     else:
         res["status"] = "ok"
+    if tdiff:
+        res["types"] = tdiff
     if res["status"] != "ok" and verbose:
         diff_s = [k for k in ks if k not in set(kd)][:3]
         diff_d = [k for k in kd if k not in set(ks)][:3]

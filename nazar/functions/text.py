@@ -199,16 +199,26 @@ def analyze(c, min_len: int = 2, max_len: int = 20) -> Column:
 
 
 def word_ngrams(tokens, n: int) -> Column:
-    """space-joined word n-grams of a token array."""
+    """space-joined word n-grams of a token array column (a column
+    reference: the lambda would re-evaluate a captured expression per gram)."""
     t = _c(tokens)
     grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
                         lambda i: F.array_join(F.slice(t, i, n), " "))
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def char_ngrams(c, n: int) -> Column:
-    """character n-grams of a string (lower-cased, whitespace runs collapsed)."""
-    s = F.lower(_rx(c, P.WS + "+", " "))
+def normalize_for_char_ngrams(c) -> Column:
+    """Lower-case, runs of 2+ whitespace → one space (character n-gram analyzer)."""
+    return F.lower(_rx(c, P.WS + "{2,}", " "))
+
+
+def char_ngrams(s, n: int) -> Column:
+    """character n-grams of an already normalised string column.
+
+    ``s`` must be a column reference (materialise it with a select first):
+    a lambda re-evaluates any expression it captures once per position.
+    """
+    s = _c(s)
     grams = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
     return F.when(F.length(s) >= n, grams).otherwise(F.array().cast("array<string>"))
 

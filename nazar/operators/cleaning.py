@@ -183,7 +183,8 @@ def cleaning_stats(df: DataFrame, text_col: str = "comment", level: str = "mediu
 
 def explode_tokens(df: DataFrame, tokens_col: str = "tokens", id_col: str = "id") -> DataFrame:
     """(id, pos, token) — the inverted-index friendly layout."""
-    return df.select(F.col(id_col), F.posexplode(tokens_col).alias("pos", "token"))
+    out = df.select(F.col(id_col), F.posexplode_outer(tokens_col).alias("pos", "token"))
+    return out.filter(F.col("pos").isNotNull())  # outer form: see tfidf.term_frequencies
 
 
 def remove_stopwords_long(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:

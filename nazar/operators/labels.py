@@ -243,7 +243,8 @@ def top_words_by_label(df: DataFrame, k: int = 10, text_col: str = "comment",
     (label, word); the ranking window is partitioned by label over the
     *aggregated* counts only.
     """
-    words = df.select(label_col, F.explode(T.words(F.lower(F.col(text_col)))).alias("word"))
+    words = (df.select(label_col, F.explode_outer(T.words(F.lower(F.col(text_col)))).alias("word"))
+             .filter(F.col("word").isNotNull()))
     c = words.groupBy(label_col, "word").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy(label_col).orderBy(F.col("n").desc(), F.col("word"))
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

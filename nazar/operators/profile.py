@@ -78,7 +78,7 @@ def word_histogram(df: DataFrame, text_col: str = "comment", bins: int = 30, gro
 def top_words(df: DataFrame, n: int = 20, text_col: str = "comment") -> DataFrame:
     """N most frequent lower-cased words (ties: word asc); partial
     aggregation on the exploded stream, then an ordered limit."""
-    w = df.select(F.explode(T.words(F.lower(F.col(text_col)))).alias("word"))
+    w = df.select(F.explode_outer(T.words(F.lower(F.col(text_col)))).alias("word")).filter(F.col("word").isNotNull())
     c = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return c.orderBy(F.col("n").desc(), F.col("word")).limit(n)
 

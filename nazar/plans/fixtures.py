@@ -46,7 +46,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- Spark side
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    from nazar.session import spread
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
     return d.select(
         d.doc_id.alias("id"),
         d.source.alias("app_name"),

@@ -74,3 +74,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
         return F.broadcast(df)
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    Small inputs (a few row groups) otherwise run CPU-heavy text work in one
+    task; on large inputs the scan already has thousands of splits and this is
+    a no-op, so no shuffle is added at scale.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df

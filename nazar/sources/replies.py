@@ -40,7 +40,8 @@ def flatten_review_reply(replies: DataFrame, json_col: str = "json", app_package
     scraped_at = scraped_at if scraped_at is not None else F.current_timestamp()
     p = replies.select(F.col(app_package_col).alias("app_package"), F.col(app_name_col).alias("app_name"),
                        F.from_json(F.col(json_col), REPLY_SCHEMA).alias("r"))
-    rv = p.select("app_package", "app_name", F.explode("r.singleReply.reviewReply.reviews").alias("v"))
+    rv = (p.select("app_package", "app_name", F.explode_outer("r.singleReply.reviewReply.reviews").alias("v"))
+          .filter(F.col("v").isNotNull()))
     return rv.select(
         F.col("v.id").alias("id"), "app_package", "app_name", F.col("v.user").alias("user"),
         F.col("v.comment").alias("comment"), F.col("v.rate").alias("rating"),

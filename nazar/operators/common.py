@@ -46,7 +46,7 @@ def class_table(spark, classes: list[int], name: str = "cls") -> DataFrame:
 
 
 def cumulative_below(groups: DataFrame, part_cols: list[str], order_col: str, sum_cols: list[str],
-                     buckets: int = 64) -> DataFrame:
+                     buckets: int = 64, tiebreak: list[str] | None = None, bucket_col: str | None = None) -> DataFrame:
     """Exclusive running sums of ``sum_cols`` in ascending ``order_col`` within each
     ``part_cols`` group (columns ``<c>_below``), without a one-task window.
 
@@ -59,16 +59,18 @@ def cumulative_below(groups: DataFrame, part_cols: list[str], order_col: str, su
     exact.
     """
     probs = [i / buckets for i in range(1, buckets)]
+    bcol = bucket_col or order_col  # numeric, monotone with the order
     bounds = groups.groupBy(*part_cols).agg(
-        F.percentile_approx(order_col, probs, 10000).alias("_bounds"))
+        F.percentile_approx(bcol, probs, 10000).alias("_bounds"))
     # one row per part: bounded by the number of parts (classes, pairs)
     g = groups.join(F.broadcast(bounds), part_cols)
-    g = g.withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col(order_col)))).drop("_bounds")
+    g = g.withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col(bcol)))).drop("_bounds")
     tot = g.groupBy(*part_cols, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = W.partitionBy(*part_cols).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     off = tot.select(*part_cols, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
                                          for c in sum_cols])
-    w_loc = W.partitionBy(*part_cols, "_b").orderBy(order_col).rowsBetween(W.unboundedPreceding, -1)
+    w_loc = W.partitionBy(*part_cols, "_b").orderBy(order_col, *(tiebreak or [])) \
+             .rowsBetween(W.unboundedPreceding, -1)
     loc = g.select("*", *[F.coalesce(F.sum(c).over(w_loc), F.lit(0)).alias(f"_l_{c}") for c in sum_cols])
     out = loc.join(F.broadcast(off), part_cols + ["_b"])
     return out.select(*groups.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}_below") for c in sum_cols])

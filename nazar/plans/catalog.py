@@ -6,7 +6,7 @@ import importlib
 
 from nazar.plans.registry import REGISTRY, Query
 
-_MODULES = ["q_labels", "q_text", "q_features", "q_metrics", "q_errors", "q_vectors"]
+_MODULES = ["q_labels", "q_text", "q_features", "q_metrics", "q_errors", "q_vectors", "q_ensemble", "q_sources", "q_models"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -156,7 +156,7 @@ def q_confidence_bands(spark, sf):
     return E.confidence_bands(preds(spark, sf))
 
 
-_EDGES = "[" + ", ".join(repr(x) for x in E.CALIBRATION_BINS) + "]"
+_EDGES = "CAST([" + ", ".join(repr(x) for x in E.CALIBRATION_BINS) + "] AS DOUBLE[])"
 CAL_SQL = f"""{F_CTE},
 b AS (SELECT {bucket_sql('confidence', E.CALIBRATION_BINS)} AS bin, confidence, CAST(argmax = y_true AS DOUBLE) AS hit FROM f),
 cal AS (SELECT CAST(bin AS INTEGER) AS bin, avg(confidence) AS avg_confidence, avg(hit) AS accuracy, count(*) AS count

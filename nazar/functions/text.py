@@ -60,8 +60,13 @@ def convert_emojis(c, emoji_map: Sequence[tuple[str, str]]) -> Column:
 
     One ``aggregate`` over a literal array of (emoji, text) pairs; the replace
     only runs when the emoji is present, exactly like the sequential original.
+    A single ``rlike`` over all mapped emoji lets rows without any skip the loop.
     """
-    return convert_emojis_counted(c, emoji_map).getField("text")
+    if not emoji_map:
+        return _c(c)
+    import re as _re
+    any_emoji = "|".join(_re.escape(e) for e, _ in emoji_map)
+    return F.when(_c(c).rlike(any_emoji), convert_emojis_counted(c, emoji_map).getField("text")).otherwise(_c(c))
 
 
 def convert_emojis_counted(c, emoji_map: Sequence[tuple[str, str]]) -> Column:
@@ -126,15 +131,9 @@ def normalize_persian(c, digits: str = "ascii", diacritics: bool = True) -> Colu
 LEVELS = ("light", "medium", "heavy")
 
 
-def clean_text(c, level: str = "medium", emoji_map: Sequence[tuple[str, str]] | None = None,
-               drop_emojis: bool = False, digits: str = "ascii") -> Column:
-    """C14: ordered composition of C1–C12 for a cleaning level.
-
-    Null or blank input gives ''.  Order: whitespace; (medium/heavy) urls,
-    emails, phones, mentions/hashtags; (heavy) English letters; emoji
-    (convert, or remove); Persian normalisation; repeated punctuation;
-    whitespace.
-    """
+def clean_prefix(c, level: str = "medium") -> Column:
+    """C14, first part: whitespace, then (medium/heavy) urls, emails, phones, mentions/hashtags,
+    then (heavy) English letters.  medium and heavy share everything but the last step."""
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
     x = normalize_whitespace(c)
@@ -142,14 +141,30 @@ def clean_text(c, level: str = "medium", emoji_map: Sequence[tuple[str, str]] |
         x = remove_mentions_hashtags(remove_phones(remove_emails(remove_urls(x))))
     if level == "heavy":
         x = remove_english(x)
+    return x
+
+
+def clean_finish(x, emoji_map: Sequence[tuple[str, str]] | None = None, drop_emojis: bool = False,
+                 digits: str = "ascii") -> Column:
+    """C14, second part: emoji (convert or remove), Persian normalisation,
+    repeated punctuation, whitespace; null becomes ''."""
     if drop_emojis:
         x = remove_emojis(x)
     elif emoji_map:
         x = convert_emojis(x, emoji_map)
-    x = normalize_persian(x, digits)
-    x = normalize_whitespace(clean_punctuation(x))
-    blank = _c(c).isNull() | (F.length(py_strip(c)) == 0)
-    return F.when(blank, F.lit("")).otherwise(x)
+    x = normalize_whitespace(clean_punctuation(normalize_persian(x, digits)))
+    return F.coalesce(x, F.lit(""))
+
+
+def clean_text(c, level: str = "medium", emoji_map: Sequence[tuple[str, str]] | None = None,
+               drop_emojis: bool = False, digits: str = "ascii") -> Column:
+    """C14: ordered composition of C1–C12 for a cleaning level.
+
+    Null or blank input gives '' (a whitespace-only text normalises to '' and
+    stays empty through every later rule, so no separate blank test is needed,
+    which keeps the chain free of conditionals for common-subexpression reuse).
+    """
+    return clean_finish(clean_prefix(c, level), emoji_map, drop_emojis, digits)
 
 
 # ---------------------------------------------------------------- tokens

@@ -103,11 +103,13 @@ def versions(df: DataFrame, text_col: str = "comment", id_col: str = "id",
     no data is re-read per version.  ``kept`` applies each version's filter.
     """
     t = F.col(text_col)
-    light = T.clean_text(t, "light", emoji_map)
-    medium = T.clean_text(t, "medium", emoji_map)
-    heavy = T.clean_text(t, "heavy", emoji_map)
-    base = df.select(F.col(id_col), *[F.col(k) for k in keep],
-                     light.alias("_l"), medium.alias("_m"), heavy.alias("_h"))
+    # shared prefix (whitespace → urls → emails → phones → mentions) materialised once
+    pre = df.select(F.col(id_col), *[F.col(k) for k in keep], T.normalize_whitespace(t).alias("_w"))
+    pre = pre.withColumn("_p", T.remove_mentions_hashtags(T.remove_phones(T.remove_emails(T.remove_urls(F.col("_w"))))))
+    base = pre.select(F.col(id_col), *[F.col(k) for k in keep],
+                      T.clean_finish(F.col("_w"), emoji_map).alias("_l"),
+                      T.clean_finish(F.col("_p"), emoji_map).alias("_m"),
+                      T.clean_finish(T.remove_english(F.col("_p")), emoji_map).alias("_h"))
     med_p = F.array_join(_tokens_from_cleaned(F.col("_m"), stopwords), " ")
     stem_p = F.array_join(_tokens_from_cleaned(F.col("_h"), stopwords, stem_suffixes=suffixes), " ")
     lem_p = F.array_join(_tokens_from_cleaned(F.col("_h"), stopwords, lemmas=lemmas), " ")

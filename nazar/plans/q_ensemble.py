@@ -61,8 +61,8 @@ def q_class_weights(spark, sf):
 # ---------------------------------------------------------------- M
 
 PRED_CTE = f"""p AS (SELECT * FROM predictions WHERE model IN ({", ".join(f"'{m}'" for m in MODELS)})),
-full AS (SELECT id FROM p GROUP BY id HAVING count(DISTINCT model) = {len(MODELS)}),
-a AS (SELECT p.* FROM p JOIN full USING (id)),
+complete_ids AS (SELECT id FROM p GROUP BY id HAVING count(DISTINCT model) = {len(MODELS)}),
+a AS (SELECT p.* FROM p JOIN complete_ids USING (id)),
 cp AS (SELECT id, model, y_true, unnest(proba) AS p, unnest(range(0, len(proba))) AS cls FROM a)"""
 
 

@@ -258,3 +258,11 @@ def q_threshold_gate(spark, sf):
         one = s.select(F.lit(name).alias("metric"), rnd(F.col(col), 9).alias("value"))
         rows = one if rows is None else rows.unionByName(one)
     return M.threshold_gate(rows, LX.PERFORMANCE_THRESHOLDS)
+
+
+@query("cohen_kappa", "K8", f"""WITH {CM_SQL},
+a AS (SELECT CAST(sum(t) AS DOUBLE) AS nn, CAST(sum(tp) AS DOUBLE) AS dd, sum(t * p) AS stp FROM prf2)
+SELECT {rnd_sql('CASE WHEN stp / (nn * nn) <> 1 THEN (dd / nn - stp / (nn * nn)) / (1 - stp / (nn * nn)) ELSE 0.0 END', 9)} AS cohen_kappa
+FROM a""", ("predictions",))
+def q_cohen_kappa(spark, sf):
+    return M.summary_metrics(_cm(spark, sf)).select(rnd(F.col("cohen_kappa"), 9).alias("cohen_kappa"))

@@ -92,7 +92,12 @@ def q_load_stopwords(spark, sf):
     return FS.load_stopwords(spark, path, LX.CUSTOM_STOPWORDS)
 
 
-@query("write_versions", "A6")
+def _versions_count_sql():
+    from nazar.plans.q_text import versions_cte
+    return f"WITH v AS ({versions_cte()}) SELECT version, count(*) AS n FROM v WHERE kept GROUP BY version"
+
+
+@query("write_versions", "A6", _versions_count_sql(), ("reviews",))
 def q_write_versions(spark, sf):
     from nazar.plans.q_text import versions_df
     path = FS.scratch_path(spark, "versions_parquet")

@@ -34,14 +34,20 @@ REPLY_SCHEMA = T.StructType([
 
 
 def flatten_review_reply(replies: DataFrame, json_col: str = "json", app_package_col: str = "app_package",
-                         app_name_col: str = "app_name", scraped_at: Column | None = None) -> DataFrame:
+                         app_name_col: str = "app_name", scraped_at: Column | None = None,
+                         time_col: str | None = None) -> DataFrame:
     """A3: one row per review of every reply document, 13 columns, defaults for
-    missing keys (likes/total 0, flags false)."""
-    scraped_at = scraped_at if scraped_at is not None else F.current_timestamp()
+    missing keys (likes/total 0, flags false).  ``scraped_at`` is a literal
+    timestamp, or the document's ``time_col``, or the current time."""
+    keep = [F.col(time_col).alias("_t")] if time_col else []
     p = replies.select(F.col(app_package_col).alias("app_package"), F.col(app_name_col).alias("app_name"),
-                       F.from_json(F.col(json_col), REPLY_SCHEMA).alias("r"))
-    rv = (p.select("app_package", "app_name", F.explode_outer("r.singleReply.reviewReply.reviews").alias("v"))
+                       F.from_json(F.col(json_col), REPLY_SCHEMA).alias("r"), *keep)
+    rv = (p.select("app_package", "app_name", *(["_t"] if time_col else []),
+                   F.explode_outer("r.singleReply.reviewReply.reviews").alias("v"))
           .filter(F.col("v").isNotNull()))
+    if time_col:
+        scraped_at = F.col("_t")
+    scraped_at = scraped_at if scraped_at is not None else F.current_timestamp()
     return rv.select(
         F.col("v.id").alias("id"), "app_package", "app_name", F.col("v.user").alias("user"),
         F.col("v.comment").alias("comment"), F.col("v.rate").alias("rating"),

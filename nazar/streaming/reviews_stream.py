@@ -30,7 +30,7 @@ def review_stream(spark: SparkSession, path: str, level: str = "medium", max_fil
 
 def _flatten_with_time(raw: DataFrame) -> DataFrame:
     # keep the document's event time as the review's scrape time (the watermark column)
-    return flatten_review_reply(raw, scraped_at=F.col("event_time")) if "event_time" in raw.columns else raw
+    return flatten_review_reply(raw, time_col="event_time")
 
 
 def deduplicated(reviews: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -38,7 +38,8 @@ def deduplicated(reviews: DataFrame, delay: str = "1 day") -> DataFrame:
     return reviews.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def daily_label_counts(labelled: DataFrame, label_col: str = "sentiment_label", delay: str = "1 day") -> DataFrame:
-    """1-day tumbling-window counts per label; late rows beyond the watermark are dropped."""
-    w = labelled.withWatermark("scraped_at", delay)
+def daily_label_counts(labelled: DataFrame, label_col: str = "sentiment_label", delay: str | None = None) -> DataFrame:
+    """1-day tumbling-window counts per label; late rows beyond the watermark are
+    dropped.  The watermark is the upstream one (``deduplicated``) unless ``delay`` is given."""
+    w = labelled.withWatermark("scraped_at", delay) if delay else labelled
     return w.groupBy(F.window("scraped_at", "1 day").alias("day"), F.col(label_col)).agg(F.count(F.lit(1)).alias("n"))

@@ -21,6 +21,7 @@ from nazar.functions.mathx import rnd
 from nazar.session import BROADCAST_ROW_LIMIT, broadcast_if_small
 
 REFERENCE_LIMIT = 20_000  # rows of a broadcast reference block (size-checked)
+MAX_PROBES = 1_000  # query vectors carried to every vocabulary row by most_similar
 
 
 # ---------------------------------------------------------------- array helpers
@@ -103,7 +104,7 @@ def most_frequent_words(docs: DataFrame, tokens_col: str = "tokens", top: int =
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.col("freq").desc(), "word").limit(top)
 
 
-def _probe_column(queries: DataFrame, limit: int = 10_000) -> Column:
+def _probe_column(queries: DataFrame, limit: int = MAX_PROBES) -> Column:
     """The (bounded) query set as one array column via a scalar subquery."""
     q = queries.limit(limit)  # the query list is a parameter; its size is checked by the caller
     return q.agg(F.collect_list(F.struct(F.col("qword"), F.col("qvec")))).scalar()
@@ -118,9 +119,9 @@ def most_similar(vectors: DataFrame, queries: DataFrame, topn: int = 10, exclude
     query is a row_number filter that Spark evaluates with a per-partition
     group limit before the shuffle (WindowGroupLimit).
     """
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("query set too large for a broadcast probe list")
+    n = queries.limit(MAX_PROBES + 1).count()
+    if n > MAX_PROBES:
+        raise ValueError(f"more than {MAX_PROBES} query vectors: the fan-out is vocabulary × queries")
     v = with_unit(vectors.select("word", "vec"), "vec", "_u").select("word", "_u")
     probes = _probe_column(with_unit(queries.select("qword", "qvec"), "qvec", "_q").select("qword", F.col("_q").alias("qvec")))
     x = v.select("word", "_u", F.inline(probes))

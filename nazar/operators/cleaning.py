@@ -148,37 +148,40 @@ def cleaning_stats(df: DataFrame, text_col: str = "comment", level: str = "mediu
     the previous one, as in the cleaning order.
     """
     t = F.col(text_col)
-    blank = t.isNull() | (F.length(T.py_strip(t)) == 0)
-    x0 = T.normalize_whitespace(t)
-    x1 = T.remove_urls(x0)
-    x2 = T.remove_emails(x1)
-    x3 = T.remove_phones(x2)
-    x4 = T.remove_mentions_hashtags(x3)
+    # every stage is materialised as a column, so no rule runs twice
+    st = df.select(t.alias("_t"), (t.isNull() | (F.length(T.py_strip(t)) == 0)).alias("_blank"),
+                   T.normalize_whitespace(t).alias("_x0"))
+    st = st.withColumn("_x1", T.remove_urls(F.col("_x0"))).withColumn("_x2", T.remove_emails(F.col("_x1"))) \
+           .withColumn("_x3", T.remove_phones(F.col("_x2")))
+    st = st.withColumn("_x4", T.remove_mentions_hashtags(F.col("_x3")) if level != "light" else F.col("_x0"))
     if level == "heavy":
-        x4 = T.remove_english(x4)
-    conv = T.convert_emojis_counted(x4 if level != "light" else x0, emoji_map)
-    cleaned = T.clean_text(t, level, emoji_map)
-    toks = T.tokenize(cleaned)
-    kept = T.remove_stopwords(toks, stopwords)
-    stemmed = T.strip_suffixes(kept, suffixes)
-    n_changed = F.size(F.filter(F.arrays_zip(kept.alias("a"), stemmed.alias("b")), lambda z: z["a"] != z["b"]))
+        st = st.withColumn("_x4", T.remove_english(F.col("_x4")))
+    st = st.withColumn("_conv", T.convert_emojis_counted(F.col("_x4"), emoji_map))
+    st = st.withColumn("_clean", T.clean_finish(F.col("_x4"), emoji_map))
+    st = st.withColumn("_toks", T.tokenize(F.col("_clean")))
+    st = st.withColumn("_kept", T.remove_stopwords(F.col("_toks"), stopwords))
+    st = st.withColumn("_stem", T.strip_suffixes(F.col("_kept"), suffixes))
+    blank = F.col("_blank")
+    n_changed = F.size(F.filter(F.arrays_zip(F.col("_kept").alias("a"), F.col("_stem").alias("b")),
+                                lambda z: z["a"] != z["b"]))
 
     def changed(a, b):
         return F.sum(F.when(~blank & (F.length(a) != F.length(b)), 1).otherwise(0)).cast("bigint")
 
     aggs = [F.count(F.lit(1)).alias("n_texts")]
     if level in ("medium", "heavy"):
-        aggs += [changed(x0, x1).alias("removed_urls"), changed(x1, x2).alias("removed_emails"),
-                 changed(x2, x3).alias("removed_phone_numbers")]
+        aggs += [changed(F.col("_x0"), F.col("_x1")).alias("removed_urls"),
+                 changed(F.col("_x1"), F.col("_x2")).alias("removed_emails"),
+                 changed(F.col("_x2"), F.col("_x3")).alias("removed_phone_numbers")]
     else:
         aggs += [F.lit(0).cast("bigint").alias(c) for c in ("removed_urls", "removed_emails", "removed_phone_numbers")]
     aggs += [
-        F.sum(F.when(~blank, conv["n_emoji"]).otherwise(0)).cast("bigint").alias("converted_emojis"),
-        F.sum(F.when(~blank & (cleaned != t), 1).otherwise(0)).cast("bigint").alias("processed_texts"),
-        F.sum(F.when(~blank, F.size(toks) - F.size(kept)).otherwise(0)).cast("bigint").alias("removed_stopwords"),
+        F.sum(F.when(~blank, F.col("_conv")["n_emoji"]).otherwise(0)).cast("bigint").alias("converted_emojis"),
+        F.sum(F.when(~blank & (F.col("_clean") != F.col("_t")), 1).otherwise(0)).cast("bigint").alias("processed_texts"),
+        F.sum(F.when(~blank, F.size("_toks") - F.size("_kept")).otherwise(0)).cast("bigint").alias("removed_stopwords"),
         F.sum(F.when(~blank, n_changed).otherwise(0)).cast("bigint").alias("stemmed_words"),
     ]
-    return df.agg(*aggs)
+    return st.agg(*aggs)
 
 
 # ---------------------------------------------------------------- long form

@@ -168,7 +168,8 @@ def sample_ids(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> Dat
     return df.select(id_col).distinct().withColumn("_k", key).orderBy("_k").limit(n).drop("_k")
 
 
-def doc_similarity(weights: DataFrame, targets: DataFrame, id_col: str = "id", sample_bound: int | None = None) -> DataFrame:
+def doc_similarity(weights: DataFrame, targets: DataFrame, id_col: str = "id", n_targets: int | None = None,
+                   max_terms: int = 10000) -> DataFrame:
     """cosine of every document against a bounded set of target documents.
 
     ``targets`` is a small id set (e.g. ``sample_ids``); its rows are broadcast
@@ -176,10 +177,13 @@ def doc_similarity(weights: DataFrame, targets: DataFrame, id_col: str = "id", s
     rows per term — the fan-out is bounded by the target set, never by the
     number of documents sharing a term.  Weights are L2-normalised, so the dot
     product is the cosine.  Pairs without a shared term (cosine 0) are absent.
+    ``n_targets`` (e.g. the sample size) bounds the broadcast side without a
+    counting job.
     """
     t = weights.join(targets.select(id_col), id_col).select(
         F.col(id_col).alias("id_b"), "term", F.col("weight").alias("w_b"))
-    t = broadcast_if_small(t, known_bound=None)
+    # rows of the target side ≤ targets × vocabulary size: a structural bound when known
+    t = broadcast_if_small(t, known_bound=n_targets * max_terms if n_targets else None)
     j = weights.select(F.col(id_col).alias("id_a"), "term", F.col("weight").alias("w_a")).join(t, "term")
     return (j.filter(F.col("id_a") != F.col("id_b"))
              .groupBy("id_a", "id_b").agg(rnd(F.sum(F.col("w_a") * F.col("w_b")), 6).alias("cosine")))

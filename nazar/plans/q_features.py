@@ -194,7 +194,7 @@ FROM weights a JOIN t ON a.term = t.term WHERE a.id <> t.id_b GROUP BY a.id, t.i
        ("reviews",))
 def q_doc_similarity(spark, sf):
     docs, _, w = fitted(spark, sf)
-    return TF.doc_similarity(w, TF.sample_ids(docs, SIM_SAMPLE))
+    return TF.doc_similarity(w, TF.sample_ids(docs, SIM_SAMPLE), n_targets=SIM_SAMPLE)
 
 
 # ---------------------------------------------------------------- F14–F18

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nazar.functions import lexicons as LX
 from nazar.functions import text as T
-from nazar.session import broadcast_if_small
+from nazar.session import broadcast_if_small, broadcast_lexicon
 
 
 # ---------------------------------------------------------------- array form
@@ -195,13 +195,13 @@ def explode_tokens(df: DataFrame, tokens_col: str = "tokens", id_col: str = "id"
 def remove_stopwords_long(tokens: DataFrame, stopwords: DataFrame) -> DataFrame:
     """C17 (long form): anti join with a stopword table, case-folded; the
     lexicon side is broadcast after a size check."""
-    sw = broadcast_if_small(stopwords.select(F.lower(F.col("word")).alias("_w")).distinct())
+    sw = broadcast_lexicon(stopwords.select(F.lower(F.col("word")).alias("_w")).distinct())
     return tokens.join(sw, F.lower(tokens.token) == sw._w, "left_anti")
 
 
 def lemmatize_tokens(tokens: DataFrame, lemma_table: DataFrame) -> DataFrame:
     """C19 (long form): left join to (form, lemma), identity when absent."""
-    lt = broadcast_if_small(lemma_table.select(F.col("form").alias("_f"), F.col("lemma").alias("_l")))
+    lt = broadcast_lexicon(lemma_table.select(F.col("form").alias("_f"), F.col("lemma").alias("_l")))
     j = tokens.join(lt, tokens.token == lt._f, "left")
     return j.select(*[c for c in tokens.columns if c != "token"], F.coalesce("_l", "token").alias("token"))
 

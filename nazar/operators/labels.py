@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from nazar.functions import text as T
 from nazar.functions.mathx import rnd
-from nazar.session import broadcast_if_small
+from nazar.session import broadcast_if_small, broadcast_lexicon
 
 LABELS = ["negative", "neutral", "positive"]
 # Label → ordinal used for the rating correlation.
@@ -289,7 +289,7 @@ def tag_categories(df: DataFrame, categories: DataFrame, text_col: str = "commen
     ``categories`` is a lexicon (category, keyword): size-checked broadcast,
     then a broadcast nested-loop (theta) join on substring containment.
     """
-    cat = broadcast_if_small(categories.select("category", F.lower("keyword").alias("keyword")))
+    cat = broadcast_lexicon(categories.select("category", F.lower("keyword").alias("keyword")))
     d = df.select(id_col, F.lower(F.col(text_col)).alias("_t"))
     return d.join(cat, F.instr(F.col("_t"), F.col("keyword")) > 0).select(id_col, "category").distinct()
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nazar.functions.mathx import rnd
-from nazar.session import BROADCAST_ROW_LIMIT, broadcast_if_small
+from nazar.session import BROADCAST_ROW_LIMIT, broadcast_if_small, broadcast_lexicon
 
 REFERENCE_LIMIT = 20_000  # rows of a broadcast reference block (size-checked)
 MAX_PROBES = 1_000  # query vectors carried to every vocabulary row by most_similar
@@ -405,8 +405,8 @@ def centroid_distances(centroids: DataFrame, label_col: str = "grp") -> DataFram
     """H8: Euclidean distance between every pair of label centroids (K labels →
     K(K−1)/2 rows; the centroid table has one row per label, size-checked)."""
     a = centroids.select(F.col(label_col).alias("l1"), F.col("centroid").alias("c1"))
-    b = broadcast_if_small(centroids.select(F.col(label_col).alias("l2"), F.col("centroid").alias("c2")),
-                           limit=min(BROADCAST_ROW_LIMIT, 10_000))
+    b = broadcast_lexicon(centroids.select(F.col(label_col).alias("l2"), F.col("centroid").alias("c2")),
+                          limit=min(BROADCAST_ROW_LIMIT, 10_000))
     j = a.join(b, F.col("l1") < F.col("l2"))
     d = F.sqrt(F.aggregate(F.zip_with("c1", "c2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     return j.select("l1", "l2", d.alias("distance"))

@@ -64,14 +64,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT,
                        known_bound: int | None = None) -> DataFrame:
-    """Broadcast hint only for a side whose row count is proven small.
-
-    ``known_bound`` is a structural bound (e.g. ``max_features`` of a vocabulary,
-    number of classes); without it we count the side (a cheap aggregate on an
-    already small table) and leave the join to Catalyst/AQE when it is large.
+    """Broadcast hint only for a side whose size is bounded by construction.
+
+    ``known_bound`` is a structural bound on the rows (``max_features`` of a
+    vocabulary, number of classes, sample size × vocabulary).  Without one the
+    join is left unhinted: AQE measures the materialised side at runtime and
+    turns the sort-merge join into a broadcast join only when it is below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` — a size check that costs
+    no extra job and never broadcasts a side that grew with the data.
     """
     if known_bound is not None and known_bound <= limit:
         return F.broadcast(df)
+    return df
+
+
+def broadcast_lexicon(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast a small user table (lexicon, category list, per-label table)
+    after checking its row count; above the limit the join is left to a shuffle.
+    Counting is cheap here: these tables are inputs or one row per label, not
+    a pipeline over the data."""
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nazar.functions import lexicons as LX
 from nazar.functions import text as T
-from nazar.session import broadcast_if_small, broadcast_lexicon
+from nazar.session import broadcast_lexicon
 
 
 # ---------------------------------------------------------------- array form

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from nazar.functions import text as T
 from nazar.functions.mathx import rnd
-from nazar.session import broadcast_if_small, broadcast_lexicon
+from nazar.session import broadcast_lexicon
 
 LABELS = ["negative", "neutral", "positive"]
 # Label → ordinal used for the rating correlation.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nazar.operators.common import class_grid, class_table, cumulative_below
+from nazar.operators.common import class_grid, cumulative_below
 
 CLASSES = [0, 1, 2]
 

@@ -234,7 +234,6 @@ def assemble_features(blocks: list[tuple[str, DataFrame]], id_col: str = "id") -
 
 def to_sparse_vectors(long: DataFrame, size: Column | int, id_col: str = "id") -> DataFrame:
     """(id, idx, value) → (id, features: SparseVector) at the pyspark.ml edge."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (imported for availability)
     g = long.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_e"))
     return g.select(id_col, F.transform("_e", lambda e: e["idx"]).alias("indices"),
                     F.transform("_e", lambda e: e["value"]).alias("values"))

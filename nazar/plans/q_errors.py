@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nazar.functions import lexicons as LX
 from nazar.functions import patterns as P
 from nazar.functions.mathx import rnd, rnd_sql
 from nazar.operators import errors as E

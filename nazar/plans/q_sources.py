@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from nazar.functions import lexicons as LX
 from nazar.functions.mathx import rnd, rnd_sql
-from nazar.operators import tfidf as TF
 from nazar.plans import fixtures as X
 from nazar.plans import sqltext as S
 from nazar.plans.registry import query

@@ -25,10 +25,15 @@ SIM_SAMPLE = 50
 # ---------------------------------------------------------------- Spark inputs
 
 def tfidf_docs(spark, sf, src=None):
-    """(id, terms): medium cleaning → tokens → stopwords → analyzer (2..20 chars)."""
+    """(id, terms): medium cleaning → tokens → stopwords → analyzer (2..20 chars).
+
+    The analyzer splits the space-joined tokens on whitespace; tokens are
+    non-empty and contain no whitespace, so that is the token array itself
+    and only the length filter remains (no join + re-split).
+    """
     r = src if src is not None else X.reviews(spark, sf)
     toks = C.preprocess_tokens(F.col("comment"), "medium", STOP, emoji_map=EMO)
-    return r.select("id", T.analyze(F.array_join(toks, " ")).alias("terms"))
+    return r.select("id", F.filter(toks, lambda t: F.length(t).between(2, 20)).alias("terms"))
 
 
 def fitted(spark, sf, **kw):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nazar.operators import split as SP
+from nazar.session import cut_lineage
 
 
 def softmax_argmax(logits) -> tuple[Column, Column]:
@@ -53,6 +54,8 @@ def fit_logistic(df: DataFrame, text_col: str = "text", label_col: str = "label"
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     s = SP.stratified_split(df, label_col, test, seed=seed)
     s = SP.with_class_weights(s, label_col, "weight").withColumn("label_d", F.col(label_col).cast("double"))
+    # fitting and evaluating read the split several times: materialise it once (reliable checkpoint)
+    s = cut_lineage(s)
     train, testd = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     n = train.count()
     lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
@@ -76,6 +79,7 @@ def cross_validate(df: DataFrame, text_col: str = "text", label_col: str = "labe
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     f = SP.stratified_folds(df, label_col, k, seed=seed)
     f = SP.with_class_weights(f, label_col, "weight").withColumn("label_d", F.col(label_col).cast("double"))
+    f = cut_lineage(f)  # k fits read it: checkpoint instead of recomputing the text pipeline per fold
     rows = []
     for i in range(k):
         tr, te = f.filter(F.col("fold") != i), f.filter(F.col("fold") == i)

@@ -262,18 +262,18 @@ def box_stats(df: DataFrame, value: Column, label_col: str = "sentiment_label")
 def equal_width_bins(df: DataFrame, value: Column, bins: int, group_cols: list[str] | None = None) -> DataFrame:
     """D7 / E18 core: equal-width histogram between min and max (last bin closed).
 
-    The min/max aggregate (one row per group) is joined back — broadcast,
-    since it has one row per group — so the data is scanned twice but never
-    shuffled unaggregated.
+    The min/max aggregate (one row per group) is joined back, so the data is
+    scanned twice but never shuffled unaggregated.
     """
     group_cols = group_cols or []
     v = df.select(*group_cols, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     mm = v.groupBy(*group_cols).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    if not group_cols:  # one-row side, joined on a constant key
-        v, mm, group_keys = v.withColumn("_g", F.lit(0)), mm.withColumn("_g", F.lit(0)), ["_g"]
-    else:
+    if not group_cols:  # one-row side, joined on a constant key: broadcast
+        v, mm = v.withColumn("_g", F.lit(0)), F.broadcast(mm.withColumn("_g", F.lit(0)))
+        group_keys = ["_g"]
+    else:  # one row per group: AQE broadcasts it when small, shuffles when the groups are many
         group_keys = group_cols
-    j = v.join(F.broadcast(mm), group_keys)
+    j = v.join(mm, group_keys)
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) * bins / width))).cast("int")

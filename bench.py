@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     # preprocessing: four cleaning versions of every review, and their summary
-    "versions", "pipeline_summary", "cleaning_stats",
+    "versions", "preprocessing_summary", "cleaning_stats",
     # label analysis
     "label_distribution", "net_score_topk", "daily_label_counts", "top_words_by_label",
     # sparse features (flagship chain)

@@ -129,7 +129,7 @@ def versions(df: DataFrame, text_col: str = "comment", id_col: str = "id",
     return base.select(F.col(id_col), *[F.col(k) for k in keep], F.inline(rows))
 
 
-def pipeline_summary(stacked: DataFrame) -> DataFrame:
+def preprocessing_summary(stacked: DataFrame) -> DataFrame:
     """Per version input / output / filtered counts and success rate."""
     agg = stacked.groupBy("version").agg(F.count(F.lit(1)).alias("input_comments"),
                                          F.sum(F.col("kept").cast("int")).cast("bigint").alias("output_comments"))

@@ -30,7 +30,7 @@ def softmax_argmax(logits) -> tuple[Column, Column]:
     return probs, arg
 
 
-def text_pipeline(text_col: str = "text", vocab_size: int = 10000, min_df: float = 2.0, max_df: float = 0.8):
+def text_features(text_col: str = "text", vocab_size: int = 10000, min_df: float = 2.0, max_df: float = 0.8):
     """Tokenizer → CountVectorizer → IDF → L2 Normalizer (sparse features)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
@@ -61,7 +61,7 @@ def fit_logistic(df: DataFrame, text_col: str = "text", label_col: str = "label"
     lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
                             standardization=False, weightCol="weight", labelCol="label_d", featuresCol="features")
     ovr = OneVsRest(classifier=lr, labelCol="label_d", featuresCol="features", weightCol="weight")
-    model = Pipeline(stages=[text_pipeline(text_col), ovr]).fit(train)
+    model = Pipeline(stages=[text_features(text_col), ovr]).fit(train)
     ev_acc = MulticlassClassificationEvaluator(labelCol="label_d", metricName="accuracy")
     ev_f1 = MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1")
     ptr, pte = model.transform(train), model.transform(testd)
@@ -85,7 +85,7 @@ def cross_validate(df: DataFrame, text_col: str = "text", label_col: str = "labe
         tr, te = f.filter(F.col("fold") != i), f.filter(F.col("fold") == i)
         lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(tr.count(), 1)), standardization=False,
                                 weightCol="weight", labelCol="label_d")
-        model = Pipeline(stages=[text_pipeline(text_col), OneVsRest(classifier=lr, labelCol="label_d",
+        model = Pipeline(stages=[text_features(text_col), OneVsRest(classifier=lr, labelCol="label_d",
                                                                     weightCol="weight")]).fit(tr)
         p = model.transform(te)
         vals = [MulticlassClassificationEvaluator(labelCol="label_d", metricName=m).evaluate(p)

@@ -173,13 +173,13 @@ def q_versions(spark, sf):
     return versions_df(spark, sf).select("id", "version", "kept", F.md5("comment_processed").alias("h"))
 
 
-@query("pipeline_summary", "C24", f"""
+@query("preprocessing_summary", "C24", f"""
 WITH v AS ({versions_cte()})
 SELECT version, count(*) AS input_comments, CAST(sum(CAST(kept AS INTEGER)) AS BIGINT) AS output_comments,
   count(*) - CAST(sum(CAST(kept AS INTEGER)) AS BIGINT) AS filtered_comments,
   sum(CAST(kept AS INTEGER)) / count(*)::DOUBLE AS success_rate FROM v GROUP BY version""", ("reviews",))
-def q_pipeline_summary(spark, sf):
-    return C.pipeline_summary(versions_df(spark, sf))
+def q_preprocessing_summary(spark, sf):
+    return C.preprocessing_summary(versions_df(spark, sf))
 
 
 def _changed_sql(a, b):

@@ -4,7 +4,7 @@ Texts are sets of five-word shingles; two texts are linked if their sets' Jaccar
 0.8 or more.  Exact copies become one node first.  A node's MinHash signature is cut into
 TREES sorted runs, each a path in a prefix trie; the matched prefix is shortened from DEPTH
 until a pair at the threshold meets in some trie with the target recall.  Nodes that share a
-prefix are first compared with the smallest node of that prefix (a star, linear in the
+prefix are first compared with a few fixed nodes of that prefix (stars, linear in the
 group), and every candidate link is verified on the whole shingle sets.  What is then still
 apart in a prefix group is compared block by block, so no pair between classes is skipped and
 no group is held by one task.  Linked nodes form classes (connected components).
@@ -26,6 +26,8 @@ SIZE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.9995
+#: Nodes of a prefix group that all others are compared with first.
+HEADS = 3
 #: Members of a prefix group compared in one block.
 BLOCK = 1_024
 #: Rows of one task of the block comparison.
@@ -111,19 +113,22 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("nid", "text").mapInArrow(run, "nid long, s array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole shingle sets are similar enough.  Only texts of
-    nodes in a pair are read again."""
-    size = nodes.select("nid", "n")
-    near = (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-            .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    near = tables.save(near)
-    wanted = near.select(F.col("a").alias("nid")).union(near.select("b")).distinct()
-    wanted = wanted.join(nodes.select("nid", "h", "doc_id"), "nid")
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """nid, s for the nodes of ``wanted`` (nid): only their texts are read again."""
+    wanted = wanted.distinct().join(nodes.select("nid", "h", "doc_id"), "nid")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.unhex(F.md5("text")).alias("g"), "text")
     texts = texts.join(wanted, (F.col("g") == F.col("h")) & F.col("d").eqNullSafe(F.col("doc_id")))
-    sets = tables.save(_sets(texts))
-    sets = sets.dropDuplicates(["nid"])  # equal rows of documents
+    return tables.save(tables.save(_sets(texts)).dropDuplicates(["nid"]))  # equal rows of documents
+
+
+def _similar_size(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    size = nodes.select("nid", "n")
+    near = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    return tables.save(near.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+
+
+def _verified(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole shingle sets are similar enough."""
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return tables.save(both.where(shared >= threshold * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
@@ -205,14 +210,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = tables.save(first.withColumn("nid", F.monotonically_increasing_id()))
     path = nodes.where("n > 0").select("nid", F.posexplode("keys").alias("tree", "key"))
-    groups = path.groupBy("tree", "key").agg(F.min("nid").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
+    heads = [F.min_by("nid", F.xxhash64(F.lit(r), "nid")) for r in range(HEADS)]
+    groups = path.groupBy("tree", "key").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = tables.save(path.join(groups, ["tree", "key"]))
-    star = members.where("nid != head").select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct()
-    links = _verified(star, nodes, docs, threshold)
+    star = members.select("nid", F.explode("heads").alias("head")).where("nid != head").select(F.least("head", "nid").alias("a"), F.greatest("head", "nid").alias("b"))
+    near = _similar_size(star.distinct(), nodes, threshold)
+    sets = _sets_of(members.select("nid"), nodes, docs)
+    links = _verified(near, sets, threshold)
     labels = components(links)
-    rest = tables.save(_apart(members.drop("head"), labels, nodes, threshold, depth))
+    rest = tables.save(_apart(members.drop("heads"), labels, nodes, threshold, depth))
     if not rest.isEmpty():
-        links = links.union(_verified(rest, nodes, docs, threshold)).distinct()
+        links = tables.save(links.union(_verified(_similar_size(rest, nodes, threshold), sets, threshold)).distinct())
         labels = components(links)
     degree = links.select(F.col("a").alias("nid")).union(links.select("b")).groupBy("nid").agg(F.count("*").alias("links"))
     named = nodes.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nazar.llm import tables, tokens
 
@@ -325,9 +326,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     blocks = [spark.sparkContext.broadcast(p) for p in phrase_blocks(items, window)]
     added = [c.split(" ")[0] for c in COLUMNS.split(", ")]
     kept = docs.select(*[c for c in docs.columns if c.lower() not in added])
-    schema = kept.schema
-    for field in spark.createDataFrame([], COLUMNS).schema:
-        schema = schema.add(field)
+    schema = StructType([*kept.schema, *StructType.fromDDL(COLUMNS)])
     text_at = next(i for i, c in enumerate(kept.columns) if c.lower() == "text")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), span_type]

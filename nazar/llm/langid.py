@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nazar.llm import tables, tokens
 
@@ -171,9 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     new = ["lang_pred", "score", "languages"]
     kept = docs.select(*[c for c in docs.columns if c.lower() not in new])
     text_at = kept.columns.index("text")
-    schema = kept.schema
-    for field in spark.createDataFrame([], "lang_pred string, score double, languages array<struct<lang:string,share:double>>").schema:
-        schema = schema.add(field)
+    schema = StructType([*kept.schema, *StructType.fromDDL("lang_pred string, score double, languages array<struct<lang:string,share:double>>")])
     shared = spark.sparkContext.broadcast(model)
     set_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 

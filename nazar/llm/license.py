@@ -73,10 +73,14 @@ def _grams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(w[i:i + n]) for n in SIZES for i in range(len(w) - n + 1)))
 
 
-def overlap(grams: Column, family: str) -> Column:
-    """The largest share of a template's n-grams that a paragraph holds."""
-    each = [F.size(F.array_intersect(grams, F.array(*[F.lit(g) for g in _grams(t)]))) / F.lit(float(len(_grams(t)))) for t in TEMPLATES[family]]
-    return each[0] if len(each) == 1 else F.greatest(*each)
+def _overlaps(grams: Column, of: Column) -> Column:
+    """For each template of ``of``: the share of its n-grams that a paragraph holds, and its family."""
+    return F.transform(of, lambda x: F.struct((F.size(F.array_intersect(grams, x["t"])) / F.size(x["t"])).alias("o"), x["f"].alias("f")))
+
+
+def _templates() -> Column:
+    """All templates as one constant: array of (family f, n-grams t)."""
+    return F.array(*[F.struct(F.lit(f).alias("f"), F.array(*[F.lit(g) for g in _grams(t)]).alias("t")) for f in TEMPLATES for t in TEMPLATES[f]])
 
 
 def paragraphs(text: Column) -> Column:
@@ -84,25 +88,24 @@ def paragraphs(text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """p, label: templates, and paragraphs of a bounded sample of texts (the first ones by hash)."""
+    """p, grams, label: templates, and paragraphs of a bounded sample of texts (the first ones by hash)."""
     spark = docs.sparkSession
     n = docs.count()
     h = F.pmod(F.xxhash64(F.lit(53), "text"), F.lit(1 << 20))
     some = docs.where("text is not null").where(h < F.lit((1 << 20) * min(1.0, TRAIN_DOCS / max(1, n))))
     own = some.select(F.explode(F.slice(F.array_sort(F.transform(paragraphs(F.col("text")), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p")))), 1, TRAIN_PARAGRAPHS)).alias("x"))
-    own = with_grams(own.select(F.col("x.p").alias("p")).distinct())
-    families = list(TEMPLATES)
-    best = F.greatest(*[F.struct(overlap(F.col("grams"), f).alias("o"), F.lit(f).alias("f")) for f in families])
-    own = own.select("p", F.when(best["o"] >= LABEL_OVERLAP, best["f"]).otherwise(F.lit(UNKNOWN)).alias("label"))
-    notices = spark.createDataFrame([(t, f, i) for f in families for t in TEMPLATES[f] for i in range(COPIES)], "p string, label string, i int")
-    return own.unionByName(notices.select("p", "label"))
+    own = tables.save(with_grams(own.select(F.col("x.p").alias("p")).distinct()))
+    own = own.withColumn("best", F.array_max(_overlaps(F.col("grams"), _templates())))
+    own = own.select("p", "grams", F.when(F.col("best.o") >= LABEL_OVERLAP, F.col("best.f")).otherwise(F.lit(UNKNOWN)).alias("label"))
+    notices = spark.createDataFrame([(t, _grams(t), f) for f in TEMPLATES for t in TEMPLATES[f] for _ in range(COPIES)], "p string, grams array<string>, label string")
+    return own.unionByName(notices)
 
 
 class Classifier:
     """The fitted n-gram vocabulary, regression, calibrated level and prefilter words."""
 
     def __init__(self, docs: DataFrame):
-        rows = with_grams(training_rows(docs))
+        rows = training_rows(docs)
         labels = [UNKNOWN, *TEMPLATES]
         index = F.create_map(*[F.lit(x) for i, f in enumerate(labels) for x in (f, float(i))])
         rows = rows.withColumn("y", index[F.col("label")]).withColumn("held", (F.col("label") == UNKNOWN) & (F.pmod(F.xxhash64(F.lit(59), "p"), F.lit(4)) == 0))
@@ -143,10 +146,11 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
         either = "|".join(re.escape(a) for a in model.anchors) or "(?!)"
         keep = F.filter("ps", lambda p: p.rlike(f"(?i)(?<![a-z0-9])(?:{either})(?![a-z0-9])"))
     found = tables.save(found.select("doc_id", F.size("ps").cast("long").alias("n_paragraphs"), keep.alias("ps")).withColumn("uid", F.monotonically_increasing_id()))
-    rows = with_grams(found.select("uid", F.explode("ps").alias("p")))
-    best = model.predicted(rows).where((F.col("family") != UNKNOWN) & (F.col("p_family") >= model.level))
-    confirmed = F.coalesce(*[F.when(F.col("family") == f, overlap(F.col("grams"), f)) for f in TEMPLATES]) >= CONFIRM_OVERLAP
-    per = best.where(confirmed).groupBy("uid").agg(F.count("*").alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("p_family").alias("confidence"))
+    rows = tables.save(with_grams(found.select("uid", F.explode("ps").alias("p"))).drop("p"))
+    best = tables.save(model.predicted(rows).select("uid", "grams", "family", "p_family"))
+    best = best.where((F.col("family") != UNKNOWN) & (F.col("p_family") >= model.level))
+    own = F.filter(_templates(), lambda t: t["f"] == F.col("family"))
+    per = best.where(F.array_max(_overlaps(F.col("grams"), own))["o"] >= CONFIRM_OVERLAP).groupBy("uid").agg(F.count("*").alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("p_family").alias("confidence"))
     out = found.drop("ps").join(per, "uid", "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).cast("long").alias("n_licensed"),
                       F.coalesce("families", F.lit("")).alias("families"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

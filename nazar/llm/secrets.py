@@ -1,9 +1,9 @@
 """Secret scans: fixed rules, and character Markov models compared by log-likelihood ratio.
 
-Two order-2 character models are counted over all texts from labelled samples: values of the
-fixed rules are random strings, other long tokens are ordinary identifiers.  A token that no
-rule covers is a secret if the ratio of its likelihoods, with the samples' prior, is above a
-threshold set on the ordinary sample.
+Two order-2 character models are counted over the distinct sample tokens of all texts: values
+of the fixed rules are random strings, other long tokens are ordinary identifiers.  A token
+that no rule covers is a secret if the random model's likelihood wins by a margin in all and
+for each character; the token's own share of the ordinary counts is left out.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-
 N = len(ALPHABET) + 1  # 0 stands before the first character
 CODE = np.zeros(128, dtype=np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(1, N)
-SMOOTH = 0.5
+#: Pseudo-counts of the lower orders.
+SMOOTH, BACK = 0.5, 4.0
 #: Nats a character, and in all, by which the random model must win.
 MIN_MEAN, MIN_TOTAL = 0.5, 12.0
 
@@ -66,21 +67,32 @@ def triples(value: str) -> np.ndarray:
 
 
 class Models:
-    """Log-probability ratio of each triple, and the threshold's parts."""
+    """Counts of both models.  A scored token is one of the ordinary sample, so its own triples
+    are left out of that model's counts."""
 
     def __init__(self, random: np.ndarray, ordinary: np.ndarray):
-        logs = []
-        for count in (random, ordinary):
-            cube = count.reshape(N, N, N).astype(np.float64)
-            pair = cube.sum(axis=0)  # backs off to one character before, then to none
-            single = pair.sum(axis=0) + SMOOTH
-            p1 = (pair + 4 * single / single.sum()) / (pair.sum(axis=1, keepdims=True) + 4)
-            p2 = (cube + 4 * p1[None]) / (cube.sum(axis=2, keepdims=True) + 4)
-            logs.append(np.log(p2))
-        self.ratio = (logs[0] - logs[1]).reshape(-1)
+        self.cube = [random.astype(np.float64), ordinary.astype(np.float64)]
+        self.context = [c.reshape(-1, N).sum(axis=1) for c in self.cube]
+        self.pair = [c.reshape(N, N * N).sum(axis=0) for c in self.cube]
+        self.last = [c.reshape(N, N).sum(axis=1) for c in self.pair]
+        single = [c.reshape(N, N).sum(axis=0) + SMOOTH for c in self.pair]
+        self.single = [c / c.sum() for c in single]
+
+    def _logs(self, k: int, t: np.ndarray, own: bool) -> np.ndarray:
+        def held(counts: np.ndarray, key: np.ndarray) -> np.ndarray:
+            if not own:
+                return counts[key]
+            which, at, many = np.unique(key, return_inverse=True, return_counts=True)
+            return np.maximum(counts[which] - many, 0)[at]
+
+        pair = t % (N * N)
+        p1 = (held(self.pair[k], pair) + BACK * self.single[k][t % N]) / (held(self.last[k], pair // N) + BACK)
+        return np.log((held(self.cube[k], t) + BACK * p1) / (held(self.context[k], t // N) + BACK))
 
     def score(self, value: str) -> float:
-        return float(self.ratio[triples(value)].sum())
+        """Log-likelihood ratio of a token outside the rules' matches."""
+        t = triples(value)
+        return float((self._logs(0, t, False) - self._logs(1, t, True)).sum())
 
 
 def looks_random(value: str, models: Models) -> bool:
@@ -92,28 +104,32 @@ def looks_random(value: str, models: Models) -> bool:
 
 
 def learn(docs: DataFrame) -> Models:
-    """Count both models over all texts.  The driver gets at most N^3 counts for each."""
+    """Count both models over the distinct sample tokens of all texts.  The driver gets at most
+    N^3 counts for each."""
     tables.small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, N ** 3), dtype=np.int64)
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: list[list[np.ndarray]] = [[], []]
+            seen: set[tuple[int, str]] = set()
             for text in b.column(0).to_pylist():
-                if not text:
-                    continue
-                base = base_spans(text)
-                got[0] += [triples(text[v:e]) for _, _, e, v in base]
-                got[1] += [triples(text[s:e]) for s, e in other_tokens(text, base)]
-            for k in range(2):
-                if got[k]:
-                    counts[k] += np.bincount(np.concatenate(got[k]), minlength=N ** 3)
+                if text:
+                    base = base_spans(text)
+                    seen.update((0, text[v:e]) for _, _, e, v in base)
+                    seen.update((1, text[s:e]) for s, e in other_tokens(text, base))
+            cols = list(zip(*sorted(seen), strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["side", "token"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, N ** 3), dtype=np.int64)
+        for b in batches:
+            for k, token in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                np.add.at(counts[k], triples(token), 1)
         for k in range(2):
             gram = np.flatnonzero(counts[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k)), pa.array(gram), pa.array(counts[k][gram])], names=["side", "gram", "n"])
 
-    src = tables.spread_out(docs.select("text"))
-    rows = src.mapInArrow(run, "side long, gram long, n long").groupBy("side", "gram").agg(F.sum("n").alias("n"))
+    src = tables.spread_out(docs.select("text")).mapInArrow(samples, "side long, token string").distinct()
+    rows = src.mapInArrow(count, "side long, gram long, n long").groupBy("side", "gram").agg(F.sum("n").alias("n"))
     counts = np.zeros((2, N ** 3))
     for r in rows.toLocalIterator():
         counts[r.side, r.gram] = r.n

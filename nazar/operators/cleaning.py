@@ -209,11 +209,11 @@ def lemmatize_tokens(tokens: DataFrame, lemma_table: DataFrame) -> DataFrame:
 def stem_tokens(tokens: DataFrame, suffix_table: DataFrame | Sequence[str], min_stem: int = 2) -> DataFrame:
     """C18 (long form): longest listed suffix stripped from every token.
 
-    The suffix table is tiny (a language's inflections), so it is collected
-    once and compiled into a single regular expression.
+    The suffix table is a parameter (a language's inflections): every row of it
+    is read and compiled into a single regular expression.
     """
     if isinstance(suffix_table, DataFrame):
-        rows = suffix_table.select("suffix").limit(10_000).collect()
+        rows = suffix_table.select("suffix").distinct().collect()
         suffixes = [r[0] for r in rows]
     else:
         suffixes = list(suffix_table)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from nazar.session import cut_lineage
+
 
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "row_num") -> DataFrame:
     """1-based row number in ``order_cols`` order without a single-partition window.
@@ -13,10 +15,12 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "row_num"
     Range-partition on the key, number rows inside each partition with
     ``monotonically_increasing_id`` (partition id in the upper bits), and add
     the prefix sum of per-partition counts — the only single-task step works
-    on one row per partition.
+    on one row per partition.  The ranged rows are written once (reliable
+    checkpoint): counts and rows must come from the same partitions, and a
+    range exchange planned twice samples its bounds twice.
     """
-    ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nazar.functions import text as T
+from nazar.operators.common import global_row_number
 from nazar.functions.mathx import rnd
 from nazar.session import broadcast_lexicon
 
@@ -103,24 +104,10 @@ def flat_cost_estimate(df: DataFrame, in_per_row: int = 100, out_per_row: int =
 def assign_batches(df: DataFrame, size: int = 1000, order_col: str = "id") -> DataFrame:
     """Consecutive batches of ``size`` rows in ``order_col`` order (batch 1 first).
 
-    The global row number is built without a single-partition window: rows are
-    range-partitioned on the key, each partition counts its rows, and a
-    prefix sum over the (few) partition counts gives every partition its
-    offset.  Only the per-partition counts — one row per partition — are
-    combined in a single task.
+    The number comes from ``common.global_row_number`` (no one-task window).
     """
-    ranged = (df.repartitionByRange(order_col).sortWithinPartitions(order_col)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    # monotonically_increasing_id = (partition id << 33) + position in partition
-    pid = F.shiftright(F.col("_mid"), 33)
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    rn = F.col("_off") + local + 1
-    return (ranged.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
-            .withColumn("row_num", rn.cast("bigint"))
-            .withColumn("batch_id", (F.floor((rn - 1) / size) + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    numbered = global_row_number(df, [order_col], "row_num")
+    return numbered.withColumn("batch_id", (F.floor((F.col("row_num") - 1) / size) + 1).cast("bigint"))
 
 
 def validate_label(raw: Column) -> Column:

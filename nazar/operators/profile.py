@@ -25,7 +25,7 @@ def length_stats(df: DataFrame, text_col: str = "comment") -> DataFrame:
 
 def duplicates(df: DataFrame, text_col: str = "comment") -> DataFrame:
     """Unique and duplicate counts (distinct over non-null texts)."""
-    return df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(text_col).alias("unique_comments")) \
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(F.sha2(F.col(text_col), 256)).alias("unique_comments")) \
              .withColumn("duplicate_comments", F.col("total") - F.col("unique_comments"))
 
 
@@ -61,7 +61,7 @@ def version_stats(stacked: DataFrame, text_col: str = "comment_processed") -> Da
         F.count(F.lit(1)).alias("total_comments"), F.avg(n).alias("avg_length"),
         F.median(n).cast("double").alias("median_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"),
         rnd(F.stddev_samp(n), 6).alias("std_length"), F.avg(words).alias("avg_words"),
-        F.count_distinct(text_col).alias("unique_comments"))
+        F.count_distinct(F.sha2(F.col(text_col), 256)).alias("unique_comments"))
     return agg.withColumn("duplicate_rate", 1 - F.col("unique_comments") / F.col("total_comments"))
 
 
@@ -100,7 +100,7 @@ def corpus_summary(df: DataFrame, text_col: str = "comment", label_col: str | No
                    labels: list[str] | None = None) -> DataFrame:
     """Mean whitespace tokens per document, unique documents, label counts."""
     aggs = [F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.split_ws(F.col(text_col)))).alias("avg_document_length"),
-            F.count_distinct(text_col).alias("unique_documents")]
+            F.count_distinct(F.sha2(F.col(text_col), 256)).alias("unique_documents")]
     if label_col and labels:
         aggs += [F.count(F.when(F.col(label_col) == l, 1)).alias(f"n_{l}") for l in labels]
     return df.agg(*aggs)

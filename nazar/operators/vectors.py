@@ -11,6 +11,8 @@ pairs of vectors never emit the pairs:
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,24 +106,30 @@ def most_frequent_words(docs: DataFrame, tokens_col: str = "tokens", top: int =
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.col("freq").desc(), "word").limit(top)
 
 
-def _probe_column(queries: DataFrame, limit: int = MAX_PROBES) -> Column:
-    """The (bounded) query set as one array column via a scalar subquery."""
-    q = queries.limit(limit)  # the query list is a parameter; its size is checked by the caller
-    return q.agg(F.collect_list(F.struct(F.col("qword"), F.col("qvec")))).scalar()
+def _probe_column(queries: DataFrame) -> Column:
+    """One block of queries as one array column via a scalar subquery."""
+    return queries.agg(F.collect_list(F.struct(F.col("qword"), F.col("qvec")))).scalar()
 
 
 def most_similar(vectors: DataFrame, queries: DataFrame, topn: int = 10, exclude: Column | None = None) -> DataFrame:
     """For each query (qword, qvec) the topn vocabulary words by cosine,
     excluding the query word itself.
 
-    The query list is small and bounded: it travels as one array value to
+    The query list travels in blocks of about MAX_PROBES as one array value to
     every vocabulary row (no join, no cross product of tables); the top-n per
     query is a row_number filter that Spark evaluates with a per-partition
     group limit before the shuffle (WindowGroupLimit).
     """
-    n = queries.limit(MAX_PROBES + 1).count()
-    if n > MAX_PROBES:
-        raise ValueError(f"more than {MAX_PROBES} query vectors: the fan-out is vocabulary × queries")
+    blocks = max(1, -(-queries.count() // MAX_PROBES))
+    if blocks > 1:
+        of = F.pmod(F.xxhash64("qword"), F.lit(blocks))
+        parts = [_most_similar(vectors, queries.where(of == i), topn, exclude) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return _most_similar(vectors, queries, topn, exclude)
+
+
+def _most_similar(vectors: DataFrame, queries: DataFrame, topn: int, exclude: Column | None) -> DataFrame:
+    """One block of queries against all vectors."""
     v = with_unit(vectors.select("word", "vec"), "vec", "_u").select("word", "_u")
     probes = _probe_column(with_unit(queries.select("qword", "qvec"), "qvec", "_q").select("qword", F.col("_q").alias("qvec")))
     x = v.select("word", "_u", F.inline(probes))

@@ -101,9 +101,9 @@ def q_weighted_soft_vote(spark, sf):
 
 
 _GRID = EN.weight_grid(len(MODELS))
-_GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS wid, '{m}' AS model, {float(w)!r} AS w"
+_GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS wid, '{m}' AS model, {float(w)!r}::DOUBLE AS w"
                                for i, ws in enumerate(_GRID) for m, w in zip(MODELS, ws))
-_GRID_ARR = " UNION ALL ".join(f"SELECT {i} AS wid, [{', '.join(repr(float(x)) for x in ws)}] AS weights"
+_GRID_ARR = " UNION ALL ".join(f"SELECT {i} AS wid, [{', '.join(f'{float(x)!r}::DOUBLE' for x in ws)}] AS weights"
                                for i, ws in enumerate(_GRID))
 
 

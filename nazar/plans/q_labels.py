@@ -105,11 +105,11 @@ def q_flat_cost(spark, sf):
 
 
 @query("assign_batches", "E4", """
-SELECT id, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS row_num,
+SELECT id, comment, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS row_num,
        CAST(floor((row_number() OVER (ORDER BY id) - 1) / 64) + 1 AS BIGINT) AS batch_id FROM reviews
 """, ("reviews",))
 def q_assign_batches(spark, sf):
-    return L.assign_batches(X.reviews(spark, sf).select("id"), size=64)
+    return L.assign_batches(X.reviews(spark, sf).select("id", "comment"), size=64)
 
 
 def batch_results(spark, sf):

@@ -365,7 +365,8 @@ def q_centroid_distances(spark, sf):
 @query("effective_dims", "H6")
 def q_effective_dims(spark, sf):
     e = X.table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("vec"))
-    _, ratios = V.pca(e, 40)
+    dim = e.select(F.max(F.size("vec"))).first()[0]
+    _, ratios = V.pca(e, dim)
     cum, k95 = 0.0, None
     for i, r in enumerate(ratios):
         cum += r

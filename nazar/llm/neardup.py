@@ -26,6 +26,8 @@ SIZE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.9995
+#: MinHash values of a text; the tries take the first ones, estimates take all.
+SIGNATURE = 256
 #: Nodes of a prefix group that all others are compared with first.
 HEADS = 3
 #: Members of a prefix group compared in one block.
@@ -70,7 +72,7 @@ def _sign_batch(batch: pa.RecordBatch, at: int, depth: int) -> pa.RecordBatch:
         fresh = np.ones(len(h), dtype=bool)
         fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
         h, text = h[fresh], text[fresh]
-        sig, own = signatures(h, text, rows, TREES * depth)
+        sig, own = signatures(h, text, rows, max(SIGNATURE, TREES * depth))
         counts.append(np.bincount(text, minlength=rows))
         key = np.zeros((TREES, len(own)), dtype=np.uint64)
         for j in range(TREES):
@@ -168,7 +170,7 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: f
     rows = tables.save(everyone.unionByName(minors))
     tasks = max(1, -(-rows.count() // TASK_ROWS))
     rows = rows.join(nodes.select("nid", "sig", "n"), "nid")
-    least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / (TREES * depth)) ** 0.5)
+    least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / max(SIGNATURE, TREES * depth)) ** 0.5)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[np.ndarray] = []

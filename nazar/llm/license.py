@@ -118,12 +118,19 @@ class Classifier:
         best = self.predicted(rows.where("held"))
         level = best.agg(F.percentile_approx(F.when(F.col("family") == UNKNOWN, F.lit(0.0)).otherwise(F.col("p_family")), 1 - FALSE_SHARE, 10_000)).first()[0]
         self.level = max(FLOOR, level or 0.0)
-        # a paragraph without any n-gram that speaks for a family is unknown
+        # a paragraph is unknown if what speaks for a family in it cannot outweigh the intercepts:
+        # the commonest n-grams are left out while all of them together could not
         weights = self.model.coefficientMatrix.toArray()
         bias = self.model.interceptVector.toArray()
-        lead = (weights[1:] - weights[:1]).max(axis=0)
+        lead = (weights[1:] - weights[:1]).clip(min=0)
+        room = bias[0] - bias[1:]
         place = {g: i for i, g in enumerate(self.counts.vocabulary)}  # by falling frequency
-        rarest = {max(g.split(" "), key=lambda w: place.get(w, len(place))) for g, i in place.items() if lead[i] > 0}
+        rarest = set()
+        for g, i in place.items():
+            if (lead[:, i] < 0.99 * room).all():
+                room = room - lead[:, i]
+            elif lead[:, i].any():
+                rarest.add(max(g.split(" "), key=lambda w: place.get(w, len(place))))
         self.anchors = sorted(rarest) if (bias[1:] < bias[0]).all() else None
 
     def predicted(self, rows: DataFrame) -> DataFrame:

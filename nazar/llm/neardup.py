@@ -34,6 +34,8 @@ HEADS = 3
 BLOCK = 1_024
 #: Rows of one task of the block comparison.
 TASK_ROWS = 20_000
+#: Shingle hashes of one task of the exact check of blocks.
+TASK_HASHES = 4_000_000
 #: Standard deviations below the threshold at which a signature's estimate still goes on to the exact check.
 SLACK = 4.5
 SEED = 29
@@ -153,9 +155,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """Pairs (a, b) in one prefix group but in different classes, whose signatures may agree
-    enough.  Members outside the group's main class meet all members, block by block."""
+def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """The links (a, b) inside a prefix group but between different classes.  Members outside
+    the group's main class meet all members, block by block: signatures first, then the whole
+    shingle sets of the nodes that still have a partner, in the same blocks.  A pair is compared
+    in the first trie where it meets, and rows move for each node, never for each pair."""
     m = members.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     per = m.groupBy("tree", "key").agg(F.min_by("label", "nid").alias("main"), F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     per = per.where("lo != hi and size > 2").drop("lo", "hi")
@@ -165,33 +169,74 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: f
     n_all = F.ceil(F.col("size") / BLOCK).cast("int")
     n_minor = F.ceil(F.col("minors") / BLOCK).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    everyone = m.select("tree", "key", "nid", "label", F.lit(0).alias("role"), F.pmod(F.xxhash64("nid"), n_all).cast("int").alias("i"), upto(n_minor).alias("j"))
-    minors = m.where("label != main").select("tree", "key", "nid", "label", F.lit(1).alias("role"), upto(n_all).alias("i"), F.pmod(F.xxhash64(F.lit(1), "nid"), n_minor).cast("int").alias("j"))
+    block = ["tree", "key", "i", "j"]
+    minor = (F.col("label") != F.col("main")).alias("minor")
+    everyone = m.select("tree", "key", "nid", "label", minor, F.lit(0).alias("role"), F.pmod(F.xxhash64("nid"), n_all).cast("int").alias("i"), upto(n_minor).alias("j"))
+    minors = m.where("label != main").select("tree", "key", "nid", "label", minor, F.lit(1).alias("role"), upto(n_all).alias("i"), F.pmod(F.xxhash64(F.lit(1), "nid"), n_minor).cast("int").alias("j"))
     rows = tables.save(everyone.unionByName(minors))
     tasks = max(1, -(-rows.count() // TASK_ROWS))
-    rows = rows.join(nodes.select("nid", "sig", "n"), "nid")
+    rows = rows.join(nodes.select("nid", "sig", "n", "keys"), "nid")
     least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / max(SIGNATURE, TREES * depth)) ** 0.5)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[np.ndarray] = []
-        pdf = pdf.sort_values(["tree", "key", "i", "j", "role", "nid"], kind="stable")
-        group = pdf[["tree", "key", "i", "j"]].to_numpy()
+    def blocks(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
+        group = pdf[block].to_numpy()
         cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1), True])
-        nid, label, role, n = (pdf[c].to_numpy() for c in ("nid", "label", "role", "n"))
+        return zip(cut[:-1], cut[1:], strict=True)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*block, "role", "nid"], kind="stable").reset_index(drop=True)
+        nid, label, role, n, tree, minor = (pdf[c].to_numpy() for c in ("nid", "label", "role", "n", "tree", "minor"))
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), -1)
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        keys = np.stack(pdf["keys"].to_numpy())
+        out: list[tuple] = []
+        for lo, hi in blocks(pdf):
             mid = lo + int(np.searchsorted(role[lo:hi], 1))
+            partners: dict[int, list[int] | None] = {}
+            size: dict[int, int] = {}
             for k in range(mid, hi):
-                ok = np.flatnonzero((label[lo:mid] != label[k]) & (np.minimum(n[lo:mid], n[k]) >= threshold * np.maximum(n[lo:mid], n[k]))) + lo
+                ok = (label[lo:mid] != label[k]) & (np.minimum(n[lo:mid], n[k]) >= threshold * np.maximum(n[lo:mid], n[k]))
+                ok &= ~minor[lo:mid] | (nid[lo:mid] > nid[k])
+                ok = np.flatnonzero(ok) + lo
+                ok = ok[~(keys[ok, :tree[k]] == keys[k, :tree[k]]).any(axis=1)]
                 ok = ok[(sig[ok] == sig[k]).mean(axis=1) >= least]
                 if len(ok):
-                    other = nid[ok]
-                    found.append(np.column_stack([np.minimum(other, nid[k]), np.maximum(other, nid[k])]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                    partners[nid[k]] = nid[ok].tolist()
+                    size[nid[k]] = n[k]
+                    for o in ok:
+                        partners.setdefault(nid[o], None)
+                        size[nid[o]] = n[o]
+            at = tuple(pdf[c].iloc[lo] for c in block)
+            out += [(*at, x, size[x], with_) for x, with_ in partners.items()]
+        return pd.DataFrame(out, columns=[*block, "nid", "n", "partners"])
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(block, kind="stable").reset_index(drop=True)
+        found: list[np.ndarray] = []
+        for lo, hi in blocks(pdf):
+            own = dict(zip(pdf["nid"].iloc[lo:hi], pdf["s"].iloc[lo:hi], strict=True))
+            for x, with_ in zip(pdf["nid"].iloc[lo:hi], pdf["partners"].iloc[lo:hi], strict=True):
+                if with_ is None:
+                    continue
+                mine = np.sort(own[x])
+                for some in np.array_split(np.asarray(with_, dtype=np.int64), -(-len(with_) // 64)):
+                    theirs = [own[o] for o in some]
+                    lengths = np.array([len(t) for t in theirs])
+                    flat = np.concatenate(theirs)
+                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    shared = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64)
+                    linked = some[shared >= threshold * (len(mine) + lengths - shared)]
+                    found.append(np.column_stack([np.minimum(linked, x), np.maximum(linked, x)]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    task = F.pmod(F.xxhash64("tree", "key", "i", "j"), F.lit(tasks))
-    return rows.withColumn("task", task).groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+    def task(n: int):
+        return F.pmod(F.xxhash64(*block), F.lit(n)).alias("task")
+
+    likely = rows.groupBy(task(tasks)).applyInPandas(compare, "tree int, key long, i int, j int, nid long, n long, partners array<long>")
+    likely = tables.save(likely)
+    hashes = likely.agg(F.sum("n")).first()[0] or 0
+    likely = likely.join(sets, "nid")
+    return likely.groupBy(task(max(1, -(-hashes // TASK_HASHES)))).applyInPandas(verify, "a long, b long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,9 +265,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = _sets_of(members.select("nid"), nodes, docs)
     links = _verified(near, sets, threshold)
     labels = components(links)
-    rest = tables.save(_apart(members.drop("heads"), labels, nodes, threshold, depth))
+    rest = tables.save(_apart(members.drop("heads"), labels, nodes, sets, threshold, depth))
     if not rest.isEmpty():
-        links = tables.save(links.union(_verified(_similar_size(rest, nodes, threshold), sets, threshold)).distinct())
+        links = tables.save(links.union(rest).distinct())
         labels = components(links)
     degree = links.select(F.col("a").alias("nid")).union(links.select("b")).groupBy("nid").agg(F.count("*").alias("links"))
     named = nodes.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))

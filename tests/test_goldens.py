@@ -63,3 +63,5 @@ def test_jalali(spark):
     assert one(spark, "۱۳۵۷/۱۱/۲۲", D.jalali_to_date) == dt.date(1979, 2, 11)
     assert one(spark, "1403/01/01", D.jalali_to_date) == dt.date(2024, 3, 20)
     assert one(spark, "not a date", D.jalali_to_date) is None
+    assert one(spark, "1403/12/30", D.jalali_to_date) == dt.date(2025, 3, 20)
+    assert [one(spark, x, D.jalali_to_date) for x in ("1402/12/30", "1402/07/31", "1402/12/31")] == [None] * 3

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,8 @@ UNKNOWN = "unknown"
 TRAIN_DOCS, TRAIN_PARAGRAPHS = 800, 6
 #: Copies of each template in the training set.
 COPIES = 12
-VOCABULARY = 1 << 13
+#: Size of the n-gram vocabulary, and the fewest training rows that hold an n-gram of it.
+VOCABULARY, MIN_ROWS = 1 << 13, 3
 #: Share of a template's n-grams that labels a paragraph, and that confirms a prediction.
 LABEL_OVERLAP, CONFIRM_OVERLAP = 0.6, 0.6
 #: Share of held-out ordinary paragraphs that may pass the calibrated level, and its floor.
@@ -112,7 +113,11 @@ class Classifier:
         rows = tables.save(rows.select("grams", "y", "held"))
         train = rows.where("not held")
         self.labels = labels
-        self.counts: CountVectorizerModel = CountVectorizer(inputCol="grams", outputCol="x", vocabSize=VOCABULARY, minDF=3.0, binary=True).fit(train)
+        # the n-grams of most training rows; ties by the n-gram, so that every run has the same ones
+        common = train.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= MIN_ROWS)
+        vocabulary = [r["g"] for r in common.orderBy(F.desc("count"), "g").limit(VOCABULARY).collect()]
+        self.counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="x")
+        self.counts.setBinary(True)
         fit = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", maxIter=25, regParam=1e-3, elasticNetParam=0.3)
         self.model = fit.fit(tables.save(self.counts.transform(train).select("x", "y")))
         best = self.predicted(rows.where("held"))

@@ -20,7 +20,8 @@ from pyspark.sql.types import StructType
 
 from nazar.llm import tables, tokens
 
-#: Expected rows of the training sample for each language (all rows, if it has fewer).
+#: Expected rows of the training sample for each language (all rows, if it has fewer), before
+#: repeated texts are left out.
 TRAIN_ROWS = 2_000
 #: Slots of the hashed trigram tables.
 SLOTS = 1 << 18
@@ -126,8 +127,9 @@ class Model:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on rows with text and lang.  For each language about ``rows`` documents, chosen by a
-    hash of the text, are counted in one group; the driver gets one pair of tables a language."""
+    """Fit on rows with text and lang.  For each language at most about ``rows`` texts, chosen by
+    a hash of the text, are counted in one group, a text once however often it is repeated; the
+    driver gets one pair of tables a language."""
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         s, c = count_grams(group.column("text"))
         return pa.table({"lang": group.column("lang")[:1], "s": [s.astype("<i8").tobytes()], "c": [c.astype("<i8").tobytes()]})
 
-    got = sorted(sample.select("lang", "text").groupBy("lang").applyInArrow(count, "lang string, s binary, c binary").collect())
+    got = sorted(sample.select("lang", "text").distinct().groupBy("lang").applyInArrow(count, "lang string, s binary, c binary").collect())
     return Model([r["lang"] for r in got], [np.frombuffer(r["s"], "<i8") for r in got], [np.frombuffer(r["c"], "<i8") for r in got])
 
 

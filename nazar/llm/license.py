@@ -158,11 +158,11 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
         either = "|".join(re.escape(a) for a in model.anchors) or "(?!)"
         keep = F.filter("ps", lambda p: p.rlike(f"(?i)(?<![a-z0-9])(?:{either})(?![a-z0-9])"))
     found = tables.save(found.select("doc_id", F.size("ps").cast("long").alias("n_paragraphs"), keep.alias("ps")).withColumn("uid", F.monotonically_increasing_id()))
-    rows = tables.save(with_grams(found.select("uid", F.explode("ps").alias("p"))).drop("p"))
+    rows = with_grams(found.select("uid", F.explode("ps").alias("p")))
     likely = (F.col("family") != UNKNOWN) & (F.col("p_family") >= model.level)
-    # the n-grams of paragraphs that go no further are not written again
-    best = tables.save(model.predicted(rows).select("uid", F.when(likely, F.col("grams")).alias("grams"), "family", "p_family"))
-    best = best.where("grams is not null")
+    # n-grams are many times a paragraph's size: the paragraph is kept instead, if it goes further
+    best = model.predicted(rows).select("uid", F.when(likely, F.col("p")).alias("p"), "family", "p_family")
+    best = with_grams(tables.save(best).where("p is not null"))
     own = F.filter(_templates(), lambda t: t["f"] == F.col("family"))
     per = best.where(F.array_max(_overlaps(F.col("grams"), own))["o"] >= CONFIRM_OVERLAP).groupBy("uid").agg(F.count("*").alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("p_family").alias("confidence"))
     out = found.drop("ps").join(per, "uid", "left")

@@ -7,7 +7,8 @@ until a pair at the threshold meets in some trie with the target recall.  Nodes
 prefix are first compared with a few fixed nodes of that prefix (stars, linear in the
 group), and every candidate link is verified on the whole shingle sets.  What is then still
 apart in a prefix group is compared block by block, so no pair between classes is skipped and
-no group is held by one task.  Linked nodes form classes (connected components).
+no group is held by one task.  Linked nodes form classes (connected components).  The links of
+a document are counted in its class, where every node meets every other one, block by block.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ HEADS = 3
 BLOCK = 1_024
 #: Rows of one task of the block comparison.
 TASK_ROWS = 20_000
+#: Members, and shingle hashes, of a class compared in one block when its links are counted.
+CLASS_BLOCK, CLASS_HASHES = 2_048, 1_000_000
+#: Shingles whose holders are counted at once.
+COLUMNS = 2_048
 #: Shingle hashes of one task of the exact check of blocks.
 TASK_HASHES = 4_000_000
 #: Standard deviations below the threshold at which a signature's estimate still goes on to the exact check.
@@ -239,16 +244,74 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
     return likely.groupBy(task(max(1, -(-hashes // TASK_HASHES)))).applyInPandas(verify, "a long, b long")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links, h: one row a document (columns doc_id and text are read).
-
-    class_id is the smallest doc_id of the document's class (null if all of them are).
-    n_links counts its exact copies and the verified links of its text that the join holds:
-    inside a class that a common neighbour already connects, links are not all enumerated.
-    Null texts link with nothing; texts without words only with exact copies; texts of one to
-    four words have one shingle.  Equal rows are copies of each other.  An empty table gives
-    an empty result.  h is the text's MD5 digest.
-    """
+def shared_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of each set of ``one`` with each set of ``other`` (distinct values each)."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, other)]
+    held = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (one, other)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]))
+    out = np.zeros((len(one), len(other)), dtype=np.float32)  # exact below 2 ** 24
+    if not len(both):
+        return out
+    cells = []
+    for values, rows in zip(flat, held, strict=True):
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        hit = both[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((at[hit][order], rows[hit][order]))
+    for lo in range(0, len(both), COLUMNS):
+        grids = []
+        for (at, rows), n in zip(cells, out.shape, strict=True):
+            x, y = np.searchsorted(at, [lo, lo + COLUMNS])
+            grid = np.zeros((n, COLUMNS), dtype=np.float32)
+            grid[rows[x:y], at[x:y] - lo] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def linked_documents(labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """nid, links: the documents of other nodes that each node of a class is linked with.  All
+    nodes of a class meet, block by block; rows move and come out for each node of a block."""
+    own = labels.join(nodes.select("nid", "n", "copies"), "nid")
+    per = own.groupBy("label").agg(F.count("*").alias("size"), F.sum("copies").alias("docs"), F.sum("n").alias("hashes"))
+    own = tables.save(own.join(per, "label"))
+    # the two nodes of a class of two are linked
+    two = own.where("size = 2").select("nid", (F.col("docs") - F.col("copies")).alias("links"))
+    of = F.greatest(F.ceil(F.col("size") / CLASS_BLOCK), F.ceil(F.col("hashes") / CLASS_HASHES)).cast("int")
+    many = own.where("size > 2").withColumn("of", of).withColumn("at", F.pmod(F.xxhash64("nid"), "of").cast("int"))
+    rows = many.select("label", "nid", "n", "copies", "at", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("with"))
+    rows = rows.select("label", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "nid", "n", "copies")
+    rows = tables.save(rows)
+    hashes = rows.agg(F.sum("n")).first()[0] or 0
+    block = ["label", "i", "j"]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*block, "at", "nid"], kind="stable").reset_index(drop=True)
+        group = pdf[block].to_numpy()
+        cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1), True])
+        n, copies, at, s = (pdf[c].to_numpy() for c in ("n", "copies", "at", "s"))
+        links = np.zeros(len(pdf), dtype=np.int64)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            i, j = group[lo, 1:]
+            mid = lo + int(np.searchsorted(at[lo:hi], j)) if i != j else hi
+            other = slice(mid, hi) if i != j else slice(lo, hi)
+            shared = shared_counts(list(s[lo:mid]), list(s[other])).astype(np.int64)
+            linked = shared >= threshold * (n[lo:mid, None] + n[None, other] - shared)
+            if i == j:
+                np.fill_diagonal(linked, False)
+            links[lo:mid] += linked @ copies[other]
+            if i != j:
+                links[mid:hi] += copies[lo:mid] @ linked
+        return pd.DataFrame({"nid": pdf["nid"], "links": links})
+
+    task = F.pmod(F.xxhash64(*block), F.lit(max(1, -(-hashes // TASK_HASHES)))).alias("task")
+    counted = rows.join(sets, "nid").groupBy(task).applyInPandas(count, "nid long, links long")
+    return two.unionByName(counted.groupBy("nid").agg(F.sum("links").alias("links")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The signed documents, the nodes (distinct texts: nid, h, smallest doc_id, copies, n), the
+    labels (nid, label) of the linked ones, and their shingle sets."""
     spark = docs.sparkSession
     tables.small_batches(spark)
     depth = prefix_length(threshold)
@@ -267,26 +330,42 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(links)
     rest = tables.save(_apart(members.drop("heads"), labels, nodes, sets, threshold, depth))
     if not rest.isEmpty():
-        links = tables.save(links.union(rest).distinct())
-        labels = components(links)
-    degree = links.select(F.col("a").alias("nid")).union(links.select("b")).groupBy("nid").agg(F.count("*").alias("links"))
+        labels = components(tables.save(links.union(rest).distinct()))
+    return signed, nodes, labels, sets
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links: one row a document (columns doc_id and text are read).
+
+    class_id is the smallest doc_id of the document's class (null if all of them are).
+    n_links counts the other documents that the document is linked with: exact copies, and
+    those whose shingle sets are similar enough, each copy of a text for itself.
+    Null texts link with nothing; texts without words only with exact copies; texts of one to
+    four words have one shingle.  Equal rows are copies of each other.  An empty table gives
+    an empty result.
+    """
+    signed, nodes, labels, sets = classes(docs, threshold)
+    degree = linked_documents(labels, nodes, sets, threshold)
     named = nodes.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     class_id = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = named.join(degree, "nid", "left").join(class_id, "label")
     named = named.select(F.col("h").alias("g"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "h").join(named, F.col("h") == F.col("g"), "left")
     return out.select("doc_id", F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "h")
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return join(tables.table(spark, sf_dir, "documents")).drop("h")
+    return join(tables.table(spark, sf_dir, "documents"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the smallest doc_id (of equal rows, one); rows
     with a null text stay.  Columns as they came."""
-    keep = join(docs, threshold).where("h is not null and doc_id <=> class_id").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"))
+    _, nodes, labels, _ = classes(docs, threshold)
+    named = nodes.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    first = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    keep = named.join(first, "label").where("doc_id <=> class_id").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"))
     # a class's smallest id may stand on several texts: the smallest digest of them stays
     keep = keep.groupBy("__d").agg(F.min("__h").alias("__h"))
     own = docs.withColumn("__g", F.unhex(F.md5("text")))

@@ -105,6 +105,28 @@ def test_join_against_brute_force(docs, odd):
     assert len(kept) <= len(rows) and len([r for r in kept if r.doc_id == 4]) <= 2
 
 
+def near_rows():
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # near copies of one text, some of them twice
+        w = list(base)
+        for at in rng.choice(120, i % 4, replace=False):
+            w[at] = f"x{i}a{at}"
+        rows += [(i, " ".join(w))] * (1 + i % 2)
+    return rows + [(1000 + i, f"one{i} two{i} three{i} four{i} five{i} six{i}") for i in range(5)]
+
+
+@pytest.mark.parametrize("block", [neardup.CLASS_BLOCK, 7])
+def test_links_are_all_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "CLASS_BLOCK", block)
+    rows = near_rows()
+    sets = [shingle_set(t) for _, t in rows]
+    want = [(d, sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets))) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True))]
+    got = neardup.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(want) and max(n for _, n in want) > 50
+
+
 def test_base_spans_of_pii():
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
     texts = ["a@b.c_d@e.f x@@y.z @q.r a.b@c", "1.2.3.4.5.6.7.8 300.1.1.1 01.002.3.4 1.2.3", "é a+b@c-d.e-f.gh, " * 3, "1@2.3.4.5"]

@@ -364,10 +364,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with a null text stay.  Columns as they came."""
     _, nodes, labels, _ = classes(docs, threshold)
     named = nodes.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    keep = named.join(first, "label").where("doc_id <=> class_id").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"))
-    # a class's smallest id may stand on several texts: the smallest digest of them stays
-    keep = keep.groupBy("__d").agg(F.min("__h").alias("__h"))
+    # of each class, not of each id: unrelated texts may share an id, or have none
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    keep = named.groupBy("label").agg(first.alias("x")).select(F.col("x.doc_id").alias("__d"), F.col("x.h").alias("__h"))
     own = docs.withColumn("__g", F.unhex(F.md5("text")))
     kept = own.join(keep, (F.col("__g") == F.col("__h")) & own["doc_id"].cast("long").eqNullSafe(F.col("__d")))
     kept = kept.dropDuplicates(["__g", "doc_id"])

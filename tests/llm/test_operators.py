@@ -127,6 +127,14 @@ def test_links_are_all_counted(spark, monkeypatch, block):
     assert sorted((r.doc_id, r.n_links) for r in got) == sorted(want) and max(n for _, n in want) > 50
 
 
+def test_unrelated_texts_with_equal_or_null_ids_stay(spark):
+    rows = [(d, " ".join(f"{d}a{i}b{j}" for j in range(30))) for d in (None, 7) for i in range(4)]
+    rows += [(d, " ".join(f"c{j}" for j in range(30))) for d in (None, 7, 9)] + [(8, rows[0][1])]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [r for r in rows if r[0] not in (8, 9) and r not in (rows[0], rows[8])] + [(8, rows[0][1])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_base_spans_of_pii():
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
     texts = ["a@b.c_d@e.f x@@y.z @q.r a.b@c", "1.2.3.4.5.6.7.8 300.1.1.1 01.002.3.4 1.2.3", "é a+b@c-d.e-f.gh, " * 3, "1@2.3.4.5"]

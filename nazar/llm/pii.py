@@ -5,7 +5,8 @@ stand before other identifier-like tokens, so patterns and instances (token valu
 bipartite graph, which Spark scores in a few rounds: a pattern by the share of its distinct
 instances that are trusted, an instance by the patterns that extract it.  Patterns that are
 trusted, seen with enough different seeds, and cues (an identifier follows the word in a fair
-share of all its occurrences) then mark identifiers that no rule knows.
+share of all its occurrences, each distinct text counted once) then mark identifiers that no
+rule knows.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nazar.llm import tables, tokens
+from nazar.llm import tables
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -115,32 +115,47 @@ def _digest(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _word_before(text: str, start: int) -> tuple[str, bool]:
+    """(the word before a place, or "" if it is none; whether it stands there as a token of its own)."""
+    before = text[max(0, start - 60):start]
+    pieces = before.split()
+    word = pieces[-1].strip(TRIM).lower() if pieces else ""
+    if not word or any(c.isdigit() for c in word):
+        return "", False
+    cut = start > 60 and before.startswith(pieces[-1]) and len(pieces) == 1 and not text[start - 61].isspace()
+    return word, before[-1].isspace() and not cut
+
+
 def _edges(docs: DataFrame) -> DataFrame:
-    """pattern, word, inst, kind (null if no rule knows it): the pattern-instance graph."""
+    """pattern, word, inst, kind (null if no rule knows it), h (hash of the text), n (places there),
+    glued (places whose word is no token of its own): the pattern-instance graph, a text once."""
+    names = ["pattern", "word", "inst", "kind", "h", "n", "glued"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            for text in b.column(0).to_pylist():
+            out: dict[tuple, list[int]] = {}
+            for text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                base = base_spans(text)
-                taken = sorted((s, e, k) for s, k, e in base)
-                rows = [(s, e, KINDS[k]) for s, e, k in taken]
-                cand = candidates(text)
+                rows = [(s, e, KINDS[k]) for s, k, e in base_spans(text)]
+                taken = [(s, e) for s, e, _ in rows]
+                rows += [(s, e, None) for s, e, _ in candidates(text) if not any(s < y and x < e for x, y in taken)]
+                places = set()
                 for s, e, k in rows:
-                    before = text[max(0, s - 60):s].split()
-                    word = before[-1].strip(TRIM).lower() if before else ""
-                    if word and not any(c.isdigit() for c in word):
-                        v = text[s:e]
-                        seen[f"{kind_of_shape(v)}|{word}", word, _digest(v), k] += 1
-                for s, e, word in cand:
-                    if not any(s < y and x < e for x, y, _ in rows):
+                    word, alone = _word_before(text, s)
+                    if word:
                         v = text[s:e]
-                        seen[f"{kind_of_shape(v)}|{word}", word, _digest(v), None] += 1
-            cols = list(zip(*seen, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["pattern", "word", "inst", "kind"])
+                        seen = out.setdefault((f"{kind_of_shape(v)}|{word}", word, _digest(v), k, h), [0, 0])
+                        if s not in places:  # a place of two kinds is one place
+                            seen[0] += 1
+                            seen[1] += not alone
+                        places.add(s)
+            cols = list(zip(*[(*k, *v) for k, v in out.items()], strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return docs.select("text").mapInArrow(run, "pattern string, word string, inst long, kind string").distinct()
+    src = docs.select("text", F.xxhash64("text").alias("h"))
+    return src.mapInArrow(run, "pattern string, word string, inst long, kind string, h long, n long, glued long").distinct()
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -160,34 +175,25 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scored
 
 
-def _word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
-    """How often each of the words occurs in all texts."""
-    if not words:
-        return {}
-    spark = docs.sparkSession
-    data = pa.array(words, pa.string())
-    (_, raw, offsets), = tokens.text_slices(data, 1 << 62)
-    h, text, _ = tokens.words(raw, offsets)
-    single = np.bincount(text, minlength=len(words)) == 1
-    of = {words[t]: int(x) for x, t in zip(h, text, strict=True) if single[t]}
-    shared = spark.sparkContext.broadcast(np.sort(np.array(list(of.values()), dtype=np.uint64)))
+def _word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """word, c: how often each of the words stands as a token in the distinct texts."""
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        count = np.zeros(len(wanted) + 1, np.int64)
         for b in batches:
-            for _, raw, offsets in tokens.text_slices(b.column(0)):
-                hashes, _, _ = tokens.words(raw, offsets)
-                at = np.searchsorted(wanted, hashes)
-                hit = wanted[np.minimum(at, len(wanted) - 1)] == hashes
-                count += np.bincount(at[hit], minlength=len(wanted) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.astype(np.int64)), pa.array(count[:-1])], names=["h", "c"])
+            out = []
+            for text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                count: Counter = Counter()
+                for piece, n in Counter((text or "").split()).items():
+                    word = piece.strip(TRIM).lower()
+                    if word in wanted.value:
+                        count[word] += n
+                out += [(h, w, n) for w, n in count.items()]
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["h", "word", "c"])
 
-    if not of:
-        return {}
-    got = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    by = {r.h & ((1 << 64) - 1): r.c for r in got.collect()}  # as many rows as words asked for
-    return {w: by.get(x, 0) for w, x in of.items()}
+    src = docs.select("text", F.xxhash64("text").alias("h"))
+    return src.mapInArrow(run, "h long, word string, c long").distinct().groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def learn(docs: DataFrame) -> list[dict[str, str]]:
@@ -196,13 +202,15 @@ def learn(docs: DataFrame) -> list[dict[str, str]]:
     src = tables.spread_out(docs.select("text"))
     edges = tables.save(_edges(src))
     scored = score_patterns(edges).where((F.col("score") >= TRUST) & (F.col("seeds") >= MIN_SEEDS))
-    follows = edges.groupBy("pattern").agg(F.countDistinct("inst").alias("follows"))
-    good = tables.save(scored.join(follows, "pattern").orderBy("pattern", "kind"))
+    follows = edges.groupBy("pattern").agg(F.sum("n").alias("follows"))
+    glued = edges.groupBy("word").agg(F.sum("glued").alias("glued"))
+    good = tables.save(scored.join(follows, "pattern").join(glued, "word").orderBy("pattern", "kind"))
     blocks, held = [], []
 
     def close() -> None:
-        counts = _word_counts(src, sorted({r.word for r in held}))
-        blocks.append({r.pattern: r.kind for r in sorted(held, key=lambda r: (r.score, r.kind)) if r.follows >= MIN_CUE * counts.get(r.word, 1 << 62)})
+        # as many rows as words asked for
+        counts = {r.word: r.c for r in _word_counts(src, sorted({r.word for r in held})).collect()}
+        blocks.append({r.pattern: r.kind for r in sorted(held, key=lambda r: (r.score, r.kind)) if r.follows >= MIN_CUE * (counts.get(r.word, 0) + r.glued)})
 
     for row in good.toLocalIterator():
         held.append(row)

@@ -155,6 +155,17 @@ def test_pii_finds_new_identifiers_by_context(spark):
     assert "u3.x@" not in red[3] and "<email>" in red[3] and red[101] is None
 
 
+def test_pii_cues_with_copies_and_inner_punctuation(spark):
+    rows = [(i, f"some words here contact: u{i}.x@mail.example.com and e-mail u{i}.y@mail.example.com more") for i in range(30)]
+    rows += [(50 + i, "one copied text: contact: is a word, e-mail is another") for i in range(200)]
+    rows += [(400 + i, "a copied line contact: u1.x@mail.example.com again") for i in range(200)]
+    rows += [(900 + i, f"the {'plain ' * 20} word plain u{i}.z@mail.example.com") for i in range(30)]  # no cue
+    rows += [(1000, "others: contact: user77_at_mail then e-mail user78_at_mail and plain user79_at_mail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.scan(df, pii.learn(df)).collect()}
+    assert got[1000] == "context_email:17:31,context_email:44:58"
+
+
 def test_secrets(spark, odd):
     got = {r.doc_id: r for r in secrets.scan(odd, secrets.learn(odd)).collect()}
     assert len(got) == len({r[0] for r in ODD}) and got[5].n_assign == 1 and got[6].n_access == 1 and got[6].n_hex == 1

@@ -12,6 +12,7 @@ merge into its removal spans.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,20 +42,15 @@ COLUMNS = "n_words long, n_hit long, n_items long, items_sha256 string, contamin
 class Phrases:
     """Windows of one block of test items: vocabulary, symbols and owning items."""
 
-    def __init__(self, item_ids: list[str], word_lists: list[np.ndarray], window: int = WINDOW):
-        rows, lens, owner = [], [], []
-        for k, w in enumerate(word_lists):
-            n = len(w)
-            size = min(window, n)
-            if not size:
-                continue
-            for i in range(n - size + 1):
-                rows.append(np.concatenate([w[i:i + size], np.zeros(window - size, np.uint64)]))
-                lens.append(size)
-                owner.append(k)
-        grid = np.array(rows, dtype=np.uint64).reshape(-1, window)
-        lens = np.array(lens, dtype=np.int64)
-        owner = np.array(owner, dtype=np.int64)
+    def __init__(self, item_ids: list[str | None], word_lists: list[np.ndarray], window: int = WINDOW):
+        grids, sizes = [np.zeros((0, window), np.uint64)], np.array([min(window, len(w)) for w in word_lists], dtype=np.int64)
+        many = np.array([len(w) - size + 1 if size else 0 for w, size in zip(word_lists, sizes, strict=True)], dtype=np.int64)
+        for w, size in zip(word_lists, sizes, strict=True):
+            if size:
+                own = np.lib.stride_tricks.sliding_window_view(w, size)
+                grids.append(np.pad(own, ((0, 0), (0, window - size))))
+        grid = np.concatenate(grids)
+        lens, owner = np.repeat(sizes, many), np.repeat(np.arange(len(sizes)), many)
         self.item_ids = item_ids
         self.vocabulary = np.unique(np.concatenate(word_lists)) if word_lists else np.zeros(0, np.uint64)
         # symbols 1..V; 0 is the separator
@@ -251,8 +247,8 @@ def scan_batch(col: pa.Array, blocks: list, window: int = WINDOW) -> dict[str, l
         rows = len(offsets) - 1
         hashes, text, starts = tokens.words(data, offsets)
         covered = np.zeros(len(hashes) + 1, dtype=np.int64)
-        pairs, names = [], []
-        for k, b in enumerate(blocks):
+        items: dict[int, set] = {}
+        for b in blocks:
             p = b.value
             for phrase, place in occurrences(p.to_symbols(hashes), text, p):
                 np.add.at(covered, place, 1)
@@ -260,16 +256,16 @@ def scan_batch(col: pa.Array, blocks: list, window: int = WINDOW) -> dict[str, l
                 many = p.owner_at[phrase + 1] - p.owner_at[phrase]
                 first = np.repeat(p.owner_at[phrase] - (np.cumsum(many) - many), many)
                 item = p.owners[first + np.arange(int(many.sum()))]
-                pairs.append(np.unique(np.repeat(text[place], many) * len(p.item_ids) + item))
-                names.append(k)
+                pairs = np.unique(np.repeat(text[place], many) * len(p.item_ids) + item)
+                for doc, x in zip((pairs // len(p.item_ids)).tolist(), (pairs % len(p.item_ids)).tolist(), strict=True):
+                    if p.item_ids[x] is not None:
+                        items.setdefault(doc, set()).add(p.item_ids[x])
+            if len(blocks) > 1:  # one block at a time in memory: the next use reads its file again
+                del p
+                vars(b).pop("_value", None)
         hit = np.cumsum(covered[:-1]) > 0
         n_words = np.bincount(text, minlength=rows)
         n_hit = np.bincount(text[hit], minlength=rows)
-        items: dict[int, set] = {}
-        for k, pair in zip(names, pairs, strict=True):
-            ids = blocks[k].value.item_ids
-            for doc, item in zip((pair // len(ids)).tolist(), (pair % len(ids)).tolist(), strict=True):
-                items.setdefault(doc, set()).add(ids[item])
         # removal spans: maximal runs of hit words of one text, in words of that text
         edge = np.flatnonzero(hit)
         spans: dict[int, list] = {}
@@ -295,22 +291,42 @@ def scan_batch(col: pa.Array, blocks: list, window: int = WINDOW) -> dict[str, l
 
 # ------------------------------------------------------------------ operator
 
-def phrase_blocks(items: DataFrame, window: int = WINDOW, most: int = BLOCK_WINDOWS) -> Iterator[Phrases]:
-    """The test items as blocks of at most about ``most`` windows, one at a time on the driver.
-    Items with a null id or no words have no windows."""
-    ids, lists, size = [], [], 0
-    rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    for row in rows.where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        (_, data, offsets), = tokens.text_slices(pa.array([row.t], pa.large_string()), 1 << 62)
-        h, _, _ = tokens.words(data, offsets)
-        ids.append(row.i)
-        lists.append(h)
-        size += max(1, len(h))
-        if size >= most:
-            yield Phrases(ids, lists, window)
-            ids, lists, size = [], [], 0
-    if ids:
-        yield Phrases(ids, lists, window)
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """i, w: the items' ids and word hashes, a long item in pieces that share no window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in tokens.text_slices(batch.column(1), SLICE):
+                rows = len(offsets) - 1
+                hashes, text, _ = tokens.words(data, offsets)
+                cut = np.searchsorted(text, np.arange(rows + 1))
+                which, own = [], []
+                for r in range(rows):
+                    w = hashes[cut[r]:cut[r + 1]].view(np.int64)
+                    for lo in range(0, max(1, len(w) - window + 1) if len(w) else 0, most):
+                        which.append(first + r)
+                        own.append(w[lo:lo + most + window - 1])
+                ids = batch.column(0).take(pa.array(which, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own, pa.list_(pa.int64()))], names=["i", "w"])
+
+    return items.select(F.col("item_id").cast("string").alias("i"), "text").mapInArrow(run, "i string, w array<long>")
+
+
+def phrase_blocks(items: DataFrame, window: int = WINDOW, most: int | None = None) -> Iterator[Phrases]:
+    """The test items as blocks of about ``most`` windows, made by grouped tasks and written to
+    the shared folder; one at a time passes the driver.  Null and word-less texts have no
+    windows.  Items with a null id have theirs, but no id to report."""
+    most = most or BLOCK_WINDOWS
+    pieces = tables.save(_pieces(items, window, max(1, most // 8)))
+    words = pieces.agg(F.sum(F.size("w"))).first()[0] or 0
+
+    def build(group: pa.Table) -> pa.Table:
+        ids = group.column("i").to_pylist()
+        own = [np.array(w, dtype=np.int64).view(np.uint64) for w in group.column("w").to_pylist()]
+        return pa.table({"block": [pickle.dumps(Phrases(ids, own, window))]})
+
+    which = F.pmod(F.xxhash64("i", "w"), F.lit(max(1, -(-words // most)))).alias("k")
+    for row in tables.save(pieces.groupBy(which).applyInArrow(build, "block binary")).toLocalIterator():
+        yield pickle.loads(row.block)
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -319,7 +335,9 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Null, empty and word-less texts have no words and are clean; rows with equal or null ids
     are each scanned on their own; an empty test set leaves every text clean.  Items that share
-    an id count as one.  The test set goes to the executors in blocks of ``BLOCK_WINDOWS``.
+    an id count as one; items without an id count for the hit words and ``contaminated``, not for
+    ``n_items`` and the digest of the ids.  The test set goes to the executors in blocks of about
+    ``BLOCK_WINDOWS``, of which a task holds one at a time.
     """
     spark = docs.sparkSession
     tables.small_batches(spark)

@@ -62,6 +62,21 @@ def test_decontam_against_brute_force(spark, odd):
     assert not decontam.scan(odd, bench.limit(0)).where("contaminated").count()
 
 
+def test_decontam_items_without_id_and_small_blocks(spark, odd, monkeypatch):
+    items = [(None, "gamma delta epsilon zeta eta theta iota kappa alpha beta gamma"), (None, "one two"), (7, "one two"), (8, "call"), (9, "alpha beta " * 40), (7, "Call +1 (988)")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    named = [x for x in items if x[0] is not None]
+    want = sorted(str((r[0], brute_hits(r[1], items)[1], *brute_hits(r[1], named)[2:])) for r in ODD)
+    for most in (decontam.BLOCK_WINDOWS, 12):
+        monkeypatch.setattr(decontam, "BLOCK_WINDOWS", most)
+        got = decontam.scan(odd, bench).select("doc_id", "n_hit", "n_items", "items_sha256").collect()
+        assert sorted(str(tuple(r)) for r in got) == want
+    assert len(list(decontam.phrase_blocks(bench))) > 2
+    only = bench.where("item_id is null")
+    assert sorted(r.doc_id for r in decontam.scan(odd, only).where("contaminated").collect()) == [3, 4, 4]
+    assert decontam.decontaminated(odd, only).count() == len(ODD) - 3
+
+
 def test_fm_index_finds_every_occurrence():
     rng = np.random.default_rng(1)
     text = np.concatenate([rng.integers(1, 5, 400), [0], rng.integers(1, 5, 300), [0]]).astype(np.int64)

@@ -5,8 +5,8 @@ Vector maths uses higher-order array functions on *materialised* columns
 pairs of vectors never emit the pairs:
 * mean / std of pair cosines use Gram sums: Σ_{i<j} u_i·u_j = (‖Σu‖² − n)/2 and
   Σ_{i<j} (u_i·u_j)² = (‖Σ u uᵀ‖²_F − n)/2 for unit vectors u;
-* min / max / Euclidean means compare each task's vectors with a bounded,
-  broadcast reference block in numpy (``mapInPandas``) and emit aggregates.
+* min / max / Euclidean means compare a block of vectors of each side in numpy, every
+  pair of blocks in a grouped task, and emit aggregates.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nazar.functions.mathx import rnd
-from nazar.session import BROADCAST_ROW_LIMIT, broadcast_if_small, broadcast_lexicon
+from nazar.session import BROADCAST_ROW_LIMIT, broadcast_if_small, broadcast_lexicon, ensure_checkpoint_dir
 
-REFERENCE_LIMIT = 20_000  # rows of a broadcast reference block (size-checked)
+BLOCK_ROWS = 4_096  # vectors of each side that meet in one grouped task
+CHUNK = 4 << 20  # numbers of one temporary array of a block
 MAX_PROBES = 1_000  # query vectors carried to every vocabulary row by most_similar
 
 
@@ -180,56 +181,72 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, vec_col: str = "vec"):
     return assigned, sizes, model.summary.trainingCost
 
 
-def _reference_block(df: DataFrame, key_col: str, group_col: str | None, vec_col: str, limit: int) -> pd.DataFrame:
-    n = df.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"reference block above {limit} rows: pass a sample")
-    cols = [key_col, vec_col] + ([group_col] if group_col else [])
-    return df.select(*cols).toPandas()
+def _met(points: DataFrame, reference: DataFrame, id_col: str):
+    """Both sides cut into hashed blocks, every block of one with every block of the other:
+    rows with _role (0 point, 1 reference), grouped by the two blocks."""
+    n_p, n_r = (max(1, -(-d.count() // BLOCK_ROWS)) for d in (points, reference))
+
+    def at(n: int) -> Column:
+        return F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+
+    def all_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = points.select(*points.columns, F.lit(0).alias("_role"), at(n_p).alias("_i"), all_of(n_r).alias("_j"))
+    right = reference.select(*reference.columns, F.lit(1).alias("_role"), at(n_r).alias("_j"), all_of(n_p).alias("_i"))
+    return left.unionByName(right, allowMissingColumns=True).groupBy("_i", "_j")
+
+
+def _sides(pdf: pd.DataFrame, vec_col: str):
+    x, y = pdf[pdf["_role"] == 0], pdf[pdf["_role"] == 1]
+    return x, y, *(np.vstack(d[vec_col].to_numpy()).astype(np.float64) if len(d) else None for d in (x, y))
 
 
 def silhouette(points: DataFrame, cluster_col: str = "grp", id_col: str = "word", vec_col: str = "vec",
-               reference: DataFrame | None = None, limit: int = REFERENCE_LIMIT) -> DataFrame:
+               reference: DataFrame | None = None) -> DataFrame:
     """Euclidean silhouette with given assignments.
 
-    Every point is compared with the reference block (by default all points;
-    pass a sample for very large inputs) inside numpy: per point the sum and
-    count of distances to each cluster, then a = mean to own cluster (self
+    Every point is compared with every reference row (by default all points),
+    block by block in grouped numpy tasks: per point the sum and count of
+    distances to each cluster are added up, then a = mean to own cluster (self
     excluded), b = min over other clusters, s = (b − a)/max(a, b), 0 for
-    singletons.  Emits one row per point, never the pairs.
+    singletons, null without another cluster.  Emits one row per point, never the pairs.
     """
-    ref = _reference_block(reference if reference is not None else points, id_col, cluster_col, vec_col, limit)
-    spark = points.sparkSession
-    ref_ids = ref[id_col].to_numpy()
-    ref_vec = np.vstack(ref[vec_col].to_numpy()).astype(np.float64) if len(ref) else np.zeros((0, 1))
-    ref_grp = ref[cluster_col].to_numpy()
-    groups = np.unique(ref_grp)
-    bc = spark.sparkContext.broadcast((ref_ids, ref_vec, ref_grp, groups))
-
-    def per_part(it):
-        ids, vec, grp, gs = bc.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            d = np.sqrt(np.maximum(((x[:, None, :] - vec[None, :, :]) ** 2).sum(-1), 0.0))
-            same_id = pdf[id_col].to_numpy()[:, None] == ids[None, :]
-            own = pdf[cluster_col].to_numpy()
-            out_s = []
-            for i in range(len(pdf)):
-                di = d[i]
-                mask_self = ~same_id[i]
-                a_mask = (grp == own[i]) & mask_self
-                if a_mask.sum() == 0:
-                    out_s.append(0.0)
-                    continue
-                a = di[a_mask].mean()
-                b = min(di[(grp == g)].mean() for g in gs if g != own[i] and (grp == g).any())
-                out_s.append(float((b - a) / max(a, b)) if max(a, b) > 0 else 0.0)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), cluster_col: own, "silhouette": out_s})
-
-    schema = f"{id_col} {dict(points.dtypes)[id_col]}, {cluster_col} {dict(points.dtypes)[cluster_col]}, silhouette double"
-    return points.select(id_col, cluster_col, vec_col).mapInPandas(per_part, schema)
+    ensure_checkpoint_dir(points.sparkSession)
+    pts = points.select(id_col, cluster_col, vec_col).withColumn("_uid", F.monotonically_increasing_id()).checkpoint()
+    ref = (reference if reference is not None else pts).select(id_col, cluster_col, vec_col)
+    kinds = dict(pts.dtypes)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_role", id_col], kind="stable")
+        x, y, xv, yv = _sides(pdf, vec_col)
+        code, names = pd.factorize(pdf[cluster_col], use_na_sentinel=False)
+        own, of = code[:len(x)], code[len(x):]
+        s, c = np.zeros((len(x), len(names))), np.zeros((len(x), len(names)), dtype=np.int64)
+        if len(x) and len(y):
+            member = np.eye(len(names))[of]
+            xi, yi = x[id_col].to_numpy(), y[id_col].to_numpy()
+            step = max(1, CHUNK // yv.size)
+            for lo in range(0, len(x), step):
+                part = slice(lo, lo + step)
+                d = np.sqrt(((xv[part, None, :] - yv[None, :, :]) ** 2).sum(-1))
+                itself = (xi[part, None] == yi[None, :]) & (own[part, None] == of[None, :])
+                s[part] = np.where(itself, 0.0, d) @ member
+                c[part] = (~itself) @ member
+        k = len(names)
+        return pd.DataFrame({"_uid": np.repeat(x["_uid"].to_numpy().astype(np.int64), k), id_col: np.repeat(x[id_col].to_numpy(), k),
+                             cluster_col: np.repeat(x[cluster_col].to_numpy(), k), "_other": np.tile(np.asarray(names), len(x)),
+                             "_s": s.ravel(), "_c": c.ravel()})
+
+    schema = f"_uid long, {id_col} {kinds[id_col]}, {cluster_col} {kinds[cluster_col]}, _other {kinds[cluster_col]}, _s double, _c long"
+    per = _met(pts, ref, id_col).applyInPandas(sums, schema)
+    per = per.groupBy("_uid", id_col, cluster_col, "_other").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    mean = F.when(F.col("_c") > 0, F.col("_s") / F.col("_c"))
+    own = F.col("_other").eqNullSafe(F.col(cluster_col))
+    ab = per.groupBy("_uid", id_col, cluster_col).agg(F.max(F.when(own, mean)).alias("_a"), F.min(F.when(~own, mean)).alias("_b"))
+    most = F.greatest("_a", "_b")
+    value = F.when(F.col("_a").isNull(), 0.0).when(most > 0, (F.col("_b") - F.col("_a")) / most).otherwise(0.0)
+    return ab.select(id_col, cluster_col, value.alias("silhouette"))
 
 
 def group_coherence(vectors: DataFrame, group_col: str = "grp", vec_col: str = "vec") -> DataFrame:
@@ -365,32 +382,29 @@ def dim_correlation(vectors: DataFrame, n_dims: int = 50, vec_col: str = "vec")
 
 
 def pair_similarity_stats(vectors: DataFrame, reference: DataFrame | None = None, key_col: str = "word",
-                          vec_col: str = "vec", limit: int = REFERENCE_LIMIT) -> DataFrame:
-    """H7: off-diagonal cosine statistics between the rows and a bounded
-    reference block (default: the rows themselves).  Each task multiplies its
-    unit vectors with the broadcast reference matrix in numpy and emits
-    count / sum / sum of squares / min / max; the pairs never become rows."""
-    ref = _reference_block(reference if reference is not None else vectors, key_col, None, vec_col, limit)
-    spark = vectors.sparkSession
-    rv = np.vstack(ref[vec_col].to_numpy()).astype(np.float64)
-    rv = rv / np.linalg.norm(rv, axis=1, keepdims=True)
-    bc = spark.sparkContext.broadcast((ref[key_col].to_numpy(), rv))
-
-    def per_part(it):
-        rid, r = bc.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            c = x @ r.T
-            off = pdf[key_col].to_numpy()[:, None] != rid[None, :]
-            v = c[off]
-            if v.size:
-                yield pd.DataFrame({"n": [int(v.size)], "s": [float(v.sum())], "q": [float((v * v).sum())],
-                                    "mn": [float(v.min())], "mx": [float(v.max())]})
-
-    parts = vectors.select(key_col, vec_col).mapInPandas(per_part, "n long, s double, q double, mn double, mx double")
+                          vec_col: str = "vec") -> DataFrame:
+    """H7: off-diagonal cosine statistics between the rows and the reference
+    rows (default: the rows themselves).  Each grouped task multiplies the unit
+    vectors of a block of each side in numpy and emits count / sum / sum of
+    squares / min / max; the pairs never become rows."""
+    rows = vectors.select(key_col, vec_col)
+    ref = (reference if reference is not None else vectors).select(key_col, vec_col)
+
+    def stats(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_role", key_col], kind="stable")
+        x, y, xv, yv = _sides(pdf, vec_col)
+        out = []
+        if len(x) and len(y):
+            xv, yv = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (xv, yv))
+            xi, yi = x[key_col].to_numpy(), y[key_col].to_numpy()
+            step = max(1, CHUNK // len(y))
+            for lo in range(0, len(x), step):
+                v = (xv[lo:lo + step] @ yv.T)[xi[lo:lo + step, None] != yi[None, :]]
+                if v.size:
+                    out.append((int(v.size), float(v.sum()), float((v * v).sum()), float(v.min()), float(v.max())))
+        return pd.DataFrame(out, columns=["n", "s", "q", "mn", "mx"])
+
+    parts = _met(rows, ref, key_col).applyInPandas(stats, "n long, s double, q double, mn double, mx double")
     a = parts.agg(F.sum("n").alias("n_pairs"), F.sum("s").alias("_s"), F.sum("q").alias("_q"),
                   F.min("mn").alias("min"), F.max("mx").alias("max"))
     mean = F.col("_s") / F.col("n_pairs")

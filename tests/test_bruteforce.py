@@ -72,3 +72,9 @@ def test_silhouette_matches_dense(spark):
         ref.append((b - a) / max(a, b))
     got = V.silhouette(wv, "grp", "word", "vec").agg(F.avg("silhouette")).first()[0]
     assert abs(got - float(np.mean(ref))) < 1e-9
+
+
+def test_vectors_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 30)
+    test_pair_similarity_and_coherence_match_dense(spark)
+    test_silhouette_matches_dense(spark)

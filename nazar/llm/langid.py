@@ -20,8 +20,7 @@ from pyspark.sql.types import StructType
 
 from nazar.llm import tables, tokens
 
-#: Expected rows of the training sample for each language (all rows, if it has fewer), before
-#: repeated texts are left out.
+#: Expected distinct texts of the training sample for each language (all, if it has fewer).
 TRAIN_ROWS = 2_000
 #: Slots of the hashed trigram tables.
 SLOTS = 1 << 18
@@ -131,7 +130,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     a hash of the text, are counted in one group, a text once however often it is repeated; the
     driver gets one pair of tables a language."""
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["texts"] for r in known.groupBy("lang").agg(F.countDistinct("h").alias("texts")).collect()}
     if not counts:
         return Model([], [], [])
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, rows / n)])

@@ -116,19 +116,23 @@ def _share(rows: int, of: int):
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Fit on documents outside the held-out fold: positives are those labelled 1, unlabelled are
     all, whatever their label.  The prior is the share of 1 among the fold's labelled rows.
-    One group holds the two bounded samples; the driver gets the weights."""
+    One group holds the two bounded samples of distinct texts; the driver gets the weights."""
     tables.small_batches(docs.sparkSession)
     src = docs.where(~held_out()).select("doc_id", "text")
     known = labels.where(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n_pos, n_known = known.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("*")).first()
-    n_docs = src.count()
+    hashed = src.select("doc_id", F.xxhash64("text").alias("h"))
+    n_docs = hashed.agg(F.countDistinct("h")).first()[0]
     if not n_pos or not n_docs:
         return np.zeros(WIDTH), 0.0
     prior = min(0.99, n_pos / n_known)
+    n_pos = hashed.join(known.where("quality = 1").select("doc_id"), "doc_id").agg(F.countDistinct("h")).first()[0]
     src = src.where(_share(POSITIVES, n_pos) | _share(UNLABELLED, n_docs))
     sample = src.join(known, "doc_id", "left").select(
         "text", ((F.col("quality") == 1) & _share(POSITIVES, n_pos)).alias("pos"), _share(UNLABELLED, n_docs).alias("un"))
 
+    sample = sample.where("pos or un").groupBy("text").agg(F.max("pos").alias("pos"), F.max("un").alias("un"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column(0))
@@ -143,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         w, bias = fit_nnpu(x[pos], x[un], prior)
         return pa.table({"w": [np.append(w, bias).astype("<f8").tobytes()]})
 
-    rows = sample.where("pos or un").mapInArrow(run, "x binary, pos boolean, un boolean")
+    rows = sample.mapInArrow(run, "x binary, pos boolean, un boolean")
     got = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fit, "w binary").collect()
     w = np.frombuffer(got[0].w, "<f8") if got else np.zeros(WIDTH + 1)
     return w[:-1].copy(), float(w[-1])

@@ -256,3 +256,13 @@ def test_classifiers(spark, docs, odd):
     assert all(r.toxic == (r.doc_id % 4 == 0) for r in toxicity.scan(df, fit).collect())
     assert (np.diff(fit.thetas) > 0).all()
     assert toxicity.scan(odd, toxicity.learn(df, lab.limit(0))).where("toxic").count() == 0
+
+
+def test_copies_do_not_change_the_samples(spark, docs):
+    rows = [("aa", f"mostly copied text {i}") for i in range(5) for _ in range(200)] + [("bb", f"andere wörter {i}") for i in range(5)]
+    assert langid.fit(spark.createDataFrame(rows, "lang string, text string"), 20).langs == ["aa", "bb"]
+    own = docs.where(~quality.held_out()).orderBy("doc_id").limit(80).select("doc_id", "text").collect()
+    labels = spark.createDataFrame([(r.doc_id, k % 2) for k, r in enumerate(own)], "doc_id long, quality int")
+    copies = [(10_000_000 + i, own[0].text) for i in range(400)]
+    once, often = (quality.learn(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (own, own + copies))
+    assert np.allclose(once[0], often[0], atol=1e-6) and abs(once[1] - often[1]) < 1e-6 and once[0].any()

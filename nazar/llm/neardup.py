@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by an LSH forest of MinHash prefix tries, verified exactly.
+"""N-gram Jaccard join by MinHash bands of a fixed depth, verified exactly.
 
 Texts are sets of five-word shingles; two texts are linked if their sets' Jaccard similarity is
 0.8 or more.  Exact copies become one node first.  A node's MinHash signature is cut into
-TREES sorted runs, each a path in a prefix trie; the matched prefix is shortened from DEPTH
-until a pair at the threshold meets in some trie with the target recall.  Nodes that share a
-prefix are first compared with a few fixed nodes of that prefix (stars, linear in the
+TREES runs (bands, called tries below); from each a prefix is matched, the longest one of at
+most DEPTH values with which a pair at the threshold meets in some band with the target recall
+(5 at 0.8).  It follows from the constants: no trie is built, and nothing adapts to the data.
+Nodes that share a prefix are first compared with a few fixed nodes of that prefix (stars, linear in the
 group), and every candidate link is verified on the whole shingle sets.  What is then still
 apart in a prefix group is compared block by block, so no pair between classes is skipped and
 no group is held by one task.  Linked nodes form classes (connected components).  The links of

@@ -55,7 +55,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def other_tokens(text: str, base: list) -> list[tuple[int, int]]:
-    return [(m.start(), m.end()) for m in TOKEN.finditer(text) if not any(m.start() < b[2] and b[0] < m.end() for b in base)]
+    """Places of the tokens that meet no base span, in time linear in both lists."""
+    out, ends, i = [], 0, 0
+    for m in TOKEN.finditer(text):
+        while i < len(base) and base[i][0] < m.end():
+            ends = max(ends, base[i][2])
+            i += 1
+        if ends <= m.start():
+            out.append((m.start(), m.end()))
+    return out
 
 
 def triples(value: str) -> np.ndarray:

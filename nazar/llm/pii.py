@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,13 +102,38 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         while end > start and text[end - 1] in "\"')]}>.,;:!?":
             end -= 1
         if SHORTEST <= end - start <= LONGEST:
-            before = text[max(0, start - 60):start].split()
-            word = before[-1].strip(TRIM).lower() if before else ""
-            if word and not any(c.isdigit() for c in word):
+            word, _ = word_before(text, start)
+            if word:
                 out.append((start, end, word))
     return out
 
 
+def word_before(text: str, start: int) -> tuple[str, bool]:
+    """(the word before a place, or "" if it is none; whether it stands there as a token of its
+    own).  Words hold no digit and at most LONGEST characters; any white space may lie between."""
+    end = start
+    while end and text[end - 1].isspace():
+        end -= 1
+    lo = max(0, end - LONGEST - 1)
+    piece = text[lo:end].split()[-1] if end else ""
+    word = piece.strip(TRIM).lower()
+    if len(piece) > LONGEST or not word or any(c.isdigit() for c in word):
+        return "", False
+    return word, end < start
+
+
+class Covered:
+    """Whether a place meets one of the spans (start, ..., end), in the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts = sorted(s[0] for s in spans)
+        self.ends = list(accumulate((e for _, e in sorted((s[0], s[-1]) for s in spans)), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+
 def kind_of_shape(value: str) -> str:
     """n: digits and signs; x: with letters."""
     return "x" if any(c.isalpha() for c in value) else "n"
@@ -115,17 +143,6 @@ def _digest(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _word_before(text: str, start: int) -> tuple[str, bool]:
-    """(the word before a place, or "" if it is none; whether it stands there as a token of its own)."""
-    before = text[max(0, start - 60):start]
-    pieces = before.split()
-    word = pieces[-1].strip(TRIM).lower() if pieces else ""
-    if not word or any(c.isdigit() for c in word):
-        return "", False
-    cut = start > 60 and before.startswith(pieces[-1]) and len(pieces) == 1 and not text[start - 61].isspace()
-    return word, before[-1].isspace() and not cut
-
-
 def _edges(docs: DataFrame) -> DataFrame:
     """pattern, word, inst, kind (null if no rule knows it), h (hash of the text), n (places there),
     glued (places whose word is no token of its own): the pattern-instance graph, a text once."""
@@ -138,12 +155,12 @@ def _edges(docs: DataFrame) -> DataFrame:
             for text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                rows = [(s, e, KINDS[k]) for s, k, e in base_spans(text)]
-                taken = [(s, e) for s, e, _ in rows]
-                rows += [(s, e, None) for s, e, _ in candidates(text) if not any(s < y and x < e for x, y in taken)]
+                base = base_spans(text)
+                rows, taken = [(s, e, KINDS[k]) for s, k, e in base], Covered(base)
+                rows += [(s, e, None) for s, e, _ in candidates(text) if not taken(s, e)]
                 places = set()
                 for s, e, k in rows:
-                    word, alone = _word_before(text, s)
+                    word, alone = word_before(text, s)
                     if word:
                         v = text[s:e]
                         seen = out.setdefault((f"{kind_of_shape(v)}|{word}", word, _digest(v), k, h), [0, 0])
@@ -176,50 +193,65 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """word, c: how often each of the words stands as a token in the distinct texts."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+    """word, c: how often each of the words stands as a token in the distinct texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A text gives one row, its hash and the codes and counts of the wanted words in it; copies
+    fall together by the hash; each task then adds its texts up, so it gives one row a word.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = wanted.value
         for b in batches:
             out = []
-            for text, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text in b.column(0).to_pylist():
                 count: Counter = Counter()
                 for piece, n in Counter((text or "").split()).items():
-                    word = piece.strip(TRIM).lower()
-                    if word in wanted.value:
-                        count[word] += n
-                out += [(h, w, n) for w, n in count.items()]
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["h", "word", "c"])
+                    code = codes.get(piece.strip(TRIM).lower())
+                    if code is not None:
+                        count[code] += n
+                out.append(np.array(list(count.items()), dtype="<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["h", "held"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(wanted.value), dtype=np.int64)
+        for b in batches:
+            pairs = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype="<i8").reshape(-1, 2)
+            np.add.at(total, pairs[:, 0], pairs[:, 1])
+        own = np.flatnonzero(total)
+        names = list(wanted.value)
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own], pa.string()), pa.array(total[own])], names=["word", "c"])
 
-    src = docs.select("text", F.xxhash64("text").alias("h"))
-    return src.mapInArrow(run, "h long, word string, c long").distinct().groupBy("word").agg(F.sum("c").alias("c"))
+    texts = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(held, "h long, held binary").where("length(held) > 0")
+    once = texts.groupBy("h").agg(F.min("held").alias("held")).select("held")
+    return once.mapInArrow(add, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def learn(docs: DataFrame) -> list[dict[str, str]]:
-    """Blocks of trusted patterns, pattern -> kind, each of at most BLOCK_PATTERNS."""
+    """Blocks of trusted patterns, pattern -> kind, each of at most BLOCK_PATTERNS.  A pattern
+    has one kind, that of its best score (of equal ones, the last by name)."""
     tables.small_batches(docs.sparkSession)
     src = tables.spread_out(docs.select("text"))
     edges = tables.save(_edges(src))
     scored = score_patterns(edges).where((F.col("score") >= TRUST) & (F.col("seeds") >= MIN_SEEDS))
+    scored = scored.groupBy("pattern", "word").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
     follows = edges.groupBy("pattern").agg(F.sum("n").alias("follows"))
     glued = edges.groupBy("word").agg(F.sum("glued").alias("glued"))
-    good = tables.save(scored.join(follows, "pattern").join(glued, "word").orderBy("pattern", "kind"))
-    blocks, held = [], []
-
-    def close() -> None:
-        # as many rows as words asked for
-        counts = {r.word: r.c for r in _word_counts(src, sorted({r.word for r in held})).collect()}
-        blocks.append({r.pattern: r.kind for r in sorted(held, key=lambda r: (r.score, r.kind)) if r.follows >= MIN_CUE * (counts.get(r.word, 0) + r.glued)})
-
-    for row in good.toLocalIterator():
-        held.append(row)
-        if len(held) >= BLOCK_PATTERNS:
-            close()
-            held = []
-    if held:
-        close()
-    return [b for b in blocks if b]
+    good = tables.save(scored.join(follows, "pattern").join(glued, "word"))
+    words = [r.word for r in good.select("word").distinct().orderBy("word").toLocalIterator()]
+    counts = None
+    for lo in range(0, len(words), BLOCK_PATTERNS):
+        part = _word_counts(src, words[lo:lo + BLOCK_PATTERNS])
+        counts = part if counts is None else counts.unionByName(part)
+    if counts is None:
+        return []
+    cues = good.join(counts, "word", "left").where(F.col("follows") >= MIN_CUE * (F.coalesce("c", F.lit(0)) + F.col("glued")))
+    blocks: list[dict[str, str]] = []
+    for row in tables.save(cues.select("pattern", "kind")).orderBy("pattern").toLocalIterator():
+        if not blocks or len(blocks[-1]) >= BLOCK_PATTERNS:
+            blocks.append({})
+        blocks[-1][row.pattern] = row.kind
+    return blocks
 
 
 def all_spans(text: str, blocks: list) -> tuple[list, list]:
@@ -227,8 +259,9 @@ def all_spans(text: str, blocks: list) -> tuple[list, list]:
     base = base_spans(text)
     added = []
     if blocks:
+        taken = Covered(base)
         for s, e, word in candidates(text):
-            if not any(s < y and x < e for x, _, y in base):
+            if not taken(s, e):
                 pattern = f"{kind_of_shape(text[s:e])}|{word}"
                 kind = next((b.value[pattern] for b in blocks if pattern in b.value), None)
                 if kind:

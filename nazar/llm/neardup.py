@@ -1,15 +1,18 @@
-"""N-gram Jaccard join by MinHash bands of a fixed depth, verified exactly.
+"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
 Texts are sets of five-word shingles; two texts are linked if their sets' Jaccard similarity is
-0.8 or more.  Exact copies become one node first.  A node's MinHash signature is cut into
-TREES runs (bands, called tries below); from each a prefix is matched, the longest one of at
-most DEPTH values with which a pair at the threshold meets in some band with the target recall
-(5 at 0.8).  It follows from the constants: no trie is built, and nothing adapts to the data.
-Nodes that share a prefix are first compared with a few fixed nodes of that prefix (stars, linear in the
-group), and every candidate link is verified on the whole shingle sets.  What is then still
-apart in a prefix group is compared block by block, so no pair between classes is skipped and
-no group is held by one task.  Linked nodes form classes (connected components).  The links of
-a document are counted in its class, where every node meets every other one, block by block.
+0.8 or more.  Exact copies become one node first.  A node's MinHash signature is cut into TREES
+runs of DEPTH values, one path for each prefix trie.  The forest is searched from the leaves:
+nodes that share a whole path are compared with a few fixed nodes of their leaf (stars, linear
+in the leaf), and every candidate link is verified on the whole shingle sets.  Then the matched
+prefixes are shortened by a value, the node that stands for a leaf meets the others under the
+same shorter prefix, and so on while the recall asks for it: for each band of similarity, the
+verified links say which share of such pairs meets in some trie at this depth.  The descent ends
+where that share reaches the target in every band, or at the depth that reaches it for pairs at
+the threshold (5 at 0.8), whatever the data.  What is then still apart under a prefix of the
+last depth is compared block by block, so no pair between classes is skipped and no group is
+held by one task.  Linked nodes form classes (connected components).  The links of a document
+are counted in its class, where every node meets every other one, block by block.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ SIZE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.9995
+#: Bands of similarity, to the unit, in which the recall is measured.
+BANDS = 20
 #: MinHash values of a text; the tries take the first ones, estimates take all.
 SIGNATURE = 256
 #: Nodes of a prefix group that all others are compared with first.
@@ -38,6 +43,8 @@ BLOCK = 1_024
 TASK_ROWS = 20_000
 #: Members, and shingle hashes, of a class compared in one block when its links are counted.
 CLASS_BLOCK, CLASS_HASHES = 2_048, 1_000_000
+#: Pairs of members in one task of that count.
+TASK_PAIRS = 4_000_000
 #: Shingles whose holders are counted at once.
 COLUMNS = 2_048
 #: Shingle hashes of one task of the exact check of blocks.
@@ -55,6 +62,20 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, reca
     return 1
 
 
+def value_bits(floor: int) -> int:
+    """Bits that a path keeps of each value below the first ``floor`` ones."""
+    return min(16, 62 // max(1, DEPTH - floor))
+
+
+def meeting_share(links: DataFrame, depth: int, trees: int = TREES) -> float | None:
+    """The least, over bands of similarity, of the share of pairs like the links (column s, their
+    similarity) that meet in a trie at the depth: found links over the number they stand for.
+    None without links."""
+    share = 1 - F.pow(1 - F.pow("s", F.lit(depth)), F.lit(trees))
+    bands = links.groupBy(F.floor(F.col("s") * BANDS)).agg((F.count("*") / F.sum(1 / share)).alias("share"))
+    return bands.agg(F.min("share")).first()[0]
+
+
 def _hash_params(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = tokens.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(SEED) + np.uint64(SEED))
     return base[:n] | np.uint64(1), base[n:]
@@ -70,8 +91,9 @@ def signatures(h: np.ndarray, text: np.ndarray, rows: int, n: int) -> tuple[np.n
     return out, own
 
 
-def _sign_batch(batch: pa.RecordBatch, at: int, depth: int) -> pa.RecordBatch:
-    keys, sigs, counts = [], [], []
+def _sign_batch(batch: pa.RecordBatch, at: int, floor: int) -> pa.RecordBatch:
+    keys, rest, sigs, counts = [], [], [], []
+    bits = value_bits(floor)
     for _, data, offsets in tokens.text_slices(batch.column(at), 1 << 20):
         rows = len(offsets) - 1
         h, text = tokens.shingles(*tokens.words(data, offsets)[:2], rows, SIZE)
@@ -80,31 +102,36 @@ def _sign_batch(batch: pa.RecordBatch, at: int, depth: int) -> pa.RecordBatch:
         fresh = np.ones(len(h), dtype=bool)
         fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
         h, text = h[fresh], text[fresh]
-        sig, own = signatures(h, text, rows, max(SIGNATURE, TREES * depth))
+        sig, own = signatures(h, text, rows, max(SIGNATURE, TREES * DEPTH))
         counts.append(np.bincount(text, minlength=rows))
-        key = np.zeros((TREES, len(own)), dtype=np.uint64)
+        key, deep = (np.zeros((TREES, len(own)), dtype=np.uint64) for _ in range(2))
         for j in range(TREES):
-            for k in range(depth):
-                key[j] = tokens.mix(key[j] * np.uint64(31) + sig[j * depth + k] + np.uint64(j + 1))
+            for k in range(floor):
+                key[j] = tokens.mix(key[j] * np.uint64(31) + sig[j * DEPTH + k] + np.uint64(j + 1))
+            for k in range(floor, DEPTH):
+                deep[j] = (deep[j] << np.uint64(bits)) | (sig[j * DEPTH + k] & np.uint64((1 << bits) - 1))
         has = np.zeros(rows, dtype=np.int64)
         has[own] = np.arange(1, len(own) + 1)
-        flat, low = key.T.astype(np.int64), (sig.T & 0xFFFF).astype("<u2")
+        flat, below, low = key.T.astype(np.int64), deep.T.astype(np.int64), (sig.T & 0xFFFF).astype("<u2")
         keys += [flat[i - 1] if i else None for i in has]
+        rest += [below[i - 1] if i else None for i in has]
         sigs += [low[i - 1].tobytes() if i else None for i in has]
     n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(n, pa.int64())], names=["keys", "sig", "n"])
+    cols = [pa.array(keys, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["keys", "deep", "sig", "n"])
 
 
-def _signed(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, h (digest of the text), keys (a prefix of each trie), sig, n (shingles)."""
+def _signed(docs: DataFrame, floor: int) -> DataFrame:
+    """doc_id, h (digest of the text), keys (the shortest prefix in each trie), deep (the path's
+    further values, packed), sig, n (shingles)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = _sign_batch(b, 2, depth)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *got.columns], names=["doc_id", "h", "keys", "sig", "n"])
+            got = _sign_batch(b, 2, floor)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *got.columns], names=["doc_id", "h", "keys", "deep", "sig", "n"])
 
-    return tables.spread_out(src).mapInArrow(run, "doc_id long, h binary, keys array<long>, sig binary, n long")
+    return tables.spread_out(src).mapInArrow(run, "doc_id long, h binary, keys array<long>, deep array<long>, sig binary, n long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -138,10 +165,45 @@ def _similar_size(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataF
 
 
 def _verified(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole shingle sets are similar enough."""
+    """a, b, s (similarity): the pairs of nodes whose whole shingle sets are similar enough."""
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return tables.save(both.where(shared >= threshold * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
+    both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("all"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    linked = both.where(F.col("shared") >= threshold * (F.col("all") - F.col("shared")))
+    return tables.save(linked.select("a", "b", (F.col("shared") / (F.col("all") - F.col("shared"))).alias("s")))
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """a, b: as few links as nodes, and some between heads, that connect the same nodes as the
+    links (a node, a head).  A node keeps the link to its smallest head; the others, of which it
+    has a bounded number, are links of that head with them, the same for many nodes."""
+    heads = links.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("heads"))
+    first = heads.select("a", F.element_at("heads", 1).alias("b"))
+    further = heads.select(F.element_at("heads", 1).alias("a"), F.explode(F.expr("slice(heads, 2, size(heads))")).alias("b"))
+    return first.unionByName(further.distinct())
+
+
+def forest_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, floor: int) -> tuple[DataFrame, int]:
+    """(verified links a, b, s of nodes with heads; the depth at which the descent ended) for
+    ``members`` (nid, tree, key, deep): the nodes with company under their shortest prefix."""
+    level, bits, target = DEPTH, value_bits(floor), TARGET_RECALL
+    heads = F.array_distinct(F.array(*[F.min_by("nid", F.xxhash64(F.lit(r), "nid")) for r in range(HEADS)]))
+    alive = members.withColumnRenamed("deep", "p")
+    links = compared = None
+    while True:
+        leaves = tables.save(alive.groupBy("tree", "key", "p").agg(heads.alias("heads"), F.count("*").alias("size")))
+        star = alive.join(leaves.where("size > 1").drop("size"), ["tree", "key", "p"])
+        star = star.select(F.col("nid").alias("a"), F.explode("heads").alias("b")).where("a != b").distinct()
+        if compared is not None:
+            star = star.join(compared, ["a", "b"], "left_anti")
+        star = tables.save(star)
+        compared = star if compared is None else compared.unionByName(star)
+        found = _verified(_similar_size(star, nodes, threshold), sets, threshold)
+        links = found if links is None else links.unionByName(found)
+        share = meeting_share(links, level)
+        if level == floor or share is not None and share >= target:
+            return links, level
+        level -= 1
+        alive = leaves.select("tree", "key", F.shiftright("p", bits).alias("p"), F.element_at("heads", 1).alias("nid"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,11 +223,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """The links (a, b) inside a prefix group but between different classes.  Members outside
-    the group's main class meet all members, block by block: signatures first, then the whole
-    shingle sets of the nodes that still have a partner, in the same blocks.  A pair is compared
-    in the first trie where it meets, and rows move for each node, never for each pair."""
+def _spanning(pairs: list[tuple[int, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """(label, label) rows, fewer than labels, that connect what the pairs (label, labels) connect."""
+    root = np.arange(len(labels))
+    for one, others in pairs:
+        met = np.unique(root[np.searchsorted(labels, np.append(others, one))])
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    own = np.flatnonzero(root != np.arange(len(labels)))
+    return np.column_stack([labels[own], labels[root[own]]])
+
+
+def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of classes, by their labels, that still lie apart though nodes of them under
+    the same prefix are similar.  Members outside the group's main class meet all members, block
+    by block: signatures first, then the whole shingle sets of the nodes that still have a
+    partner, in the same blocks.  A pair is compared in the first trie where it meets.  Rows move
+    for each node, never for each pair, and a block gives fewer links than it has classes."""
     m = members.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     per = m.groupBy("tree", "key").agg(F.min_by("label", "nid").alias("main"), F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     per = per.where("lo != hi and size > 2").drop("lo", "hi")
@@ -182,7 +256,7 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
     rows = tables.save(everyone.unionByName(minors))
     tasks = max(1, -(-rows.count() // TASK_ROWS))
     rows = rows.join(nodes.select("nid", "sig", "n", "keys"), "nid")
-    least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / max(SIGNATURE, TREES * depth)) ** 0.5)
+    least = max(0.0, threshold - SLACK * (threshold * (1 - threshold) / max(SIGNATURE, TREES * DEPTH)) ** 0.5)
 
     def blocks(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
         group = pdf[block].to_numpy()
@@ -199,6 +273,7 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
             mid = lo + int(np.searchsorted(role[lo:hi], 1))
             partners: dict[int, list[int] | None] = {}
             size: dict[int, int] = {}
+            named: dict[int, int] = {}
             for k in range(mid, hi):
                 ok = (label[lo:mid] != label[k]) & (np.minimum(n[lo:mid], n[k]) >= threshold * np.maximum(n[lo:mid], n[k]))
                 ok &= ~minor[lo:mid] | (nid[lo:mid] > nid[k])
@@ -207,20 +282,22 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
                 ok = ok[(sig[ok] == sig[k]).mean(axis=1) >= least]
                 if len(ok):
                     partners[nid[k]] = nid[ok].tolist()
-                    size[nid[k]] = n[k]
+                    size[nid[k]], named[nid[k]] = n[k], label[k]
                     for o in ok:
                         partners.setdefault(nid[o], None)
-                        size[nid[o]] = n[o]
+                        size[nid[o]], named[nid[o]] = n[o], label[o]
             at = tuple(pdf[c].iloc[lo] for c in block)
-            out += [(*at, x, size[x], with_) for x, with_ in partners.items()]
-        return pd.DataFrame(out, columns=[*block, "nid", "n", "partners"])
+            out += [(*at, x, named[x], size[x], with_) for x, with_ in partners.items()]
+        return pd.DataFrame(out, columns=[*block, "nid", "label", "n", "partners"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(block, kind="stable").reset_index(drop=True)
         found: list[np.ndarray] = []
         for lo, hi in blocks(pdf):
-            own = dict(zip(pdf["nid"].iloc[lo:hi], pdf["s"].iloc[lo:hi], strict=True))
-            for x, with_ in zip(pdf["nid"].iloc[lo:hi], pdf["partners"].iloc[lo:hi], strict=True):
+            ids = pdf["nid"].iloc[lo:hi]
+            own, named = dict(zip(ids, pdf["s"].iloc[lo:hi], strict=True)), dict(zip(ids, pdf["label"].iloc[lo:hi], strict=True))
+            pairs: list[tuple[int, np.ndarray]] = []
+            for x, with_ in zip(ids, pdf["partners"].iloc[lo:hi], strict=True):
                 if with_ is None:
                     continue
                 mine = np.sort(own[x])
@@ -231,14 +308,17 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
                     hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
                     shared = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64)
                     linked = some[shared >= threshold * (len(mine) + lengths - shared)]
-                    found.append(np.column_stack([np.minimum(linked, x), np.maximum(linked, x)]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                    if len(linked):
+                        pairs.append((named[x], np.unique([named[o] for o in linked])))
+            if pairs:
+                found.append(_spanning(pairs, np.unique(list(named.values()))))
+        pairs_found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs_found[:, 0], "b": pairs_found[:, 1]})
 
     def task(n: int):
         return F.pmod(F.xxhash64(*block), F.lit(n)).alias("task")
 
-    likely = rows.groupBy(task(tasks)).applyInPandas(compare, "tree int, key long, i int, j int, nid long, n long, partners array<long>")
+    likely = rows.groupBy(task(tasks)).applyInPandas(compare, "tree int, key long, i int, j int, nid long, label long, n long, partners array<long>")
     likely = tables.save(likely)
     hashes = likely.agg(F.sum("n")).first()[0] or 0
     likely = likely.join(sets, "nid")
@@ -276,6 +356,7 @@ def linked_documents(labels: DataFrame, nodes: DataFrame, sets: DataFrame, thres
     own = labels.join(nodes.select("nid", "n", "copies"), "nid")
     per = own.groupBy("label").agg(F.count("*").alias("size"), F.sum("copies").alias("docs"), F.sum("n").alias("hashes"))
     own = tables.save(own.join(per, "label"))
+    pairs = per.where("size > 2").agg(F.sum(F.col("size") * F.col("size") / 2)).first()[0] or 0
     # the two nodes of a class of two are linked
     two = own.where("size = 2").select("nid", (F.col("docs") - F.col("copies")).alias("links"))
     of = F.greatest(F.ceil(F.col("size") / CLASS_BLOCK), F.ceil(F.col("hashes") / CLASS_HASHES)).cast("int")
@@ -305,7 +386,8 @@ def linked_documents(labels: DataFrame, nodes: DataFrame, sets: DataFrame, thres
                 links[mid:hi] += copies[lo:mid] @ linked
         return pd.DataFrame({"nid": pdf["nid"], "links": links})
 
-    task = F.pmod(F.xxhash64(*block), F.lit(max(1, -(-hashes // TASK_HASHES)))).alias("task")
+    n_tasks = max(1, -(-hashes // TASK_HASHES), -int(-pairs // TASK_PAIRS))
+    task = F.pmod(F.xxhash64(*block), F.lit(n_tasks)).alias("task")
     counted = rows.join(sets, "nid").groupBy(task).applyInPandas(count, "nid long, links long")
     return two.unionByName(counted.groupBy("nid").agg(F.sum("links").alias("links")))
 
@@ -315,23 +397,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     labels (nid, label) of the linked ones, and their shingle sets."""
     spark = docs.sparkSession
     tables.small_batches(spark)
-    depth = prefix_length(threshold)
-    signed = tables.save(_signed(docs, depth))
+    floor = prefix_length(threshold)
+    signed = tables.save(_signed(docs, floor))
     first = signed.where("h is not null").groupBy("h").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("keys", "deep", "sig", "n")])
     nodes = tables.save(first.withColumn("nid", F.monotonically_increasing_id()))
-    path = nodes.where("n > 0").select("nid", F.posexplode("keys").alias("tree", "key"))
-    heads = [F.min_by("nid", F.xxhash64(F.lit(r), "nid")) for r in range(HEADS)]
-    groups = path.groupBy("tree", "key").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = tables.save(path.join(groups, ["tree", "key"]))
-    star = members.select("nid", F.explode("heads").alias("head")).where("nid != head").select(F.least("head", "nid").alias("a"), F.greatest("head", "nid").alias("b"))
-    near = _similar_size(star.distinct(), nodes, threshold)
+    path = nodes.where("n > 0").select("nid", F.posexplode(F.arrays_zip("keys", "deep")).alias("tree", "x")).select("nid", "tree", F.col("x.keys").alias("key"), "x.deep")
+    shared = path.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    members = tables.save(path.join(shared, ["tree", "key"]))
     sets = _sets_of(members.select("nid"), nodes, docs)
-    links = _verified(near, sets, threshold)
-    labels = components(links)
-    rest = tables.save(_apart(members.drop("heads"), labels, nodes, sets, threshold, depth))
+    links, level = forest_links(members, nodes, sets, threshold, floor)
+    labels = components(contracted(links))
+    if level > floor:  # groups of the depth where the descent ended
+        prefix = lambda key, deep: F.xxhash64(key, F.shiftright(deep, value_bits(floor) * (DEPTH - level)))
+        members = members.withColumn("key", prefix(F.col("key"), F.col("deep")))
+        nodes = tables.save(nodes.withColumn("keys", F.zip_with("keys", "deep", prefix)))
+    rest = tables.save(_apart(members.drop("deep"), labels, nodes, sets, threshold).distinct())
     if not rest.isEmpty():
-        labels = components(tables.save(links.union(rest).distinct()))
+        joined = components(rest).toDF("label", "top")
+        known = labels.unionByName(joined.select(F.col("label").alias("nid"), "label").join(labels.select("nid"), "nid", "left_anti"))
+        labels = tables.save(known.join(joined, "label", "left").select("nid", F.coalesce("top", "label").alias("label")))
     return signed, nodes, labels, sets
 
 

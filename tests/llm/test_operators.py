@@ -346,3 +346,66 @@ def test_context_patterns_have_one_kind_and_counts_of_distinct_texts(spark, monk
     assert got[900] == "context_email:10:24" and got[901] == ""
     assert pii.learn(df.limit(0)) == [] and pii.scan(df.limit(0), []).count() == 0
     assert secrets.scan(df.limit(0), secrets.learn(df.limit(0))).count() == 0
+
+
+def test_forest_descends_only_while_recall_asks_for_it(spark, monkeypatch):
+    ended = []
+    real = neardup.forest_links
+    monkeypatch.setattr(neardup, "forest_links", lambda *a: ended.append(real(*a)) or ended[-1])
+    rng = np.random.default_rng(4)
+
+    def copies(n, changed):
+        out = []
+        for k in range(30):
+            base = [f"b{k}w{i}" for i in range(n)]
+            for _ in range(2):
+                w = list(base)
+                for at in rng.choice(n, changed, replace=False):
+                    w[at] = f"x{rng.integers(1 << 40)}"
+                out.append(" ".join(w))
+        return spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+
+    near = neardup.join(copies(400, 1)).collect()  # similarity of about 0.95
+    assert ended[-1][1] > neardup.prefix_length(0.8) and all(r.n_links == 1 for r in near)
+    neardup.join(copies(200, 2)).collect()  # about 0.8
+    assert ended[-1][1] == neardup.prefix_length(0.8)
+    neardup.join(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()
+    assert ended[-1][1] == neardup.prefix_length(0.8)  # no link says how similar pairs are
+
+
+def test_forest_of_a_low_threshold_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(12):
+        base = [f"b{k}w{i}" for i in range(60)]
+        for c in range(3):
+            w = list(base)
+            for at in rng.choice(60, c, replace=False):
+                w[at] = f"x{k}a{at}c{c}"
+            rows.append((3 * k + c, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    want = [(d, sum(i != j and len(a & b) >= 0.6 * len(a | b) for j, b in enumerate(sets))) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True))]
+    got = neardup.join(spark.createDataFrame(rows, "doc_id long, text string"), 0.6).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted(want)
+
+
+def test_links_are_contracted_and_connect_the_same_nodes(spark):
+    def parts(pairs):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        out = {}
+        for x in list(root):
+            out.setdefault(find(x), set()).add(x)
+        return sorted(map(sorted, out.values()))
+
+    rng = np.random.default_rng(7)
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(100, 400, 1_500), rng.integers(0, 9, 1_500), strict=True)}
+    pairs |= {(500 + i, 600 + i) for i in range(5)}
+    got = [tuple(r) for r in neardup.contracted(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()]
+    assert parts(got) == parts(pairs) and len(got) <= len({a for a, _ in pairs}) + 9 * 8
+    labels = np.arange(10, 50)
+    met = [(int(labels[rng.integers(40)]), labels[rng.choice(40, 3, replace=False)]) for _ in range(12)]
+    span = neardup._spanning(met, labels)
+    assert parts(map(tuple, span.tolist())) == parts((a, int(b)) for a, with_ in met for b in with_) and len(span) < 40

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from nazar.llm import ann, decontam, langid, license, mix, neardup, pii, quality, secrets, toxicity
+from nazar.llm import align, ann, decontam, divergence, idfiles, langid, license, mix, neardup, pii, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,13 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": license.op8,
     "op9_decontaminate": decontam.op9,
     "op10_language_id": langid.op10,
+    "op11_source_divergence": divergence.op11,
+    "op12_cross_tokenizer": align.op12,
+    "op13_token_files": idfiles.op13,
     "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": divergence.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -235,15 +235,22 @@ def normalize_for_char_ngrams(c) -> Column:
     return F.lower(_rx(c, P.WS_JAVA + "{2,}", " "))
 
 
-def char_ngrams(s, n: int) -> Column:
-    """character n-grams of an already normalised string column.
+def characters(s) -> Column:
+    """The characters of a string as an array (none of an empty one)."""
+    return F.filter(F.split(_c(s), ""), lambda x: x != "")
 
-    ``s`` must be a column reference (materialise it with a select first):
-    a lambda re-evaluates any expression it captures once per position.
+
+def char_ngrams(chars, n: int) -> Column:
+    """character n-grams of ``characters`` of an already normalised string.
+
+    ``chars`` must be a column reference (materialise it with a select first):
+    a lambda re-evaluates any expression it captures once per position.  An
+    array gives a character at once; ``substring`` counts from the string's start.
     """
-    s = _c(s)
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
-    return F.when(F.length(s) >= n, grams).otherwise(F.array().cast("array<string>"))
+    a = _c(chars)
+    grams = F.transform(F.sequence(F.lit(1), F.size(a) - n + 1),
+                        lambda i: F.concat(*[F.get(a, i + (k - 1)) for k in range(n)]))
+    return F.when(F.size(a) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def sentence_count(c) -> Column:

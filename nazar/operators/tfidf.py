@@ -1,17 +1,23 @@
 """Sparse text features (F1–F18) in long form: (id, term, weight).
 
 Plan shape of a fit (see README "TF-IDF plan"):
-  explode terms → partial count per (id, term) → shuffle on (id, term)   [tf]
-  tf → partial count per term → shuffle on term (one row per term and map
-       task) → df/cf filter → top max_features → broadcast             [vocab]
-  tf ⋈ broadcast(vocab) → weight → L2 norm window per id → shuffle on id.
-The vocabulary side is bounded by ``max_features`` (or size-checked before
-broadcast when unbounded); frequent terms are pre-aggregated map-side, so a
-term present in every document costs one row per map task, not per document.
+  terms → distinct (term, tf) arrays, counted in the row → shuffle on id   [counts]
+  counts → explode → partial count per term → shuffle on term (one row per
+       term and map task) → df/cf filter → top max_features → broadcast    [vocab]
+  counts (the same exchange) → explode → ⋈ broadcast(vocab) → L2 norm window
+       per id, where the rows already are.
+Documents cross the network once, as arrays of distinct terms; nothing is
+shuffled on (id, term).  The vocabulary side is bounded by ``max_features``
+(or size-checked before broadcast when unbounded); frequent terms are
+pre-aggregated map-side, so a term present in every document costs one row
+per map task, not per document.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,16 +25,32 @@ from pyspark.sql import Window as W
 from nazar.functions import text as T
 from nazar.functions.mathx import rnd
 from nazar.operators.common import global_row_number, n_rows
-from nazar.session import broadcast_if_small
+from nazar.session import broadcast_if_small, cut_lineage
+
+
+def term_counts(docs: DataFrame, terms_col: str = "terms", id_col: str = "id") -> DataFrame:
+    """(id, counts): every document's distinct terms with their counts, an array of (term, tf)
+    made in the row: of the sorted terms, the places where a run ends give the runs' lengths.
+    Rows are dealt by id (a row is a document: ids are unique), so what is computed per id
+    afterwards needs no further shuffle, and all readers share this exchange."""
+    # each step reads the columns of the step before more than once, so none is inlined into a lambda
+    s = docs.select(id_col, F.sort_array(F.array_compact(terms_col)).alias("_s"))
+    ends = F.transform("_s", lambda t, i: F.when((i + 1 == F.size("_s")) | (t != F.get("_s", i + 1)), i + 1))
+    s = s.select(id_col, "_s", F.array_compact(ends).alias("_e"))
+    run = lambda e, k: F.struct(F.get("_s", e - 1).alias("term"), (e - F.coalesce(F.get("_e", k - 1), F.lit(0))).cast("bigint").alias("tf"))
+    return s.select(id_col, F.transform("_e", run).alias("counts")).repartition(id_col)
+
+
+def exploded_counts(counts: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, term, tf) of ``term_counts``."""
+    # inline_outer + null filter: a plain inline makes the optimizer infer
+    # size(counts) > 0 and push it below the exchange, counting every row twice
+    return counts.select(id_col, F.inline_outer("counts")).filter(F.col("term").isNotNull())
 
 
 def term_frequencies(docs: DataFrame, terms_col: str = "terms", id_col: str = "id") -> DataFrame:
     """(id, term, tf) raw counts."""
-    # explode_outer + null filter: a plain explode makes the optimizer infer
-    # size(terms) > 0 and push it below the projection, evaluating the whole
-    # term expression twice (and inside any n-gram lambda once per gram).
-    ex = docs.select(F.col(id_col), F.explode_outer(terms_col).alias("term")).filter(F.col("term").isNotNull())
-    return ex.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded_counts(term_counts(docs, terms_col, id_col), id_col)
 
 
 def build_vocab(tf: DataFrame, n_docs: Column, min_df: int | float = 2, max_df: int | float = 0.8,
@@ -66,13 +88,16 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, sublinear: bool = True, norm:
 
 
 def fit_tfidf(docs: DataFrame, terms_col: str = "terms", id_col: str = "id", min_df=2, max_df=0.8,
-              max_features: int | None = 10000, sublinear: bool = True, norm: bool = True):
+              max_features: int | None = 10000, sublinear: bool = True, norm: bool = True,
+              only: DataFrame | None = None):
     """F4+F5 on a table of term arrays → (vocab, weights).  n counts every input
-    row, including documents with no terms."""
+    row, including documents with no terms.  ``only`` (a table of ids): weights of
+    these documents alone, taken before their terms become rows."""
     n = n_rows(docs)
-    tf = term_frequencies(docs, terms_col, id_col)
-    vocab = build_vocab(tf, n, min_df, max_df, max_features)
-    return vocab, tfidf_weights(tf, vocab, sublinear, norm, id_col, max_features)
+    counts = term_counts(docs, terms_col, id_col)
+    vocab = build_vocab(exploded_counts(counts, id_col), n, min_df, max_df, max_features)
+    wanted = counts if only is None else counts.join(only.select(id_col), id_col, "left_semi")
+    return vocab, tfidf_weights(exploded_counts(wanted, id_col), vocab, sublinear, norm, id_col, max_features)
 
 
 def tfidf_transform(docs: DataFrame, vocab: DataFrame, terms_col: str = "terms", id_col: str = "id",
@@ -106,9 +131,8 @@ def sklearn_word_tokens(text) -> Column:
 def with_char_terms(df: DataFrame, text: Column, n_min: int = 2, n_max: int = 4, id_col: str = "id") -> DataFrame:
     """(id, terms) with all character n-grams, n_min ≤ n ≤ n_max."""
     s = df.select(id_col, T.normalize_for_char_ngrams(text).alias("_s"))
-    out = T.char_ngrams(F.col("_s"), n_min)
-    for n in range(n_min + 1, n_max + 1):
-        out = F.concat(out, T.char_ngrams(F.col("_s"), n))
+    s = s.select(id_col, T.characters("_s").alias("_a"))
+    out = F.concat(*[T.char_ngrams(F.col("_a"), n) for n in range(n_min, n_max + 1)])
     return s.select(id_col, out.alias("terms"))
 
 
@@ -178,9 +202,10 @@ def doc_similarity(weights: DataFrame, targets: DataFrame, id_col: str = "id", n
     number of documents sharing a term.  Weights are L2-normalised, so the dot
     product is the cosine.  Pairs without a shared term (cosine 0) are absent.
     ``n_targets`` (e.g. the sample size) bounds the broadcast side without a
-    counting job.
+    counting job.  The weights are written once; both sides read them.
     """
-    t = weights.join(targets.select(id_col), id_col).select(
+    weights = cut_lineage(weights.select(id_col, "term", "weight"))
+    t = weights.join(broadcast_if_small(targets.select(id_col), known_bound=n_targets), id_col).select(
         F.col(id_col).alias("id_b"), "term", F.col("weight").alias("w_b"))
     # rows of the target side ≤ targets × vocabulary size: a structural bound when known
     t = broadcast_if_small(t, known_bound=n_targets * max_terms if n_targets else None)
@@ -263,23 +288,72 @@ def anova_f(weights: DataFrame, labels: DataFrame, k: int = 1000, id_col: str =
     return out.orderBy(F.col("f_score").desc_nulls_last(), F.col("term")).limit(k)
 
 
-def svd(weights: DataFrame, n_terms: int, k: int = 10, id_col: str = "id"):
-    """truncated SVD of the document × term matrix (pyspark.mllib RowMatrix).
-
-    Returns (singular values, explained-variance ratios σ²/‖X‖²_F) as a DataFrame.
-    The Gram/ARPACK work is distributed; only k singular values reach the driver.
+# numbers of one dense block of documents × terms, and partial products added up in one task
+BLOCK_CELLS = 2_000_000
+FAN_IN = 16
+
+
+def _added(parts: DataFrame) -> np.ndarray:
+    """The sum of the float64 arrays of (part, data), FAN_IN at a time in a reduction tree: the
+    driver gets one."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(d, np.float64) for d in pdf["data"])
+        return pd.DataFrame({"part": [int(pdf["part"].min()) // FAN_IN], "data": [total.tobytes()]})
+
+    n = parts.rdd.getNumPartitions()
+    while n > 1:
+        parts = parts.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(add, "part long, data binary")
+        n = -(-n // FAN_IN)
+    first = parts.first()
+    return np.frombuffer(first["data"], np.float64) if first else np.zeros(0)
+
+
+def _products(rows: DataFrame, basis: np.ndarray, gram: bool) -> np.ndarray:
+    """Aᵀ(A·basis), or with ``gram`` (A·basis)ᵀ(A·basis), for the sparse rows (indices, values) of
+    A: dense blocks of a few documents, a partial product per partition."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    n_terms, width = basis.shape
+    step = max(1, BLOCK_CELLS // n_terms)
+
+    def run(batches):
+        from pyspark import TaskContext
+        total = np.zeros((width, width) if gram else (n_terms, width))
+        for b in batches:
+            cols, vals = b.column(0), b.column(1)
+            for lo in range(0, b.num_rows, step):
+                ix, vx = cols.slice(lo, step), vals.slice(lo, step)
+                block = np.zeros((len(ix), n_terms))
+                row = np.repeat(np.arange(len(ix)), ix.value_lengths().to_numpy())
+                block[row, ix.flatten().to_numpy()] = vx.flatten().to_numpy()
+                y = block @ shared.value
+                total += y.T @ y if gram else block.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())], names=["part", "data"])
+
+    parts = rows.select("indices", "values").mapInArrow(run, "part long, data binary")
+    shape = (width, width) if gram else (n_terms, width)
+    added = _added(parts)
+    return added.reshape(shape) if added.size else np.zeros(shape)
+
+
+def svd(weights: DataFrame, n_terms: int, k: int = 10, id_col: str = "id", oversample: int = 20,
+        passes: int = 6, seed: int = 42) -> DataFrame:
+    """truncated SVD of the document × term matrix by a randomised range finder.
+
+    Returns (component, singular value, explained-variance ratio σ²/‖X‖²_F).  A random basis of
+    k + ``oversample`` term vectors is multiplied by AᵀA and made orthonormal ``passes`` times;
+    the products run over blocks of documents, partial products are added in a tree, and only
+    the basis (n_terms × (k + oversample) numbers, bounded by the vocabulary) is on the driver.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    rows = to_sparse_vectors(weights.select(id_col, "idx", F.col("weight").alias("value")), n_terms, id_col)
-    rdd = rows.rdd.map(lambda r: Vectors.sparse(n_terms, r["indices"], r["values"]))
-    mat = RowMatrix(rdd)
-    res = mat.computeSVD(k, computeU=False)
-    s = [float(x) for x in res.s.toArray()]
-    total = weights.agg(F.sum(F.col("weight") ** 2)).first()[0]
-    spark = weights.sparkSession
-    return spark.createDataFrame([(i, v, v * v / total) for i, v in enumerate(s)],
-                                 "component int, singular_value double, variance_ratio double")
+    # 1,000 rows of at most n_terms terms in an Arrow batch
+    rows = cut_lineage(to_sparse_vectors(weights.select(id_col, "idx", F.col("weight").alias("value")), n_terms, id_col))
+    total = weights.agg(F.sum(F.col("weight") ** 2)).first()[0] or 0.0
+    width = min(n_terms, k + oversample)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
+    for _ in range(passes):
+        basis = np.linalg.qr(_products(rows, basis, gram=False))[0]
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(_products(rows, basis, gram=True))[::-1], 0.0))[:k]
+    return weights.sparkSession.createDataFrame([(i, float(v), float(v * v / total) if total else None) for i, v in enumerate(values)],
+                                                "component int, singular_value double, variance_ratio double")
 
 
 def feature_comparison(spark, reps: list[tuple[str, int, Column | float, str]]) -> DataFrame:

@@ -185,7 +185,7 @@ WHERE rank <= 20""")
 
 @query("top_terms_by_class", "F11", TOP_BY_CLASS_SQL, ("reviews", "review_labels"))
 def q_top_terms_by_class(spark, sf):
-    _, _, w = fitted(spark, sf)
+    _, _, w = fitted(spark, sf, only=X.review_labels(spark, sf))
     return TF.top_terms_by_class(w, X.review_labels(spark, sf), 20)
 
 
@@ -269,7 +269,7 @@ SELECT term, {rnd_sql('CASE WHEN Q - B > 0 THEN ((B - S * S / k.n) / (k.k - 1))
 FROM per, k ORDER BY f_score DESC NULLS LAST, term LIMIT 1000"""),
        ("reviews", "review_labels"))
 def q_anova_f(spark, sf):
-    _, _, w = fitted(spark, sf)
+    _, _, w = fitted(spark, sf, only=X.review_labels(spark, sf))
     return TF.anova_f(w, X.review_labels(spark, sf), 1000)
 
 
@@ -293,6 +293,6 @@ def q_feature_comparison(spark, sf):
 
 @query("svd", "F13")
 def q_svd(spark, sf):
-    _, vocab, w = fitted(spark, sf, max_features=2000)
+    _, vocab, w = fitted(spark, sf)
     n_terms = vocab.count()
     return TF.svd(w, n_terms, k=10)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nazar.operators import design as DS
 from nazar.operators import split as SP
 from nazar.session import cut_lineage
 
@@ -30,38 +31,37 @@ def softmax_argmax(logits) -> tuple[Column, Column]:
     return probs, arg
 
 
-def text_features(text_col: str = "text", vocab_size: int = 10000, min_df: float = 2.0, max_df: float = 0.8):
-    """Tokenizer → CountVectorizer → IDF → L2 Normalizer (sparse features)."""
+def _classifier(n: int, C: float, max_iter: int):
+    """One-vs-rest logistic regression; regParam = 1/(C·n) mirrors an inverse-regularisation C."""
+    from pyspark.ml.classification import LogisticRegression, OneVsRest
+    lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
+                            standardization=False, weightCol="weight", labelCol="label_d", featuresCol="features")
+    return OneVsRest(classifier=lr, labelCol="label_d", featuresCol="features", weightCol="weight")
+
+
+def _fit(train: DataFrame, blocks, text_col: str, C: float, max_iter: int, lexicon):
+    """The design's stages and the classifier, fitted on the training rows alone."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=False)
-    cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab_size, minDF=min_df, maxDF=max_df)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf")
-    nrm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-    return Pipeline(stages=[tok, cv, idf, nrm])
+    positive, negative = lexicon
+    stages = DS.stages(tuple(blocks), text_col, positive=positive, negative=negative)
+    return Pipeline(stages=[*stages, _classifier(train.count(), C, max_iter)]).fit(train)
 
 
 def fit_logistic(df: DataFrame, text_col: str = "text", label_col: str = "label", C: float = 1.0,
-                 test: float = 0.2, max_iter: int = 100, seed: int = 42):
-    """One-vs-rest logistic regression with balanced class weights.
+                 test: float = 0.2, max_iter: int = 100, seed: int = 42, blocks=("tfidf",), lexicon=((), ())):
+    """One-vs-rest logistic regression with balanced class weights over the given
+    feature ``blocks`` (see ``design.BLOCKS``; ``lexicon`` = positive and negative words).
 
-    regParam = 1/(C·n_train) mirrors an inverse-regularisation C.  Returns
-    (model pipeline, metrics DataFrame with train/test accuracy and weighted F1,
+    Returns (model pipeline, metrics DataFrame with train/test accuracy and weighted F1,
     test predictions).
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     s = SP.stratified_split(df, label_col, test, seed=seed)
     s = SP.with_class_weights(s, label_col, "weight").withColumn("label_d", F.col(label_col).cast("double"))
     # fitting and evaluating read the split several times: materialise it once (reliable checkpoint)
     s = cut_lineage(s)
     train, testd = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
-    n = train.count()
-    lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
-                            standardization=False, weightCol="weight", labelCol="label_d", featuresCol="features")
-    ovr = OneVsRest(classifier=lr, labelCol="label_d", featuresCol="features", weightCol="weight")
-    model = Pipeline(stages=[text_features(text_col), ovr]).fit(train)
+    model = _fit(train, blocks, text_col, C, max_iter, lexicon)
     ev_acc = MulticlassClassificationEvaluator(labelCol="label_d", metricName="accuracy")
     ev_f1 = MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1")
     ptr, pte = model.transform(train), model.transform(testd)
@@ -72,10 +72,8 @@ def fit_logistic(df: DataFrame, text_col: str = "text", label_col: str = "label"
 
 
 def cross_validate(df: DataFrame, text_col: str = "text", label_col: str = "label", k: int = 5, C: float = 1.0,
-                   max_iter: int = 50, seed: int = 42) -> DataFrame:
+                   max_iter: int = 50, seed: int = 42, blocks=("tfidf",), lexicon=((), ())) -> DataFrame:
     """K stratified folds; accuracy and weighted P/R/F1 per fold (one pyspark.ml fit per fold)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     f = SP.stratified_folds(df, label_col, k, seed=seed)
     f = SP.with_class_weights(f, label_col, "weight").withColumn("label_d", F.col(label_col).cast("double"))
@@ -83,11 +81,7 @@ def cross_validate(df: DataFrame, text_col: str = "text", label_col: str = "labe
     rows = []
     for i in range(k):
         tr, te = f.filter(F.col("fold") != i), f.filter(F.col("fold") == i)
-        lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / (C * max(tr.count(), 1)), standardization=False,
-                                weightCol="weight", labelCol="label_d")
-        model = Pipeline(stages=[text_features(text_col), OneVsRest(classifier=lr, labelCol="label_d",
-                                                                    weightCol="weight")]).fit(tr)
-        p = model.transform(te)
+        p = _fit(tr, blocks, text_col, C, max_iter, lexicon).transform(te)
         vals = [MulticlassClassificationEvaluator(labelCol="label_d", metricName=m).evaluate(p)
                 for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")]
         rows.append((i, *[float(v) for v in vals]))
@@ -107,30 +101,86 @@ def cv_summary(folds: DataFrame) -> DataFrame:
 
 
 def feature_importance(model, k: int = 20) -> DataFrame:
-    """Per class the k largest |coef| terms, split by sign."""
-    pipe = model.stages[0]
-    vocab = pipe.stages[1].vocabulary
-    ovr = model.stages[1]
+    """Per class the k largest |coef| features, split by sign; ``block`` names the feature's block."""
+    from pyspark.sql import SparkSession
+    blocks = DS.column_blocks(model)
+    names = [(b.name, n) for b in blocks for n in b.names]
     rows = []
-    for cls, m in enumerate(ovr.models):
+    for cls, m in enumerate(model.stages[-1].models):
         coef = m.coefficients.toArray()
         order = np.argsort(-np.abs(coef), kind="stable")[:k]
         for rank, j in enumerate(order, 1):
-            rows.append((cls, rank, vocab[j] if j < len(vocab) else str(j), float(coef[j]),
-                         "positive" if coef[j] > 0 else "negative"))
-    from pyspark.sql import SparkSession
+            block, name = names[j]
+            rows.append((cls, rank, name.removeprefix("tfidf_"), float(coef[j]), "positive" if coef[j] > 0 else "negative", block))
     return SparkSession.getActiveSession().createDataFrame(
-        rows, "cls int, rank int, term string, coefficient double, sign string")
+        rows, "cls int, rank int, term string, coefficient double, sign string, block string")
+
+
+def one_vs_rest_probabilities(margins) -> Column:
+    """Class probabilities of one-vs-rest margins (array<double>): each class's own logistic
+    probability over their sum; equal shares where all are 0."""
+    p = F.transform(margins, lambda x: 1.0 / (1.0 + F.exp(-x)))
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(p, lambda x: F.when(total > 0, x / total).otherwise(1.0 / F.size(margins)))
 
 
 def score(model, df: DataFrame) -> DataFrame:
-    """Predicted label and probability vector."""
+    """``df`` with the predicted label ``y_pred`` and the class probabilities ``proba``, for a
+    classifier that gives probabilities or a one-vs-rest model's margins.  The label is the class
+    of the largest probability, the lowest of equal ones."""
     from pyspark.ml.functions import vector_to_array
     out = model.transform(df)
-    cols = [c for c in df.columns] + [F.col("prediction").cast("int").alias("y_pred")]
     if "probability" in out.columns:
-        cols.append(vector_to_array("probability").alias("proba"))
-    return out.select(*cols)
+        out = out.withColumn("proba", vector_to_array("probability"))
+    else:
+        out = out.withColumn("_margins", vector_to_array("rawPrediction"))
+        out = out.withColumn("proba", one_vs_rest_probabilities(F.col("_margins")))
+    return out.select(*df.columns, F.col("prediction").cast("int").alias("y_pred"), "proba")
+
+
+# ---------------------------------------------------------------- stored models
+
+def save_model(model, path: str, labels: list[str], notes: dict[str, str] | None = None) -> int:
+    """A fitted pipeline (vocabularies, idf and scales, classifier) with its label order and
+    column ranges, as the next version under ``path``; returns the version.  The manifest row is
+    written last, so a version that is listed is whole."""
+    import json
+
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    done = model_versions(path)
+    version = 1 + (done.agg(F.max("version")).first()[0] or 0 if done is not None else 0)
+    model.write().overwrite().save(f"{path}/model-{version:06d}")
+    blocks = [[b.name, b.start, b.width] for b in DS.column_blocks(model)] if hasattr(model, "stages") else []
+    row = (version, list(labels), json.dumps(blocks), json.dumps(notes or {}, sort_keys=True))
+    spark.createDataFrame([row], "version int, labels array<string>, blocks string, notes string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+def model_versions(path: str) -> DataFrame | None:
+    """The manifest under ``path``: version, labels, blocks, notes; None before the first version."""
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import SparkSession
+    try:
+        return SparkSession.getActiveSession().read.parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
+def load_model(path: str, version: int | None = None, kind=None):
+    """(model, labels, blocks) of a version, by default the last; ``kind`` is the model's class
+    (a pipeline unless given)."""
+    import json
+
+    from pyspark.ml import PipelineModel
+    found = model_versions(path)
+    row = found.where(F.col("version") == version).first() if found is not None and version else \
+        found.orderBy(F.col("version").desc()).first() if found is not None else None
+    if row is None:
+        raise ValueError(f"no version {version or ''} under {path}")
+    return (kind or PipelineModel).load(f"{path}/model-{row.version:06d}"), list(row.labels), json.loads(row.blocks)
 
 
 def score_with_external_model(df: DataFrame, feature_cols: list[str], predict_fn: Callable[[np.ndarray], np.ndarray],

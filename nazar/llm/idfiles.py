@@ -38,8 +38,8 @@ TRAILER = struct.Struct("<IIQQQ8s")
 BLOCK, PIECE = 4_096, 1 << 20
 #: Bytes of text that make a file, about.
 FILE_BYTES = 64 << 20
-#: Encoded words a task remembers.
-HELD_WORDS = 500_000
+#: Encoded words a task remembers, and new words encoded together.
+HELD_WORDS, MARKED_WORDS = 1_000_000, 500
 END_ID = 1
 
 
@@ -162,22 +162,46 @@ class IdReader:
 class WordEncoder:
     """Ids of texts for a tokenizer that drops white space before it makes tokens, so that no
     token, and no step of its normaliser, reaches across ASCII white space: a text's ids are those
-    of its words one after the other, and each distinct word is encoded once."""
+    of its words one after the other, and each distinct word is encoded once.
+
+    New words are encoded together, between marks: a control character that alone is a word of
+    one token.  Words that hold that character are encoded by themselves.
+    """
+
+    MARK = b"\x01"
 
     def __init__(self, data: bytes):
         self.tokenizer = vocab.tokenizer(data, False)
         self.known: dict[bytes, bytes] = {}
+        mark = self._ids(self.MARK.decode())
+        self.mark = int(mark[0]) if len(mark) == 1 else None
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > HELD_WORDS:
-                self.known.clear()
-                fresh = list(dict.fromkeys(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(fresh, found, strict=True))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        alone = [w for w in fresh if self.mark is None or self.MARK in w]
+        self.known.update((w, self._ids(w.decode()).tobytes()) for w in alone)
+        if len(alone) == len(fresh):
+            return
+        joint = [w for w in fresh if self.MARK not in w] if alone else fresh
+        parts = [joint[lo:lo + MARKED_WORDS] for lo in range(0, len(joint), MARKED_WORDS)]
+        marked = [(b" " + self.MARK + b" ").join([*some, b""]).decode() for some in parts]
+        for some, e in zip(parts, self.tokenizer.encode_batch_fast(marked, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark) * 4
+            raw = ids.tobytes()
+            starts = [0, *(ends[:-1] + 4).tolist()]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends.tolist(), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.encode().split() for t in texts]
+        found = set().union(*split)
+        if len(self.known) + len(found) > HELD_WORDS:
+            self.known = {w: self.known[w] for w in found if w in self.known}
+        self._learn([w for w in found if w not in self.known])
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
 
 
 class TextEncoder:
@@ -186,8 +210,8 @@ class TextEncoder:
     def __init__(self, data: bytes):
         self.tokenizer = vocab.tokenizer(data, False)
 
-    def __call__(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, by_word: bool = True, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -212,9 +236,10 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, b
         out = None
         end = np.array([end_id], dtype="<u4")
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(texts), strict=True):
                 out = out or IdWriter(name, bits)
-                out.add(doc_id, np.concatenate([encode(text), end]) if text else end)
+                out.add(doc_id, np.concatenate([ids, end]))
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, name, out.n, len(out.ends))], names=["file", "path", "n_ids", "n_docs"])

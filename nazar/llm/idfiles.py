@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -164,38 +165,69 @@ class WordEncoder:
     token, and no step of its normaliser, reaches across ASCII white space: a text's ids are those
     of its words one after the other, and each distinct word is encoded once.
 
-    New words are encoded together, between marks: a control character that alone is a word of
-    one token.  Words that hold that character are encoded by themselves.
+    The tokenizer lowers all letters and cuts between a letter or digit and a sign, so texts are
+    lowered first (unless one may hold a special token) and a word's closing signs are a word of
+    their own.  New words are encoded together.  A word of letters is one piece for the tokenizer
+    and ends with a token that closes a word; others stand between marks, a control character
+    that alone is a word of one token.  Words that hold that character are encoded by themselves.
     """
 
     MARK = b"\x01"
+    SIGNS = b".,;:!?"
 
     def __init__(self, data: bytes):
         self.tokenizer = vocab.tokenizer(data, False)
         self.known: dict[bytes, bytes] = {}
         mark = self._ids(self.MARK.decode())
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        size = self.tokenizer.get_vocab_size()
+        self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, fresh: list[bytes]) -> None:
-        alone = [w for w in fresh if self.mark is None or self.MARK in w]
+        ends = {}
+        for w in fresh:
+            core = w.rstrip(self.SIGNS)
+            if len(core) < len(w) and core[-1:].isalnum():  # an ASCII letter or digit
+                ends[w] = core, w[len(core):]
+        self._encode(list({*fresh, *(x for pair in ends.values() for x in pair)} - ends.keys() - self.known.keys()))
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in ends.items())
+
+    def _encode(self, fresh: list[bytes]) -> None:
+        letters, signs = [], []
+        for w in fresh:
+            t = w.decode()
+            # one piece for the tokenizer: letters that its normaliser keeps
+            plain = t.isalpha() and (t.isascii() or t == t.lower() and is_normalized("NFC", t))
+            (letters if plain else signs).append(w)
+        for lo in range(0, len(letters), MARKED_WORDS):
+            some = letters[lo:lo + MARKED_WORDS]
+            ids = self._ids(b" ".join(some).decode())
+            if not self._cut(some, ids, np.flatnonzero(self.closing[ids]) * 4 + 4, 0):
+                signs += some
+        alone = [w for w in signs if self.mark is None or self.MARK in w]
         self.known.update((w, self._ids(w.decode()).tobytes()) for w in alone)
-        if len(alone) == len(fresh):
-            return
-        joint = [w for w in fresh if self.MARK not in w] if alone else fresh
-        parts = [joint[lo:lo + MARKED_WORDS] for lo in range(0, len(joint), MARKED_WORDS)]
-        marked = [(b" " + self.MARK + b" ").join([*some, b""]).decode() for some in parts]
-        for some, e in zip(parts, self.tokenizer.encode_batch_fast(marked, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark) * 4
-            raw = ids.tobytes()
-            starts = [0, *(ends[:-1] + 4).tolist()]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends.tolist(), strict=True))
+        joint = [w for w in signs if self.MARK not in w] if alone else signs
+        for lo in range(0, 0 if self.mark is None else len(joint), MARKED_WORDS):
+            some = joint[lo:lo + MARKED_WORDS]
+            ids = self._ids((b" " + self.MARK + b" ").join([*some, b""]).decode())
+            self._cut(some, ids, np.flatnonzero(ids == self.mark) * 4, 4)
+
+    def _cut(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> bool:
+        """Keep the ids of the words, cut at byte ``ends`` with ``gap`` bytes between; whether
+        there are as many ends as words."""
+        if len(ends) != len(words):
+            return False
+        raw = ids.tobytes()
+        starts = [0, *(ends[:-1] + gap).tolist()]
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, starts, ends.tolist(), strict=True))
+        return True
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
+        data = [t.encode() for t in texts]
+        split = [(d if b"<|" in d else d.lower()).split() for d in data]
         found = set().union(*split)
         if len(self.known) + len(found) > HELD_WORDS:
             self.known = {w: self.known[w] for w in found if w in self.known}

@@ -7,7 +7,11 @@ in each group: where one side has a single token it meets all tokens of the othe
 group's own ends say which tokens meet.  Many texts are laid one after the other, so their ends
 are boundaries of both sides and one intersection serves them all.
 
-The count of an id pair is the number of documents that hold it linked.  Documents are encoded
+Neither side has a token that reaches across a single space between words (``cut_text``), so
+both end there, and a text's groups and links are those of its words, one after the other: the
+summaries align each distinct word of a task once.
+
+The count of an id pair is the number of documents that hold it linked.  Documents are aligned
 once; their distinct pairs are written and counted, and looked up in a second pass: the most
 frequent pairs, up to a bound, go to the tasks as a sorted table; for the rest the documents'
 other pairs are joined with the counts.
@@ -16,6 +20,7 @@ other pairs are joined with the counts.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +33,8 @@ from nazar.llm import tables, vocab
 
 #: Bytes of text aligned at once; a longer text is taken whole.
 SLICE_BYTES = 1 << 20
+#: Aligned words a task remembers.
+HELD_WORDS = 300_000
 #: Distinct pairs a task holds before it passes their counts on.
 HELD_PAIRS = 2_000_000
 #: Id pairs, the most frequent ones, that tasks look up in memory (17 bytes each).
@@ -98,20 +105,26 @@ def align_texts(rows: list[int], texts: list[str], a_file: bytes, b_file: bytes)
     return Aligned(np.array([rows[i] for i in good], dtype=np.int64), a, b, a_text, b_text, a_cut, b_cut, link_a, link_b)
 
 
-def slices(col: pa.Array, a_file: bytes, b_file: bytes) -> Iterator[Aligned]:
-    """Alignments of the texts of an Arrow column; null and empty ones have none."""
+def _dealt(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, texts) of about SLICE_BYTES together, without null and empty ones."""
     rows: list[int] = []
-    texts: list[str] = []
-    held = 0
-    for i, t in enumerate(col.to_pylist()):
+    held: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
         if t:
             rows.append(i)
-            texts.append(t)
-            held += len(t)
-        if held >= SLICE_BYTES:
-            yield align_texts(rows, texts, a_file, b_file)
-            rows, texts, held = [], [], 0
-    if texts:
+            held.append(t)
+            size += len(t)
+        if size >= SLICE_BYTES:
+            yield rows, held
+            rows, held, size = [], [], 0
+    if held:
+        yield rows, held
+
+
+def slices(col: pa.Array, a_file: bytes, b_file: bytes) -> Iterator[Aligned]:
+    """Alignments of the whole texts of an Arrow column; null and empty ones have none."""
+    for rows, texts in _dealt(col.to_pylist()):
         yield align_texts(rows, texts, a_file, b_file)
 
 
@@ -136,6 +149,55 @@ def group_strings(x: Aligned, a_tok: vocab.Tokens, b_tok: vocab.Tokens) -> list[
     return [flat[lo:hi - 1] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+ODD_SPACE = re.compile(r"^ | \s| $")
+CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+
+
+def cut_text(text: str) -> list[str]:
+    """The text cut at every space with no space before and no white space after it.
+
+    The byte-level side cuts such a text before the space whatever stands around it, and the
+    words of the other side begin at a space, which none of its pieces holds after another
+    character (``cuts_at_spaces``); so the ids of ' ' + text are those of ' ' + each part.
+    """
+    return CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
+
+
+def cuts_at_spaces(b_tok: vocab.Tokens) -> bool:
+    return not any(b" " in t.lstrip(b" ") for t in b_tok.bytes)
+
+
+class Words:
+    """What the alignment of each distinct word adds to its text: (tokens of A, of B, groups, the
+    groups' string, packed codes of its links), None where the tokens do not give its bytes."""
+
+    def __init__(self, a_file: bytes, b_file: bytes):
+        self.files = a_file, b_file
+        self.a_tok, self.b_tok = vocab.byte_level_tokens(a_file), vocab.piece_tokens(b_file)
+        self.apart = cuts_at_spaces(self.b_tok)
+        self.known: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
+
+    def parts(self, text: str) -> list[str]:
+        # a sign that stands for a space in the pieces is taken with the whole text
+        return cut_text(text) if self.apart and "▁" not in text else [text]
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > HELD_WORDS:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        fresh = [w for w in words if w not in self.known]
+        if not fresh:
+            return
+        self.known.update(dict.fromkeys(fresh))
+        x = align_texts(list(range(len(fresh))), fresh, *self.files)
+        if not len(x.rows):
+            return
+        codes = (x.a[x.link_a] * len(self.b_tok) + x.b[x.link_b]).astype("<i8").tobytes()
+        ends = np.cumsum(x.per_text(x.a_text[x.link_a])).tolist()
+        numbers = (x.per_text(t).tolist() for t in (x.a_text, x.b_text, x.a_text[x.a_cut - 1]))
+        rows = zip(x.rows.tolist(), *numbers, group_strings(x, self.a_tok, self.b_tok), [0, *ends[:-1]], ends, strict=True)
+        self.known.update((fresh[row], (a, b, g, text, codes[8 * lo:8 * hi])) for row, a, b, g, text, lo, hi in rows)
+
+
 def _files(docs: DataFrame, a_path: str | None, b_path: str | None):
     read = (vocab.file_bytes(a_path or vocab.default_path("byte_bpe_50k.json")), vocab.file_bytes(b_path or vocab.default_path("piece_bpe_32k.model")))
     return docs.sparkSession.sparkContext.broadcast(read)
@@ -170,29 +232,30 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
 
 def _summaries(docs: DataFrame, files) -> DataFrame:
     """row (a mark of the document), doc_id, the numbers and the digest of its alignment, and its
-    distinct id pairs, packed, with the number of their links: from ``slices``, written once."""
+    distinct id pairs, packed, with the number of their links; written once."""
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(*files.value)
         for batch in batches:
-            a_tok, b_tok = vocab.byte_level_tokens(files.value[0]), vocab.piece_tokens(files.value[1])
             n = batch.num_rows
             cols = {c: np.zeros(n, dtype=np.int64) for c in numbers}
             digest, pairs, links = [""] * n, [b""] * n, [b""] * n
-            for x in slices(batch.column(1), *files.value):
-                if not len(x.rows):
-                    continue
-                link_text = x.a_text[x.link_a]
-                found = (x.per_text(x.a_text), x.per_text(x.b_text), x.per_text(x.a_text[x.a_cut - 1]), x.per_text(link_text))
-                for c, v in zip(numbers, found, strict=True):
-                    cols[c][x.rows] = v
-                space = len(a_tok) * len(b_tok)
-                code, many = np.unique(link_text * space + x.a[x.link_a] * len(b_tok) + x.b[x.link_b], return_counts=True)
-                cut = np.searchsorted(code, np.arange(len(x.rows) + 1) * space)
-                code, many = (code % space).astype("<i8"), many.astype("<u4")
-                for k, (row, text) in enumerate(zip(x.rows.tolist(), group_strings(x, a_tok, b_tok), strict=True)):
-                    digest[row] = hashlib.sha256(text).hexdigest()
-                    pairs[row], links[row] = code[cut[k]:cut[k + 1]].tobytes(), many[cut[k]:cut[k + 1]].tobytes()
+            for rows, texts in _dealt(batch.column(1).to_pylist()):
+                cut = [words.parts(t) for t in texts]
+                words.learn(set().union(*cut))
+                for row, own in zip(rows, cut, strict=True):
+                    found = [words.known[w] for w in own]
+                    if None in found:
+                        continue
+                    a, b, groups, strings, codes = zip(*found, strict=True)
+                    code, many = np.unique(np.frombuffer(b"".join(codes), "<i8"), return_counts=True)
+                    n_a, n_b, n_groups = sum(a), sum(b), sum(groups)
+                    # inside a group no end is common: a link more than ends inside it
+                    for c, v in zip(numbers, (n_a, n_b, n_groups, n_a + n_b - n_groups), strict=True):
+                        cols[c][row] = v
+                    digest[row] = hashlib.sha256(b";".join(strings)).hexdigest()
+                    pairs[row], links[row] = code.tobytes(), many.astype("<u4").tobytes()
             arrays = [*[pa.array(v) for v in cols.values()], pa.array(digest), pa.array(pairs, pa.binary()), pa.array(links, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *numbers, "groups_sha256", "pairs", "links"])
 

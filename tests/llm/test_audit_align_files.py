@@ -152,6 +152,7 @@ def test_alignment_against_brute_force(spark, docs, odd, shared, monkeypatch):
     if shared < align.SHARED_PAIRS:
         monkeypatch.setattr(align, "HELD_PAIRS", 100)
         monkeypatch.setattr(align, "SLICE_BYTES", 5_000)
+        monkeypatch.setattr(align, "HELD_WORDS", 50)
     both = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
     rows = both.collect()
     want = brute_alignment([r.text for r in rows])
@@ -171,6 +172,28 @@ def test_alignment_itself_and_empty_tables(spark, odd):
     assert align.alignment_summary(odd.where("text is null")).count() == 1
 
 
+def test_words_align_as_whole_texts_do():
+    files = [vocab.file_bytes(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    words = align.Words(*files)
+    assert words.apart
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u0301", "e", "word", "Word", "'s", "ll", "<s>", "<|endoftext|>", "日本", "🤦", "-", "...", "12", "\u00ad", "\u200d", "\x00", "\ufffd", "é", "▁"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 20))) for _ in range(3_000)]
+    whole = align.align_texts(list(range(len(texts))), texts, *files)
+    strings = dict(zip(whole.rows.tolist(), align.group_strings(whole, words.a_tok, words.b_tok), strict=True))
+    codes = whole.a[whole.link_a] * len(words.b_tok) + whole.b[whole.link_b]
+    of = whole.rows[whole.a_text[whole.link_a]]
+    for i, t in enumerate(texts):
+        cut = words.parts(t)
+        words.learn(set(cut))
+        found = [words.known[w] for w in cut]
+        assert (None in found) == (i not in strings), repr(t)
+        if i in strings:
+            assert b";".join(f[3] for f in found) == strings[i], repr(t)
+            assert b"".join(f[4] for f in found) == codes[of == i].astype("<i8").tobytes()
+    assert 500 < len(strings) < len(texts)
+
+
 def test_groups_and_links_of_crossing_ends():
     rng = np.random.default_rng(3)
     for _ in range(300):

@@ -1,30 +1,36 @@
 """Word vectors (G*) and contextual-embedding analytics (H*) on array<double> columns.
 
 Vector maths uses higher-order array functions on *materialised* columns
-(a lambda re-evaluates a captured expression per element).  Statistics over
+(a lambda re-evaluates a captured expression per element).  Components never
+become rows: per-group means, sums, extremes and variances are fixed-width
+vector accumulators (``Summarizer``, combined on the map side), Gram matrices
+are partial d × d sums of Arrow batches, added up per group.  Statistics over
 pairs of vectors never emit the pairs:
 * mean / std of pair cosines use Gram sums: Σ_{i<j} u_i·u_j = (‖Σu‖² − n)/2 and
   Σ_{i<j} (u_i·u_j)² = (‖Σ u uᵀ‖²_F − n)/2 for unit vectors u;
-* min / max / Euclidean means compare a block of vectors of each side in numpy, every
-  pair of blocks in a grouped task, and emit aggregates.
+* min / max cosines and nearest words multiply blocks of vectors in numpy and
+  pass on extremes or the best n of each query; bounds skip pairs of blocks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from nazar.functions.mathx import rnd
-from nazar.session import BROADCAST_ROW_LIMIT, broadcast_if_small, broadcast_lexicon, ensure_checkpoint_dir
+from nazar.session import BROADCAST_ROW_LIMIT, broadcast_if_small, broadcast_lexicon, cut_lineage, ensure_checkpoint_dir
 
 BLOCK_ROWS = 4_096  # vectors of each side that meet in one grouped task
 CHUNK = 4 << 20  # numbers of one temporary array of a block
-MAX_PROBES = 1_000  # query vectors carried to every vocabulary row by most_similar
+MAX_PROBES = 1_000  # query vectors that are sent to every task by most_similar; more meet in blocks
+MAX_CLUSTERS = 10_000  # clusters whose means are sent to every task by silhouette; more meet in blocks
+MAX_CELLS = 1_024  # cells that pair_similarity_stats cuts the unit sphere into, at most
+PARTITION_TOKENS = 200_000  # tokens that one copy of a Word2Vec model is trained on in a pass
+HELD_GRAMS = 64 << 20  # bytes of Gram matrices a task holds before it passes them on
 
 
 # ---------------------------------------------------------------- array helpers
@@ -53,16 +59,68 @@ def with_unit(df: DataFrame, vec_col: str, out: str) -> DataFrame:
               .withColumn(out, F.transform(vec_col, lambda x: x / F.col("_nrm"))).drop("_nrm"))
 
 
-def dims_long(df: DataFrame, key_cols: list[str], vec_col: str = "vec") -> DataFrame:
-    """(keys…, dim, val) — one row per vector component."""
-    return (df.select(*key_cols, F.posexplode_outer(vec_col).alias("dim", "val"))
-              .filter(F.col("dim").isNotNull()))
-
-
-def dims_to_array(long: DataFrame, key_cols: list[str], val_col: str, out: str = "vec") -> DataFrame:
-    """Back to one ordered array per key (≤ dim entries per key)."""
-    g = long.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("dim", val_col))).alias("_s"))
-    return g.select(*key_cols, F.transform("_s", lambda s: s[val_col]).alias(out))
+def vector_summary(df: DataFrame, keys: list[str], vec_col: str, *metrics: str) -> DataFrame:
+    """``keys`` and one array (``count``: a number) for each metric of ``pyspark.ml.stat.Summarizer``
+    over the vectors of a key: accumulators of the vectors' width, combined before the shuffle.
+    Null vectors are passed over; a key without any has no row (no keys: one row of nulls)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = df.filter(F.col(vec_col).isNotNull()).select(*keys, array_to_vector(vec_col).alias("_v"))
+    s = v.groupBy(*keys).agg(Summarizer.metrics(*metrics, "count").summary(F.col("_v")).alias("_s"))
+    arrays = [vector_to_array(F.col(f"_s.{m}")).alias(m) for m in metrics if m != "count"]
+    return s.select(*keys, *arrays, F.col("_s.count").alias("count")) if keys else \
+        s.select(*[F.when(F.col("_s.count") > 0, vector_to_array(F.col(f"_s.{m}"))).alias(m) for m in metrics if m != "count"], F.col("_s.count").alias("count"))
+
+
+def pop_std(variance: Column, n: Column) -> Column:
+    """Population standard deviation of an unbiased variance."""
+    return F.sqrt(F.greatest(variance * (n - 1) / n, F.lit(0.0)))
+
+
+def _array_sum(a) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def gram_sums(df: DataFrame, key: str | None, vec_col: str) -> DataFrame:
+    """key (if given), n, total (Σu), gram (Σ u uᵀ, flattened) of the unit vectors u of ``vec_col``:
+    each task adds up whole batches by matrix products and passes on one d × d sum a key."""
+    kind = dict(df.dtypes)[key] if key else "int"
+
+    def run(batches):
+        held: dict = {}
+
+        def passed():
+            cols = list(zip(*[(k, n, t.tolist(), g.ravel().tolist()) for k, (n, t, g) in held.items()], strict=True)) or [()] * 4
+            held.clear()
+            return pd.DataFrame(dict(zip(["key", "n", "total", "gram"], cols, strict=True)))
+
+        size = 0
+        for pdf in batches:
+            pdf = pdf[pdf["vec"].notna()]
+            if not len(pdf):
+                continue
+            u = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
+            u /= np.linalg.norm(u, axis=1, keepdims=True)
+            code, names = pd.factorize(pdf["key"], use_na_sentinel=False)
+            order = np.argsort(code, kind="stable")
+            cut = np.searchsorted(code[order], np.arange(len(names) + 1))
+            for k, name in enumerate(names):
+                own = u[order[cut[k]:cut[k + 1]]]
+                name = None if pd.isna(name) else name
+                n, t, g = held.get(name, (0, 0.0, 0.0))
+                held[name] = (n + len(own), t + own.sum(axis=0), g + own.T @ own)
+            size = len(held) * 8 * u.shape[1] * (u.shape[1] + 1)
+            if size > HELD_GRAMS:
+                yield passed()
+        yield passed()
+
+    src = df.select((F.col(key) if key else F.lit(0)).alias("key"), F.col(vec_col).alias("vec"))
+    parts = src.mapInPandas(run, f"key {kind}, n long, total array<double>, gram array<double>")
+    n = parts.groupBy("key").agg(F.sum("n").alias("n"))
+    t = vector_summary(parts, ["key"], "total", "sum").select("key", F.col("sum").alias("total"))
+    g = vector_summary(parts, ["key"], "gram", "sum").select(F.col("key").alias("_k"), F.col("sum").alias("gram"))
+    out = n.withColumnRenamed("key", "_n").join(t, F.col("_n").eqNullSafe(F.col("key"))).join(g, F.col("key").eqNullSafe(F.col("_k")))
+    return out.select(*([F.col("key").alias(key)] if key else []), "n", "total", "gram")
 
 
 # ---------------------------------------------------------------- G: word vectors
@@ -76,14 +134,24 @@ def sentences(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def train_word2vec(docs: DataFrame, tokens_col: str = "tokens", dim: int = 200, window: int = 5, min_count: int = 2,
-                   max_iter: int = 1, seed: int = 42, partitions: int | None = None):
-    """Pyspark.ml Word2Vec (skip-gram, hierarchical softmax) → (model, vectors)."""
+                   max_iter: int = 5, seed: int = 42, partitions: int | None = None):
+    """Pyspark.ml Word2Vec (skip-gram, hierarchical softmax) → (model, vectors word, vec).
+
+    Every partition trains its own copy of the model on its sentences, and the
+    copies are averaged after each of the ``max_iter`` passes.  The sentences
+    are dealt evenly: one partition for each PARTITION_TOKENS tokens, two at
+    least, no more than twice the cores (an average of many short runs learns little).
+    """
     from pyspark.ml.feature import Word2Vec
-    w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter, seed=seed,
-                   inputCol=tokens_col, outputCol="_doc_vec",
-                   numPartitions=partitions or 1)
-    model = w2v.fit(docs.select(tokens_col))
     from pyspark.ml.functions import vector_to_array
+    # every pass reads the sentences: written once
+    kept = cut_lineage(docs.select(tokens_col).filter(F.size(tokens_col) > 1))
+    if not partitions:
+        tokens = kept.agg(F.sum(F.size(tokens_col))).first()[0] or 0
+        partitions = max(2, min(-(-tokens // PARTITION_TOKENS), 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter, seed=seed,
+                   inputCol=tokens_col, outputCol="_doc_vec", numPartitions=partitions)
+    model = w2v.fit(kept)
     vecs = model.getVectors().select("word", vector_to_array("vector").alias("vec"))
     return model, vecs
 
@@ -107,40 +175,74 @@ def most_frequent_words(docs: DataFrame, tokens_col: str = "tokens", top: int =
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.col("freq").desc(), "word").limit(top)
 
 
-def _probe_column(queries: DataFrame) -> Column:
-    """One block of queries as one array column via a scalar subquery."""
-    return queries.agg(F.collect_list(F.struct(F.col("qword"), F.col("qvec")))).scalar()
+def _best(word: np.ndarray, cosine: np.ndarray, query: np.ndarray, topn: int) -> pd.DataFrame:
+    """The topn words of each query (column of ``cosine``) by cosine, then word; NaN takes no part."""
+    out = []
+    for k in range(cosine.shape[1]):
+        c = cosine[:, k]
+        at = np.flatnonzero(~np.isnan(c))
+        if len(at) > topn:  # all that reach the topn-th value: ties are decided by the word
+            at = at[c[at] >= np.partition(c[at], len(at) - topn)[len(at) - topn]]
+        order = at[np.lexsort((word[at].astype(str), -c[at]))][:topn]
+        out.append(pd.DataFrame({"qword": np.repeat(query[k], len(order)), "word": word[order], "cosine": c[order]}))
+    return pd.concat(out) if out else pd.DataFrame({"qword": [], "word": [], "cosine": []})
+
+
+def _plain(best: pd.DataFrame) -> pd.DataFrame:
+    """Strings as objects: an empty column of numbers is no column of strings."""
+    return best.astype({"qword": object, "word": object})
+
+
+def _cosines(word: np.ndarray, vec: np.ndarray, query: np.ndarray, qvec: np.ndarray) -> np.ndarray:
+    """Cosines to 9 digits (NaN: a word itself, or no direction)."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        u, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (vec, qvec))
+        c = np.floor(u @ q.T * 1e9 + 0.5) / 1e9
+    c[word[:, None] == query[None]] = np.nan
+    return c
 
 
-def most_similar(vectors: DataFrame, queries: DataFrame, topn: int = 10, exclude: Column | None = None) -> DataFrame:
+def most_similar(vectors: DataFrame, queries: DataFrame, topn: int = 10) -> DataFrame:
     """For each query (qword, qvec) the topn vocabulary words by cosine,
     excluding the query word itself.
 
-    The query list travels in blocks of about MAX_PROBES as one array value to
-    every vocabulary row (no join, no cross product of tables); the top-n per
-    query is a row_number filter that Spark evaluates with a per-partition
-    group limit before the shuffle (WindowGroupLimit).
+    Up to MAX_PROBES queries are one matrix sent to every task, which multiplies
+    its vectors with it batch by batch and keeps the topn of each query; with
+    more, blocks of vectors meet blocks of queries in grouped tasks.  Either way
+    a task passes on topn rows a query at most, ranked once afterwards.
     """
-    blocks = max(1, -(-queries.count() // MAX_PROBES))
-    if blocks > 1:
-        of = F.pmod(F.xxhash64("qword"), F.lit(blocks))
-        parts = [_most_similar(vectors, queries.where(of == i), topn, exclude) for i in range(blocks)]
-        return reduce(DataFrame.unionByName, parts)
-    return _most_similar(vectors, queries, topn, exclude)
-
-
-def _most_similar(vectors: DataFrame, queries: DataFrame, topn: int, exclude: Column | None) -> DataFrame:
-    """One block of queries against all vectors."""
-    v = with_unit(vectors.select("word", "vec"), "vec", "_u").select("word", "_u")
-    probes = _probe_column(with_unit(queries.select("qword", "qvec"), "qvec", "_q").select("qword", F.col("_q").alias("qvec")))
-    x = v.select("word", "_u", F.inline(probes))
-    x = x.filter(F.col("word") != F.col("qword"))
-    if exclude is not None:
-        x = x.filter(~exclude)
-    x = x.withColumn("cosine", rnd(dot("_u", "qvec"), 9))
+    v, q = vectors.select("word", "vec").filter(F.col("vec").isNotNull()), queries.select("qword", "qvec").filter(F.col("qvec").isNotNull())
+    schema = "qword string, word string, cosine double"
+    few = q.limit(MAX_PROBES + 1).toPandas()
+    if not len(few):
+        return v.sparkSession.createDataFrame([], "query string, word string, cosine double, rank int")
+    if len(few) <= MAX_PROBES:
+        shared = v.sparkSession.sparkContext.broadcast((few["qword"].to_numpy(dtype=object), np.vstack(few["qvec"].to_numpy()).astype(np.float64)))
+
+        def run(batches):
+            names, matrix = shared.value
+            held = pd.DataFrame({"qword": [], "word": [], "cosine": []})
+            for pdf in batches:
+                if len(pdf):
+                    word = pdf["word"].to_numpy(dtype=object)
+                    best = _best(word, _cosines(word, np.vstack(pdf["vec"].to_numpy()).astype(np.float64), names, matrix), names, topn)
+                    held = pd.concat([held, best]) if len(held) else best
+                    held = held.sort_values(["qword", "cosine", "word"], ascending=[True, False, True]).groupby("qword", sort=False).head(topn)
+            yield _plain(held)
+
+        found = v.mapInPandas(run, schema)
+    else:
+        def met(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, y, xv, yv = _sides(pdf, "vec")
+            if xv is None or yv is None:
+                return _plain(pd.DataFrame({"qword": [], "word": [], "cosine": []}))
+            word, name = (d["word"].to_numpy(dtype=object) for d in (x, y))
+            return _plain(pd.concat([_best(word, _cosines(word, xv, name[lo:lo + 64], yv[lo:lo + 64]), name[lo:lo + 64], topn) for lo in range(0, len(y), 64)]))
+
+        found = _met(v, q.toDF("word", "vec"), "word").applyInPandas(met, schema)
     w = W.partitionBy("qword").orderBy(F.col("cosine").desc(), F.col("word"))
-    return (x.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= topn)
-             .select(F.col("qword").alias("query"), "word", "cosine", "rank"))
+    return (found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= topn)
+            .select(F.col("qword").alias("query"), "word", "cosine", "rank"))
 
 
 def analogy(vectors: DataFrame, triples: DataFrame, topn: int = 5) -> DataFrame:
@@ -202,38 +304,117 @@ def _sides(pdf: pd.DataFrame, vec_col: str):
     return x, y, *(np.vstack(d[vec_col].to_numpy()).astype(np.float64) if len(d) else None for d in (x, y))
 
 
+def _distance_sums(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of x: sums and numbers of the distances to the rows of y, by column of ``member``
+    (y rows × clusters, 0/1); rows with the same id are left out."""
+    s, c = np.zeros((len(x), member.shape[1])), np.zeros((len(x), member.shape[1]), dtype=np.int64)
+    step = max(1, CHUNK // max(1, y.size))
+    for lo in range(0, len(x), step):
+        part = slice(lo, lo + step)
+        d = np.sqrt(((x[part, None, :] - y[None, :, :]) ** 2).sum(-1))
+        itself = xi[part, None] == yi[None, :]
+        s[part] = np.where(itself, 0.0, d) @ member
+        c[part] = (~itself) @ member
+    return s, c
+
+
+def _silhouette_value(per: DataFrame, keys: list[str], own: Column) -> DataFrame:
+    """a (own cluster), b (nearest other cluster) and s = (b − a)/max(a, b) from the sums _s and
+    numbers _c of distances of a point to clusters."""
+    mean = F.when(F.col("_c") > 0, F.col("_s") / F.col("_c"))
+    ab = per.groupBy(*keys).agg(F.max(F.when(own, mean)).alias("_a"), F.min(F.when(~own, mean)).alias("_b"))
+    most = F.greatest("_a", "_b")
+    return ab.withColumn("silhouette", F.when(F.col("_a").isNull(), 0.0).when(most > 0, (F.col("_b") - F.col("_a")) / most).otherwise(0.0))
+
+
 def silhouette(points: DataFrame, cluster_col: str = "grp", id_col: str = "word", vec_col: str = "vec",
                reference: DataFrame | None = None) -> DataFrame:
-    """Euclidean silhouette with given assignments.
-
-    Every point is compared with every reference row (by default all points),
-    block by block in grouped numpy tasks: per point the sum and count of
-    distances to each cluster are added up, then a = mean to own cluster (self
-    excluded), b = min over other clusters, s = (b − a)/max(a, b), 0 for
-    singletons, null without another cluster.  Emits one row per point, never the pairs.
+    """Euclidean silhouette with given assignments: a = mean distance to the own cluster (self
+    excluded), b = least mean distance to another cluster, s = (b − a)/max(a, b), 0 for
+    singletons, null without another cluster.  One row per point, never the pairs.
+
+    The mean distance of x to a cluster with mean μ and spread σ² (mean squared distance to μ)
+    lies between ‖x − μ‖ and √(‖x − μ‖² + σ²).  So a point meets its own cluster and those whose
+    lower bound does not exceed the least upper bound of all others: the rest cannot be nearest.
+    Points and members of a cluster meet block by block in grouped numpy tasks.  With a
+    ``reference`` other than the points, or too many clusters to send around, all rows meet.
     """
     ensure_checkpoint_dir(points.sparkSession)
     pts = points.select(id_col, cluster_col, vec_col).withColumn("_uid", F.monotonically_increasing_id()).checkpoint()
-    ref = (reference if reference is not None else pts).select(id_col, cluster_col, vec_col)
+    if reference is not None:
+        return _silhouette_all(pts, reference.select(id_col, cluster_col, vec_col), cluster_col, id_col, vec_col)
+    stats = vector_summary(pts, [cluster_col], vec_col, "mean", "variance")
+    few = stats.limit(MAX_CLUSTERS + 1).toPandas()
+    if len(few) > MAX_CLUSTERS or few[cluster_col].isna().any():
+        return _silhouette_all(pts, pts.select(id_col, cluster_col, vec_col), cluster_col, id_col, vec_col)
+    means = np.vstack(few["mean"].to_numpy()) if len(few) else np.zeros((0, 1))
+    n = few["count"].to_numpy(dtype=float)
+    spread = np.array([v.sum() for v in few["variance"]]) * (n - 1) / np.maximum(n, 1)
+    shared = pts.sparkSession.sparkContext.broadcast((few[cluster_col].tolist(), means, spread))
+
+    def targets(batches):
+        names, means, spread = shared.value
+        place = {c: i for i, c in enumerate(names)}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
+            own = np.array([place[c] for c in pdf[cluster_col]])
+            d = np.stack([np.sqrt(((x - m) ** 2).sum(axis=1)) for m in means], axis=1)
+            upper = np.sqrt(d * d + spread)
+            upper[np.arange(len(x)), own] = np.inf
+            # a little room for rounding: a cluster too many does no harm
+            wanted = d <= upper.min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-12
+            wanted[np.arange(len(x)), own] = True
+            row, to = np.nonzero(wanted)
+            out = pdf.iloc[row].copy()
+            out["_to"] = to.astype(np.int32)
+            yield out
+
+    meet = pts.mapInPandas(targets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pts.schema.fields) + ", _to int")
+    meet = meet.checkpoint()
+    codes = pts.sparkSession.createDataFrame([(c, i) for i, c in enumerate(few[cluster_col].tolist())], f"_name {dict(pts.dtypes)[cluster_col]}, _to int") \
+        if len(few) else pts.select(F.col(cluster_col).alias("_name"), F.lit(0).alias("_to")).limit(0)
+    members = pts.join(F.broadcast(codes), F.col(cluster_col) == F.col("_name")).drop("_name")
+    # blocks of either side of each cluster: a row a cluster
+    def blocks(df: DataFrame, out: str) -> DataFrame:
+        return df.groupBy("_to").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(out))
+
+    sizes = F.broadcast(blocks(meet, "_np").join(blocks(members, "_nm"), "_to"))
+    at = lambda of: F.pmod(F.xxhash64("_uid"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    cols = ["_uid", vec_col, "_to"]
+    left = meet.join(sizes, "_to").select(*cols, F.lit(0).alias("_role"), at("_np").alias("_i"), each("_nm").alias("_j"))
+    right = members.join(sizes, "_to").select(*cols, F.lit(1).alias("_role"), at("_nm").alias("_j"), each("_np").alias("_i"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, xv, yv = _sides(pdf, vec_col)
+        if xv is None or yv is None:
+            return pd.DataFrame({"_uid": [], "_to": [], "_s": [], "_c": []})
+        s, c = _distance_sums(xv, x["_uid"].to_numpy(), yv, y["_uid"].to_numpy(), np.ones((len(yv), 1)))
+        return pd.DataFrame({"_uid": x["_uid"], "_to": x["_to"], "_s": s[:, 0], "_c": c[:, 0]})
+
+    met = left.unionByName(right).groupBy("_to", "_i", "_j").applyInPandas(sums, "_uid long, _to int, _s double, _c long")
+    per = met.groupBy("_uid", "_to").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    named = pts.join(F.broadcast(codes.withColumnRenamed("_to", "_own")), F.col(cluster_col) == F.col("_name")).select("_uid", id_col, cluster_col, "_own")
+    per = named.join(per, "_uid")
+    return _silhouette_value(per, ["_uid", id_col, cluster_col], F.col("_to") == F.col("_own")).select(id_col, cluster_col, "silhouette")
+
+
+def _silhouette_all(pts: DataFrame, ref: DataFrame, cluster_col: str, id_col: str, vec_col: str) -> DataFrame:
+    """Every point with every reference row, block by block; a row with the point's id and cluster is itself."""
     kinds = dict(pts.dtypes)
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_role", id_col], kind="stable")
         x, y, xv, yv = _sides(pdf, vec_col)
         code, names = pd.factorize(pdf[cluster_col], use_na_sentinel=False)
-        own, of = code[:len(x)], code[len(x):]
-        s, c = np.zeros((len(x), len(names))), np.zeros((len(x), len(names)), dtype=np.int64)
-        if len(x) and len(y):
-            member = np.eye(len(names))[of]
-            xi, yi = x[id_col].to_numpy(), y[id_col].to_numpy()
-            step = max(1, CHUNK // yv.size)
-            for lo in range(0, len(x), step):
-                part = slice(lo, lo + step)
-                d = np.sqrt(((xv[part, None, :] - yv[None, :, :]) ** 2).sum(-1))
-                itself = (xi[part, None] == yi[None, :]) & (own[part, None] == of[None, :])
-                s[part] = np.where(itself, 0.0, d) @ member
-                c[part] = (~itself) @ member
         k = len(names)
+        s, c = np.zeros((len(x), k)), np.zeros((len(x), k), dtype=np.int64)
+        if len(x) and len(y):
+            # an id within its cluster
+            same = pd.factorize(pd.MultiIndex.from_arrays([pdf[id_col], code]))[0]
+            s, c = _distance_sums(xv, same[:len(x)], yv, same[len(x):], np.eye(k)[code[len(x):]])
         return pd.DataFrame({"_uid": np.repeat(x["_uid"].to_numpy().astype(np.int64), k), id_col: np.repeat(x[id_col].to_numpy(), k),
                              cluster_col: np.repeat(x[cluster_col].to_numpy(), k), "_other": np.tile(np.asarray(names), len(x)),
                              "_s": s.ravel(), "_c": c.ravel()})
@@ -241,35 +422,24 @@ def silhouette(points: DataFrame, cluster_col: str = "grp", id_col: str = "word"
     schema = f"_uid long, {id_col} {kinds[id_col]}, {cluster_col} {kinds[cluster_col]}, _other {kinds[cluster_col]}, _s double, _c long"
     per = _met(pts, ref, id_col).applyInPandas(sums, schema)
     per = per.groupBy("_uid", id_col, cluster_col, "_other").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
-    mean = F.when(F.col("_c") > 0, F.col("_s") / F.col("_c"))
-    own = F.col("_other").eqNullSafe(F.col(cluster_col))
-    ab = per.groupBy("_uid", id_col, cluster_col).agg(F.max(F.when(own, mean)).alias("_a"), F.min(F.when(~own, mean)).alias("_b"))
-    most = F.greatest("_a", "_b")
-    value = F.when(F.col("_a").isNull(), 0.0).when(most > 0, (F.col("_b") - F.col("_a")) / most).otherwise(0.0)
-    return ab.select(id_col, cluster_col, value.alias("silhouette"))
+    return _silhouette_value(per, ["_uid", id_col, cluster_col], F.col("_other").eqNullSafe(F.col(cluster_col))).select(id_col, cluster_col, "silhouette")
+
+
+def _pair_moments(n: Column, total, gram) -> tuple[Column, Column]:
+    """Mean and mean square of the cosines over all pairs of n unit vectors, from their Gram sums."""
+    pairs = n * (n - 1) / 2
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)
+    return ((square(total) - n) / 2) / pairs, ((square(gram) - n) / 2) / pairs
 
 
 def group_coherence(vectors: DataFrame, group_col: str = "grp", vec_col: str = "vec") -> DataFrame:
     """Mean and population std of the cosine over all within-group pairs, from
-    Gram sums (no pairs emitted): with unit vectors u and n members,
-    S1 = (‖Σu‖² − n)/2, S2 = (Σ_ab (Σ u_a u_b)² − n)/2, P = n(n−1)/2."""
-    u = with_unit(vectors.select(group_col, vec_col), vec_col, "u").select(group_col, "u")
-    ui = u.withColumn("_rid", F.monotonically_increasing_id())
-    comp = dims_long(ui, [group_col, "_rid"], "u")
-    s = comp.groupBy(group_col, "dim").agg(F.sum("val").alias("s"))
-    s1 = s.groupBy(group_col).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    # outer product of every vector: d² components, summed per group
-    prod = ui.select(group_col, F.posexplode(F.flatten(F.transform("u", lambda x: F.transform("u", lambda y: x * y))))
-                     .alias("ab", "p"))
-    g2 = prod.groupBy(group_col, "ab").agg(F.sum("p").alias("gab")).groupBy(group_col) \
-             .agg(F.sum(F.col("gab") * F.col("gab")).alias("fro"))
-    n = u.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    j = n.join(s1, group_col).join(g2, group_col)
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    mean = ((F.col("ss") - F.col("n")) / 2) / pairs
-    ex2 = ((F.col("fro") - F.col("n")) / 2) / pairs
-    return j.filter(F.col("n") > 1).select(group_col, "n", mean.alias("mean_cosine"),
-                                            F.sqrt(F.greatest(ex2 - mean * mean, F.lit(0.0))).alias("std_cosine"))
+    Gram sums (no pairs, and no components, become rows)."""
+    g = gram_sums(vectors, group_col, vec_col).filter(F.col("n") > 1)
+    mean, ex2 = _pair_moments(F.col("n"), F.col("total"), F.col("gram"))
+    g = g.select(group_col, "n", mean.alias("mean_cosine"), ex2.alias("_q"))
+    return g.select(group_col, "n", "mean_cosine",
+                    F.sqrt(F.greatest(F.col("_q") - F.col("mean_cosine") * F.col("mean_cosine"), F.lit(0.0))).alias("std_cosine"))
 
 
 def lookup_vector(words: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -283,10 +453,8 @@ def doc_vector(docs: DataFrame, vectors: DataFrame, how: str = "average", tokens
     (null when no word is known, or zeros of the given dim)."""
     ex = docs.select(id_col, F.explode_outer(tokens_col).alias("word")).filter(F.col("word").isNotNull())
     j = ex.join(broadcast_if_small(vectors.select("word", "vec")), "word")
-    comp = dims_long(j.withColumn("_r", F.monotonically_increasing_id()), [id_col, "_r"], "vec")
-    agg = {"average": F.avg("val"), "sum": F.sum("val"), "max": F.max("val")}[how]
-    per = comp.groupBy(id_col, "dim").agg(agg.alias("v"))
-    arr = dims_to_array(per, [id_col], "v", "doc_vec")
+    metric = {"average": "mean", "sum": "sum", "max": "max"}[how]
+    arr = vector_summary(j, [id_col], "vec", metric).select(id_col, F.col(metric).alias("doc_vec"))
     out = docs.select(id_col).join(arr, id_col, "left")
     if zeros_when_empty:
         out = out.withColumn("doc_vec", F.coalesce("doc_vec", F.array_repeat(F.lit(0.0), zeros_when_empty)))
@@ -315,58 +483,72 @@ def pca(vectors: DataFrame, k: int, vec_col: str = "vec"):
 
 # ---------------------------------------------------------------- H: embeddings
 
-def pool_tokens(tokens: DataFrame, how: str = "mean", id_col: str = "id") -> DataFrame:
-    """H1: (id, pos, mask, vec) → one pooled vector per id.
+STRATEGIES = ("cls", "mean", "max", "masked")
+
+
+def pool_all(tokens: DataFrame, strategies=STRATEGIES, id_col: str = "id") -> DataFrame:
+    """H1: (id, pos, mask, vec) → id and one pooled vector for each strategy, in one aggregation.
 
     cls = vector at the smallest position; mean / max over all positions
     (padding included); masked = Σ mask·v / max(Σ mask, 1e-9).
     """
-    comp = dims_long(tokens, [id_col, "pos", "mask"], "vec")
-    if how == "cls":
-        agg = F.min_by("val", "pos")
-    elif how == "mean":
-        agg = F.avg("val")
-    elif how == "max":
-        agg = F.max("val")
-    elif how == "masked":
-        agg = F.sum(F.col("mask") * F.col("val")) / F.greatest(F.sum("mask").cast("double"), F.lit(1e-9))
-    else:
-        raise ValueError(how)
-    per = comp.groupBy(id_col, "dim").agg(agg.alias("v"))
-    return dims_to_array(per, [id_col], "v", "pooled")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    unknown = set(strategies) - set(STRATEGIES)
+    if unknown:
+        raise ValueError(f"unknown strategies {sorted(unknown)}")
+    t = tokens.filter(F.col("vec").isNotNull())
+    t = t.select(id_col, "pos", "mask", "vec", array_to_vector("vec").alias("_v"),
+                 array_to_vector(F.transform("vec", lambda x: x * F.col("mask"))).alias("_m"))
+    aggs = {"cls": F.min_by("vec", "pos"), "mean": Summarizer.mean(F.col("_v")), "max": Summarizer.max(F.col("_v")),
+            "masked": Summarizer.sum(F.col("_m"))}
+    g = t.groupBy(id_col).agg(*[aggs[s].alias(s) for s in strategies], F.sum("mask").cast("double").alias("_mask"))
+    weight = F.greatest(F.col("_mask"), F.lit(1e-9))
+    arrays = {s: F.col(s) if s == "cls" else vector_to_array(s) for s in strategies}
+    g = g.select(id_col, "_mask", *[arrays[s].alias(s) for s in strategies])
+    return g.select(id_col, *[(F.transform(s, lambda x: x / weight) if s == "masked" else F.col(s)).alias(s) for s in strategies])
+
+
+def pool_tokens(tokens: DataFrame, how: str = "mean", id_col: str = "id") -> DataFrame:
+    """H1 for one strategy: id, pooled."""
+    return pool_all(tokens, (how,), id_col).withColumnRenamed(how, "pooled")
 
 
-def compare_pooling(tokens: DataFrame, strategies=("cls", "mean", "max", "masked"), id_col: str = "id") -> DataFrame:
+def compare_pooling(tokens: DataFrame, strategies=STRATEGIES, id_col: str = "id") -> DataFrame:
     """H2: per strategy pair, mean / pop-std / min / max of the per-row cosine."""
-    pooled = None
-    for s in strategies:
-        p = pool_tokens(tokens, s, id_col).withColumnRenamed("pooled", s)
-        pooled = p if pooled is None else pooled.join(p, id_col)
-    parts = []
-    for i, a in enumerate(strategies):
-        for b in strategies[i + 1:]:
-            cos = dot(a, b) / (norm(a) * norm(b))
-            parts.append(pooled.select(F.lit(f"{a}_vs_{b}").alias("pair"), cos.alias("cos")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+    pooled = pool_all(tokens, strategies, id_col)
+    pairs = [(a, b) for i, a in enumerate(strategies) for b in strategies[i + 1:]]
+    cos = F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), (dot(a, b) / (norm(a) * norm(b))).alias("cos")) for a, b in pairs])
+    allp = pooled.select(F.inline_outer(cos)).filter(F.col("pair").isNotNull())
     return allp.groupBy("pair").agg(F.avg("cos").alias("mean"), F.stddev_pop("cos").alias("std"),
                                     F.min("cos").alias("min"), F.max("cos").alias("max"))
 
 
 def embedding_stats(vectors: DataFrame, vec_col: str = "vec") -> DataFrame:
     """H3: global mean / pop-std / min / max of all components; norm mean / pop-std."""
-    comp = dims_long(vectors.select(vec_col).withColumn("_r", F.monotonically_increasing_id()), ["_r"], vec_col)
-    a = comp.agg(F.avg("val").alias("mean"), F.stddev_pop("val").alias("std"), F.min("val").alias("min"),
-                 F.max("val").alias("max"))
+    s = vector_summary(vectors, [], vec_col, "mean", "variance", "min", "max")
+    mean = _array_sum("mean") / F.size("mean")
+    # Σ x² of a dimension over n rows: (n − 1)/n · variance + mean²
+    square = _array_sum(F.zip_with("variance", "mean", lambda v, m: v * (F.col("count") - 1) / F.col("count") + m * m)) / F.size("mean")
+    a = s.select(mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"),
+                 F.array_min("min").alias("min"), F.array_max("max").alias("max"))
     n = vectors.select(norm(vec_col).alias("n")).agg(F.avg("n").alias("norm_mean"), F.stddev_pop("n").alias("norm_std"))
     return a.join(n)
 
 
 def dim_stats(vectors: DataFrame, vec_col: str = "vec") -> DataFrame:
     """H4: mean and pop-std per dimension."""
-    comp = dims_long(vectors.select(vec_col).withColumn("_r", F.monotonically_increasing_id()), ["_r"], vec_col)
-    return comp.groupBy("dim").agg(F.avg("val").alias("mean"), F.stddev_pop("val").alias("std"))
+    s = vector_summary(vectors, [], vec_col, "mean", "variance")
+    per = F.zip_with("mean", "variance", lambda m, v: F.struct(m.alias("mean"), pop_std(v, F.col("count")).alias("std")))
+    return s.select(F.posexplode(per).alias("dim", "_x")).select("dim", "_x.mean", "_x.std")  # one row a dimension
+
+
+def norm_histogram(vectors: DataFrame, bins: int, label_col: str | None = None, vec_col: str = "vec") -> DataFrame:
+    """H4 / H8: vectors by norm in ``bins`` equal ranges between the least and the greatest norm (of a label).
+    Norms are grouped before they meet the label's range, so a label's rows never meet on one key."""
+    from nazar.operators.labels import equal_width_bins
+    keys = [label_col] if label_col else []
+    return equal_width_bins(vectors, norm(vec_col), bins, keys or None).select(*keys, "bin", "n")
 
 
 def dim_correlation(vectors: DataFrame, n_dims: int = 50, vec_col: str = "vec") -> DataFrame:
@@ -383,13 +565,92 @@ def dim_correlation(vectors: DataFrame, n_dims: int = 50, vec_col: str = "vec")
 
 def pair_similarity_stats(vectors: DataFrame, reference: DataFrame | None = None, key_col: str = "word",
                           vec_col: str = "vec") -> DataFrame:
-    """H7: off-diagonal cosine statistics between the rows and the reference
-    rows (default: the rows themselves).  Each grouped task multiplies the unit
-    vectors of a block of each side in numpy and emits count / sum / sum of
-    squares / min / max; the pairs never become rows."""
-    rows = vectors.select(key_col, vec_col)
-    ref = (reference if reference is not None else vectors).select(key_col, vec_col)
+    """H7: off-diagonal cosine statistics of the rows (n_pairs, mean, std, min, max); no pair
+    becomes a row.
+
+    Mean and std come from Gram sums, one pass.  For the extremes the unit sphere is cut into
+    cells around some of the vectors; two cells' angle and radii bound the cosines between them,
+    and cells meet, block by block in numpy, only where the bounds could beat the pairs of
+    vectors and cell centres, which are known.  Where no bound helps, all cells meet: the exact
+    fallback.  With a ``reference`` other than the rows, all rows meet, pairs of equal keys left out.
+    """
+    if reference is not None:
+        return _pair_stats_all(vectors.select(key_col, vec_col), reference.select(key_col, vec_col), key_col, vec_col)
+    ensure_checkpoint_dir(vectors.sparkSession)
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.monotonically_increasing_id().alias("_uid"), F.col(vec_col).alias("vec")).checkpoint()
+    sums = gram_sums(rows, None, "vec")
+    mean, ex2 = _pair_moments(F.col("n"), F.col("total"), F.col("gram"))
+    moments = sums.select("n", F.when(F.col("n") > 1, mean).alias("mean"), F.when(F.col("n") > 1, ex2).alias("_q")).first()
+    n = moments.n if moments else 0
+    lo, hi = _extreme_cosines(rows, n) if n > 1 else (None, None)
+    out = (n * (n - 1), moments.mean, float(np.sqrt(max(moments._q - moments.mean ** 2, 0.0))), lo, hi) if n > 1 else (0, None, None, None, None)
+    return vectors.sparkSession.createDataFrame([out], "n_pairs long, mean double, std double, min double, max double")
+
+
+def _unit_rows(vecs) -> np.ndarray:
+    x = np.vstack(vecs.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cells_that_meet(centres: np.ndarray, radius: np.ndarray, low: float, high: float) -> list[tuple[int, int]]:
+    """Pairs of cells (i ≤ j) of unit vectors within an angle ``radius`` of their centre that may
+    hold a cosine below ``low`` or above ``high``."""
+    angle = np.arccos(np.clip(centres @ centres.T, -1.0, 1.0))
+    reach = radius[:, None] + radius[None]
+    most = np.cos(np.maximum(angle - reach, 0.0))
+    least = np.cos(np.minimum(angle + reach, np.pi))
+    i, j = np.nonzero((most > high - 1e-12) | (least < low + 1e-12))
+    return [(int(a), int(b)) for a, b in zip(i, j, strict=True) if a <= b]
+
+
+def _extreme_cosines(rows: DataFrame, n: int) -> tuple[float, float]:
+    """The least and the greatest cosine of two of the rows (_uid, vec)."""
+    spark = rows.sparkSession
+    n_cells = min(MAX_CELLS, -(-n // BLOCK_ROWS))
+    some = rows.orderBy(F.xxhash64(F.lit(1), "_uid")).limit(n_cells).toPandas()
+    uids, centres = some["_uid"].to_numpy(), _unit_rows(some["vec"])
+    shared = spark.sparkContext.broadcast((uids, centres))
+
+    def dealt(batches):
+        uids, centres = shared.value
+        for pdf in batches:
+            if len(pdf):
+                c = _unit_rows(pdf["vec"]) @ centres.T
+                cell = c.argmax(axis=1)
+                near = c[np.arange(len(c)), cell]
+                other = pdf["_uid"].to_numpy()[:, None] != uids[None]
+                yield pd.DataFrame({"_uid": pdf["_uid"], "vec": pdf["vec"], "cell": cell.astype(np.int32), "angle": np.arccos(np.clip(near, -1.0, 1.0)),
+                                    "lo": np.where(other, c, np.inf).min(axis=1), "hi": np.where(other, c, -np.inf).max(axis=1)})
+
+    cells = rows.mapInPandas(dealt, "_uid long, vec array<double>, cell int, angle double, lo double, hi double").checkpoint()
+    per = cells.groupBy("cell").agg(F.max("angle").alias("angle"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).toPandas()
+    radius, blocks = np.zeros(len(uids)), np.zeros(len(uids), dtype=int)
+    radius[per["cell"]], blocks[per["cell"]] = per["angle"], -(-per["n"].to_numpy() // BLOCK_ROWS)
+    low, high = float(per["lo"].min()), float(per["hi"].max())
+    pairs = [(i, j, int(blocks[i]), int(blocks[j])) for i, j in cells_that_meet(centres, radius, low, high) if blocks[i] and blocks[j]]
+    if pairs:
+        met = F.broadcast(spark.createDataFrame(pairs, "a int, b int, na int, nb int"))  # at most MAX_CELLS² rows
+        at = lambda of: F.pmod(F.xxhash64("_uid"), F.col(of)).cast("int")
+        each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        left = cells.join(met, F.col("cell") == F.col("a")).select("_uid", "vec", "a", "b", F.lit(0).alias("_role"), at("na").alias("i"), each("nb").alias("j"))
+        right = cells.join(met, F.col("cell") == F.col("b")).select("_uid", "vec", "a", "b", F.lit(1).alias("_role"), at("nb").alias("j"), each("na").alias("i"))
+
+        def extremes(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, y, xv, yv = _sides(pdf, "vec")
+            if xv is None or yv is None:
+                return pd.DataFrame({"lo": [], "hi": []})
+            xv, yv = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (xv, yv))
+            c = xv @ yv.T
+            other = x["_uid"].to_numpy()[:, None] != y["_uid"].to_numpy()[None]
+            return pd.DataFrame({"lo": [np.where(other, c, np.inf).min()], "hi": [np.where(other, c, -np.inf).max()]})
+
+        found = left.unionByName(right).groupBy("a", "b", "i", "j").applyInPandas(extremes, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
+        low, high = min(low, found[0]), max(high, found[1])
+    return low, high
+
 
+def _pair_stats_all(rows: DataFrame, ref: DataFrame, key_col: str, vec_col: str) -> DataFrame:
+    """Every row with every reference row, block by block; pairs of equal keys are left out."""
     def stats(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_role", key_col], kind="stable")
         x, y, xv, yv = _sides(pdf, vec_col)
@@ -415,9 +676,7 @@ def pair_similarity_stats(vectors: DataFrame, reference: DataFrame | None = None
 
 def label_centroids(vectors: DataFrame, label_col: str = "grp", vec_col: str = "vec") -> DataFrame:
     """H8: per label count, norm mean / pop-std and centroid vector."""
-    v = vectors.withColumn("_r", F.monotonically_increasing_id())
-    comp = dims_long(v, [label_col, "_r"], vec_col)
-    cen = dims_to_array(comp.groupBy(label_col, "dim").agg(F.avg("val").alias("c")), [label_col], "c", "centroid")
+    cen = vector_summary(vectors, [label_col], vec_col, "mean").select(label_col, F.col("mean").alias("centroid"))
     st = vectors.select(label_col, norm(vec_col).alias("n")).groupBy(label_col).agg(
         F.count(F.lit(1)).alias("count"), F.avg("n").alias("norm_mean"), F.stddev_pop("n").alias("norm_std"))
     return st.join(cen, label_col)

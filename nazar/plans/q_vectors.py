@@ -182,6 +182,24 @@ def q_analogy(spark, sf):
     return r.select("query", "word", "cosine", "rank", "hit")
 
 
+@query("analogy_accuracy", "G5", f"""WITH {WV_CTE},
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v) AS rn FROM wu),
+t AS (SELECT max(CASE WHEN rn = 1 THEN word END) AS a, max(CASE WHEN rn = 2 THEN word END) AS b,
+             max(CASE WHEN rn = 3 THEN word END) AS c, max(CASE WHEN rn = 4 THEN word END) AS expected,
+             max(CASE WHEN rn = 1 THEN u END) AS ua, max(CASE WHEN rn = 2 THEN u END) AS ub,
+             max(CASE WHEN rn = 3 THEN u END) AS uc FROM r WHERE rn <= 4 GROUP BY grp),
+q AS (SELECT a || '|' || b || '|' || c AS query, a, b, c, expected,
+        list_transform(list_zip(ub, uc, ua), lambda z: z[1] + z[2] - z[3]) AS q FROM t),
+qn AS (SELECT *, sqrt(list_sum(list_transform(q, lambda y: y * y))) AS nrm FROM q),
+x AS (SELECT qn.query, wu.word = qn.expected AS hit, wu.word, {rnd_sql('list_dot_product(wu.u, qn.q) / qn.nrm', 9)} AS cosine FROM wu, qn
+      WHERE wu.word NOT IN (qn.a, qn.b, qn.c)),
+top AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, word) <= 200),
+h AS (SELECT query, max(CAST(hit AS INTEGER)) AS hit FROM top GROUP BY query)
+SELECT CAST(sum(hit) AS BIGINT) AS correct, count(*) AS total, avg(hit) AS accuracy FROM h""", ("word_vectors",))
+def q_analogy_accuracy(spark, sf):
+    return V.analogy_accuracy(V.analogy(X.word_vectors(spark, sf), triples(spark, sf), topn=200))
+
+
 @query("silhouette", "G7", """WITH d AS (
   SELECT a.word, a.grp, b.grp AS other, list_distance(a.vec, b.vec) AS dist
   FROM word_vectors a JOIN word_vectors b ON a.word <> b.word),
@@ -244,7 +262,7 @@ def q_assign_semantic_group(spark, sf):
 
 @query("train_word2vec", "G2")
 def q_train_word2vec(spark, sf):
-    _, vecs = V.train_word2vec(review_tokens(spark, sf), dim=50, min_count=2, max_iter=1)
+    _, vecs = V.train_word2vec(review_tokens(spark, sf))
     return vecs.select("word", F.size("vec").alias("dim"))
 
 
@@ -317,9 +335,8 @@ def q_dim_stats(spark, sf):
 b AS (SELECT lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(49, floor((x - lo) * 50 / (hi - lo))) END AS INTEGER) AS bin FROM n, mm)
 SELECT bin, count(*) AS n FROM b GROUP BY bin""")
 def q_norm_histogram(spark, sf):
-    from nazar.operators.labels import equal_width_bins
     e = X.table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("vec"))
-    return equal_width_bins(e, V.norm("vec"), 50).select("bin", "n")
+    return V.norm_histogram(e, 50)
 
 
 @query("dim_correlation", "H5", f"""WITH c AS (SELECT vec_id, unnest(CAST(embedding[1:50] AS DOUBLE[])) AS val,
@@ -353,6 +370,14 @@ def q_label_centroids(spark, sf):
                     rnd(F.col("norm_std"), 9).alias("norm_std"), _round_arr(F.col("centroid"), 9).alias("centroid"))
 
 
+@query("norm_histogram_by_label", "H8", """WITH n AS (SELECT grp, sqrt(list_dot_product(vec, vec)) AS x FROM word_vectors),
+mm AS (SELECT grp, min(x) AS lo, max(x) AS hi FROM n GROUP BY grp),
+b AS (SELECT grp, CAST(CASE WHEN hi = lo THEN 0 ELSE least(29, floor((x - lo) * 30 / (hi - lo))) END AS INTEGER) AS bin FROM n JOIN mm USING (grp))
+SELECT grp, bin, count(*) AS n FROM b GROUP BY grp, bin""", ("word_vectors",))
+def q_norm_histogram_by_label(spark, sf):
+    return V.norm_histogram(X.word_vectors(spark, sf), 30, "grp")
+
+
 @query("centroid_distances", "H8", f"""WITH c AS (SELECT grp, unnest(vec) AS val, unnest(range(0, len(vec))) AS dim FROM word_vectors),
 cen AS (SELECT grp, list(v ORDER BY dim) AS centroid FROM (SELECT grp, dim, avg(val) AS v FROM c GROUP BY ALL) GROUP BY grp)
 SELECT a.grp AS l1, b.grp AS l2, {rnd_sql('list_distance(a.centroid, b.centroid)', 6)} AS distance

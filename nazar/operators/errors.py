@@ -166,9 +166,10 @@ def confidence_bands(preds: DataFrame) -> DataFrame:
 
 def calibration(preds: DataFrame, edges: list[float] = CALIBRATION_BINS) -> DataFrame:
     """Ten (lo, hi] confidence bins: mean confidence, accuracy of argmax(proba), count, gap."""
-    f = with_flags(preds)
-    b = f.select(bucket(F.col("confidence"), edges).alias("bin"), "confidence",
-                 (F.col("argmax") == F.col("y_true")).cast("double").alias("hit"))
+    conf = F.array_max("proba")
+    # a generator holds the two values: inlined into every bin edge they outgrow the compiler's method size
+    f = preds.select(F.inline(F.array(F.struct(conf.alias("confidence"), (F.array_position("proba", conf) - 1 == F.col("y_true")).cast("double").alias("hit")))))
+    b = f.select(bucket(F.col("confidence"), edges).alias("bin"), "confidence", "hit")
     g = b.filter(F.col("bin").isNotNull()).groupBy("bin").agg(
         F.avg("confidence").alias("avg_confidence"), F.avg("hit").alias("accuracy"), F.count(F.lit(1)).alias("count"))
     lo = F.element_at(F.array(*[F.lit(x) for x in edges]), F.col("bin") + 1)

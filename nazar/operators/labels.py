@@ -7,6 +7,8 @@ window ever runs over raw rows without a partition key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -249,11 +251,13 @@ def box_stats(df: DataFrame, value: Column, label_col: str = "sentiment_label")
 def equal_width_bins(df: DataFrame, value: Column, bins: int, group_cols: list[str] | None = None) -> DataFrame:
     """D7 / E18 core: equal-width histogram between min and max (last bin closed).
 
-    The min/max aggregate (one row per group) is joined back, so the data is
-    scanned twice but never shuffled unaggregated.
+    Equal values of a group are counted first, on the map side too; the range of a
+    group and its bins come from these counts, so rows of a frequent group never
+    meet on its key: what does is its distinct values.
     """
     group_cols = group_cols or []
     v = df.select(*group_cols, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    v = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_m"))
     mm = v.groupBy(*group_cols).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     if not group_cols:  # one-row side, joined on a constant key: broadcast
         v, mm = v.withColumn("_g", F.lit(0)), F.broadcast(mm.withColumn("_g", F.lit(0)))
@@ -264,21 +268,68 @@ def equal_width_bins(df: DataFrame, value: Column, bins: int, group_cols: list[s
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) * bins / width))).cast("int")
-    c = j.groupBy(*group_cols, b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
+    c = j.groupBy(*group_cols, b.alias("bin"), "_lo", "_hi").agg(F.sum("_m").alias("n"))
     lo_edge = F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins
     hi_edge = F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins
     return c.select(*group_cols, "bin", lo_edge.alias("bin_start"), hi_edge.alias("bin_end"), "n")
 
 
+# keywords up to which a category is a chain of substring tests; an automaton takes more
+KEYWORDS_IN_ROW = 100
+MAX_KEYWORDS = 200_000
+
+
 def tag_categories(df: DataFrame, categories: DataFrame, text_col: str = "comment", id_col: str = "id") -> DataFrame:
     """(id, category) for every category with a keyword contained in the text.
 
-    ``categories`` is a lexicon (category, keyword): size-checked broadcast,
-    then a broadcast nested-loop (theta) join on substring containment.
+    ``categories`` is a lexicon (category, keyword) of at most MAX_KEYWORDS rows, case ignored.
+    A text is looked at once and gives its categories as an array in its row: by substring
+    tests, or for many keywords by an automaton that finds all of them in one pass.  No text
+    meets the lexicon in a join, and no tag is made twice.
     """
-    cat = broadcast_lexicon(categories.select("category", F.lower("keyword").alias("keyword")))
+    rows = categories.select("category", F.lower("keyword").alias("keyword")).dropna().distinct().limit(MAX_KEYWORDS + 1).collect()
+    if len(rows) > MAX_KEYWORDS:
+        raise ValueError(f"more than {MAX_KEYWORDS} keywords")
+    held: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        held.setdefault(r.category, []).append(r.keyword)
     d = df.select(id_col, F.lower(F.col(text_col)).alias("_t"))
-    return d.join(cat, F.instr(F.col("_t"), F.col("keyword")) > 0).select(id_col, "category").distinct()
+    if not held:
+        return d.limit(0).select(id_col, F.lit("").alias("category"))
+    if len(rows) <= KEYWORDS_IN_ROW:
+        has = [F.when(reduce(lambda a, b: a | b, [F.contains("_t", F.lit(k)) for k in ks]), F.lit(c)) for c, ks in held.items()]
+        tags = d.select(id_col, F.array_compact(F.array(*has)).alias("_c"))
+        return tags.select(id_col, F.explode("_c").alias("category"))
+    return _tagged_by_automaton(d, held, id_col)
+
+
+def _tagged_by_automaton(d: DataFrame, held: dict[str, list[str]], id_col: str) -> DataFrame:
+    """(id, category) of the lower-cased texts ``_t``: an Aho-Corasick automaton in each task."""
+    shared = d.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+        of: dict[str, list[str]] = {}
+        for c, ks in shared.value.items():
+            for k in ks:
+                of.setdefault(k, []).append(c)
+        always = of.pop("", [])  # the empty keyword is in every text
+        automaton = ahocorasick.Automaton()
+        for k, cs in of.items():
+            automaton.add_word(k, cs)
+        if of:
+            automaton.make_automaton()
+        for b in batches:
+            at, tag = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if t is not None:
+                    found = {*always, *(c for _, cs in (automaton.iter(t) if of else ()) for c in cs)}
+                    at += [i] * len(found)
+                    tag += sorted(found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(tag, pa.string())], names=[id_col, "category"])
+
+    return d.mapInArrow(run, f"{id_col} {dict(d.dtypes)[id_col]}, category string")
 
 
 def label_share_by_category(tagged: DataFrame, labelled: DataFrame, id_col: str = "id",

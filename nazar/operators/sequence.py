@@ -32,16 +32,13 @@ def encode_sequences(docs: DataFrame, index: DataFrame, tokens_col: str = "token
                      max_len: int = 128) -> DataFrame:
     """(id, ids array<int> of length max_len, length): UNK for unknown words,
     truncated, right-padded with PAD; length = min(tokens, max_len)."""
-    ex = (docs.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "word"))
-              .filter(F.col("pos").isNotNull() & (F.col("pos") < max_len)))
+    # a document without tokens keeps a row of nulls, so the documents are read, and cleaned, once
+    ex = docs.select(id_col, F.posexplode_outer(F.slice(tokens_col, 1, max_len)).alias("pos", "word"))
     ix = broadcast_if_small(index.select("word", "idx"))
     j = ex.join(ix, "word", "left").select(id_col, "pos", F.coalesce("idx", F.lit(UNK)).alias("idx"))
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_s"))
-    ids = F.transform("_s", lambda s: s["idx"])
-    out = docs.select(id_col).join(g, id_col, "left")
-    ids = F.coalesce(ids, F.array().cast("array<int>"))
-    padded = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size(ids)))
-    return out.select(id_col, padded.alias("ids"), F.size(ids).alias("length"))
+    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "idx")))).alias("_s"))
+    g = g.select(id_col, F.transform("_s", lambda s: s["idx"]).alias("ids"))
+    return g.select(id_col, F.concat("ids", F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size("ids"))).alias("ids"), F.size("ids").alias("length"))
 
 
 def embedding_coverage(index: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -68,10 +65,10 @@ def sequence_vectors(docs: DataFrame, vectors: DataFrame, dim: int, tokens_col:
 
 
 def encode_labels(df: DataFrame, label_col: str = "sentiment_label", mapping: dict[str, int] | None = None) -> DataFrame:
-    """Alphabetical code of every distinct label (or a fixed map)."""
+    """Alphabetical code of every distinct label (or a fixed map; null for a label outside it)."""
     if mapping:
         m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-        return df.withColumn("label_code", F.element_at(m, F.col(label_col)).cast("int"))
+        return df.withColumn("label_code", F.try_element_at(m, F.col(label_col)).cast("int"))
     codes = df.select(label_col).distinct()
     from pyspark.sql import Window as W
     codes = codes.withColumn("label_code", (F.dense_rank().over(W.orderBy(label_col)) - 1).cast("int"))  # ≤ K rows

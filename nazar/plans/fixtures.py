@@ -39,6 +39,25 @@ FIXTURE_CATEGORIES = [
 ]
 
 
+# Persian-script form of the fixture prose, letter by letter: Arabic letter forms (ي ك أ ة), a
+# diacritic (for u) and Persian digits stand among the letters, so every rule has rows to change.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_PERSIAN = "ابچدیفگهيجكلمنوپقرستُأخژةز"
+PERSIAN_FROM = _LATIN + _LATIN.upper() + "0123456789"
+PERSIAN_TO = _PERSIAN * 2 + "۰۱۲۳۴۵۶۷۸۹"
+# Words and signs of the prose that become emoji: mapped ones, and one that is only removed.
+PERSIAN_EMOJI = [("the ", "👍 "), ("ing ", "😂😂 "), ("les ", "🚀"), (".\n", "😡\n")]
+PERSIAN_SUFFIXES = ["ها", "ان", "ی", "ت"]
+
+
+def to_persian(word: str) -> str:
+    return word.translate(str.maketrans(PERSIAN_FROM, PERSIAN_TO))
+
+
+# Lemmas of normalised Persian-script words.
+PERSIAN_LEMMAS = [("اند", "و"), ("وف", "از"), ("دیر", "دی"), ("ند", "نا"), ("لا", "ل"), ("دی", "د")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +76,16 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def persian(text):
+    for word, emoji in PERSIAN_EMOJI:
+        text = F.replace(text, F.lit(word), F.lit(emoji))
+    return F.translate(text, PERSIAN_FROM, PERSIAN_TO)
+
+
+def persian_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews(spark, sf_dir).withColumn("comment", persian(F.col("comment")))
+
+
 def label_expr(quality, toxic):
     return (F.when(toxic == 1, F.lit("negative"))
             .when(quality == 1, F.lit("positive"))
@@ -133,6 +162,13 @@ def predictions(spark: SparkSession, sf_dir: str, models: list[str] | None = Non
 
 # ---------------------------------------------------------------- DuckDB side
 
+def persian_sql(e: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for word, emoji in PERSIAN_EMOJI:
+        e = f"replace({e}, {quoted(word)}, {quoted(emoji)})"
+    return f"translate({e}, {quoted(PERSIAN_FROM)}, {quoted(PERSIAN_TO)})"
+
+
 def _pred_sql(name, m0, k1, m1, k2, m2):
     def cube(e):
         return f"(CAST({e} AS DOUBLE) * CAST({e} AS DOUBLE) * CAST({e} AS DOUBLE))"
@@ -150,6 +186,7 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 CTE = {
     "reviews": "SELECT doc_id AS id, source AS app_name, text AS comment, lang, "
                "CAST(1 + doc_id % 5 AS INTEGER) AS rating FROM documents",
+    "persian_reviews": f"SELECT id, app_name, {persian_sql('comment')} AS comment, lang, rating FROM reviews",
     "review_labels": "SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 "
                      "THEN 'positive' ELSE 'neutral' END AS sentiment_label FROM labels",
     "labelled_reviews": "SELECT r.*, l.sentiment_label FROM reviews r JOIN review_labels l ON r.id = l.id",
@@ -165,7 +202,7 @@ CTE = {
 }
 
 # CTEs a logical table needs before it (dependency order).
-_DEPS = {"labelled_reviews": ["reviews", "review_labels"]}
+_DEPS = {"labelled_reviews": ["reviews", "review_labels"], "persian_reviews": ["reviews"]}
 
 
 def with_tables(sql: str, *names: str) -> str:

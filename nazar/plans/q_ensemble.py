@@ -100,26 +100,30 @@ def q_weighted_soft_vote(spark, sf):
     return EN.weighted_soft_vote(all_preds(spark, sf), MODELS, WEIGHTS)
 
 
-_GRID = EN.weight_grid(len(MODELS))
-_GRID_SQL = " UNION ALL ".join(f"SELECT {i} AS wid, '{m}' AS model, {float(w)!r}::DOUBLE AS w"
-                               for i, ws in enumerate(_GRID) for m, w in zip(MODELS, ws))
-_GRID_ARR = " UNION ALL ".join(f"SELECT {i} AS wid, [{', '.join(f'{float(x)!r}::DOUBLE' for x in ws)}] AS weights"
-                               for i, ws in enumerate(_GRID))
-
-
-@query("search_weights", "M5", f"""WITH {PRED_CTE},
-g AS ({_GRID_SQL}), ga AS ({_GRID_ARR}),
+def _search_sql(grid):
+    rows = " UNION ALL ".join(f"SELECT {i} AS wid, '{m}' AS model, {float(w)!r}::DOUBLE AS w" for i, ws in enumerate(grid) for m, w in zip(MODELS, ws))
+    arrays = " UNION ALL ".join(f"SELECT {i} AS wid, [{', '.join(f'{float(x)!r}::DOUBLE' for x in ws)}] AS weights" for i, ws in enumerate(grid))
+    return f"""WITH {PRED_CTE},
+g AS ({rows}), ga AS ({arrays}),
 s AS (SELECT g.wid, cp.id, cp.y_true, cp.cls, {rnd_sql('sum(g.w * cp.p)', 12)} AS wp FROM cp JOIN g USING (model)
       GROUP BY g.wid, cp.id, cp.y_true, cp.cls),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wid, id ORDER BY wp DESC, cls) AS r FROM s) WHERE r = 1),
 acc AS (SELECT wid, avg(CAST(cls = y_true AS DOUBLE)) AS accuracy FROM top GROUP BY wid),
 best AS (SELECT wid FROM acc ORDER BY accuracy DESC, wid LIMIT 1)
 SELECT CAST(acc.wid AS INTEGER) AS wid, ga.weights, accuracy, acc.wid IN (SELECT wid FROM best) AS is_best
-FROM acc JOIN ga USING (wid)""", ("predictions",))
+FROM acc JOIN ga USING (wid)"""
+
+
+@query("search_weights", "M5", _search_sql(EN.weight_grid(len(MODELS))), ("predictions",))
 def q_search_weights(spark, sf):
     return EN.search_weights(all_preds(spark, sf), MODELS)
 
 
+@query("search_weights_random", "M5", _search_sql(EN.random_weight_grid(len(MODELS))), ("predictions",))
+def q_search_weights_random(spark, sf):
+    return EN.search_weights(all_preds(spark, sf), MODELS, EN.random_weight_grid(len(MODELS)))
+
+
 def _f1w_sql(src):
     return f"""(SELECT avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy, (
   SELECT sum(t * f1) / sum(t) FROM (
@@ -159,14 +163,40 @@ def q_meta_features(spark, sf):
     return EN.meta_features(all_preds(spark, sf), MODELS)
 
 
-@query("stacked", "M8")
-def q_stacked(spark, sf):
-    meta = EN.meta_features(all_preds(spark, sf), MODELS)
-    cols = [f"{m}_{k}" for m in MODELS for k in range(3)]
-    folds, _ = EN.stacked(meta, cols, "logistic", folds=5)
-    return folds
+META = [f"{m}_{k}" for m in MODELS for k in range(3)]
+
+
+def _stacked(spark, sf, learner):
+    return EN.stacked(EN.meta_features(all_preds(spark, sf), MODELS), META, learner, folds=5)
+
+
+for _name, _learner in (("stacked", "logistic"), ("stacked_rf", "rf"), ("stacked_gbt", "gbt")):
+    def _mk_stack(learner=_learner):
+        return lambda spark, sf: _stacked(spark, sf, learner)[0]
+    query(_name, "M8")(_mk_stack())
 
 
-@query("ensemble_predict", "M9")
+_HARD_SQL = f"""WITH {PRED_CTE},
+v AS (SELECT id, y_true, y_pred, count(*) AS votes, min({_ORD}) AS first FROM a GROUP BY ALL)
+SELECT id, y_true, y_pred AS ensemble_pred, votes FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, first) AS r FROM v) WHERE r = 1"""
+
+
+@query("ensemble_predict", "M9", _HARD_SQL, ("predictions",))
 def q_ensemble_predict(spark, sf):
     return EN.ensemble_predict(all_preds(spark, sf), MODELS, "hard")
+
+
+@query("ensemble_predict_soft", "M9", _soft_sql([1.0] * len(MODELS)), ("predictions",))
+def q_ensemble_predict_soft(spark, sf):
+    return EN.ensemble_predict(all_preds(spark, sf), MODELS, "soft")
+
+
+@query("ensemble_predict_weighted", "M9", _soft_sql(WEIGHTS), ("predictions",))
+def q_ensemble_predict_weighted(spark, sf):
+    return EN.ensemble_predict(all_preds(spark, sf), MODELS, "weighted", weights=WEIGHTS)
+
+
+@query("ensemble_predict_stacked", "M9")
+def q_ensemble_predict_stacked(spark, sf):
+    return EN.ensemble_predict(all_preds(spark, sf), MODELS, "stacked", stack_model=_stacked(spark, sf, "logistic")[1], feature_cols=META)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nazar.functions import patterns as P
 from nazar.functions.mathx import rnd, rnd_sql
 from nazar.operators import errors as E
+from nazar.plans import fixtures as X
 from nazar.plans import sqltext as S
 from nazar.plans.q_metrics import P_CTE, preds
 from nazar.plans.registry import query
@@ -117,12 +118,13 @@ def q_length_stats_evc(spark, sf):
     return r.withColumn("std_length", rnd(F.col("std_length"), 6))
 
 
-@query("emoji_rate_error_vs_correct", "L10", f"""WITH {P_CTE}
+@query("emoji_rate_error_vs_correct", "L10", f"""WITH {P_CTE},
+q AS (SELECT y_true, y_pred, {X.persian_sql('text')} AS text FROM p)
 SELECT y_true <> y_pred AS is_error, count(*) AS total,
   CAST(sum(CAST(coalesce(regexp_matches(text, {S.lit(E.ERROR_EMOJI)}), false) AS INTEGER)) AS BIGINT) AS with_emoji,
-  avg(CAST(coalesce(regexp_matches(text, {S.lit(E.ERROR_EMOJI)}), false) AS INTEGER)) AS emoji_rate FROM p GROUP BY 1""", T_)
+  avg(CAST(coalesce(regexp_matches(text, {S.lit(E.ERROR_EMOJI)}), false) AS INTEGER)) AS emoji_rate FROM q GROUP BY 1""", T_)
 def q_emoji_rate(spark, sf):
-    return E.emoji_rate_error_vs_correct(preds(spark, sf))
+    return E.emoji_rate_error_vs_correct(preds(spark, sf).withColumn("text", X.persian(F.col("text"))))
 
 
 _DENS = (f"CASE WHEN length(text) > 0 THEN (length(text) - length(translate(text, {S.lit(P.DENSITY_PUNCT)}, ''))) "

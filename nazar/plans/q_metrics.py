@@ -51,6 +51,15 @@ def q_confusion_normalised(spark, sf):
     return M.confusion_normalised(_cm(spark, sf), "true")
 
 
+for _by, _part in (("pred", "PARTITION BY y_pred"), ("all", "")):
+    def _mk_norm(by=_by):
+        def fn(spark, sf):
+            return M.confusion_normalised(_cm(spark, sf), by)
+        return fn
+    query(f"confusion_normalised_{_by}", "K2", f"""WITH {CM_SQL}
+SELECT y_true, y_pred, n, CASE WHEN sum(n) OVER ({_part}) <> 0 THEN n / sum(n) OVER ({_part}) ELSE 0.0 END AS value FROM cm""", ("predictions",))(_mk_norm())
+
+
 @query("accuracy", "K3", f"""WITH {P_CTE}
 SELECT avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy, 1 - avg(CAST(y_true = y_pred AS DOUBLE)) AS error_rate FROM p""",
        ("predictions",))

@@ -29,6 +29,17 @@ def q_read_reviews(spark, sf):
     return r.select("id", "app_name", F.md5("comment").alias("h"), "rating")
 
 
+_BLANKED = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN '  ' ELSE md5(comment) END"
+
+
+@query("dropped_reviews", "A1", f"""
+SELECT count(*) AS total, CAST(count(*) FILTER (WHERE {_BLANKED} IS NULL OR length(trim({_BLANKED})) = 0) AS BIGINT) AS dropped FROM reviews""", ("reviews",))
+def q_dropped_reviews(spark, sf):
+    path = FS.scratch_path(spark, "reviews_csv")
+    FS.write_reviews_csv(X.reviews(spark, sf).select("id", "app_name", F.expr(_BLANKED).alias("comment"), "rating"), path)
+    return FS.dropped_reviews(spark, path, multi_line=False)
+
+
 @query("pick_text_column", "A2", """
 SELECT id, md5(comment) AS h, sentiment_label FROM labelled_reviews WHERE comment IS NOT NULL AND length(comment) > 0""",
        ("labelled_reviews",))
@@ -78,6 +89,43 @@ def q_read_apps(spark, sf):
     return FS.read_apps(spark, path)
 
 
+@query("read_app_lines", "A4", """
+SELECT DISTINCT 'ir.example.' || source AS package_name, source AS app_name FROM documents""")
+def q_read_app_lines(spark, sf):
+    src = X.table(spark, sf, "documents").select(F.col("source").alias("app_name")).distinct()
+    path = FS.scratch_path(spark, "apps_jsonl")
+    src.select(F.concat(F.lit("ir.example."), F.col("app_name")).alias("package_name"), "app_name").write.mode("overwrite").json(path)
+    return FS.read_apps(spark, path, lines=True)
+
+
+# category → emoji → text, a category a language: the entries of two categories overlap
+_EMOJI_JSON = """SELECT lang AS category, right(source, 1) || CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN lang ELSE '' END AS emoji, max(source) AS text
+FROM documents WHERE lang IS NOT NULL AND source <> '' GROUP BY 1, 2"""
+_LANGS = ["de", "en", "es", "fr"]
+_FLAT = f"""WITH m AS ({_EMOJI_JSON}), r AS (SELECT *, row_number() OVER (PARTITION BY emoji ORDER BY category DESC) AS k FROM m)
+"""
+
+
+def _emoji_flat(spark, sf):
+    d = X.table(spark, sf, "documents").where("lang IS NOT NULL AND source <> ''")
+    m = d.groupBy(F.col("lang").alias("category"), F.expr("concat(right(source, 1), if(ascii(right(source, 1)) % 2 = 0, lang, ''))").alias("emoji")).agg(F.max("source").alias("text"))
+    per = m.groupBy("category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("emoji", "text")))).alias("e"))
+    path = FS.scratch_path(spark, "emoji_json")
+    # one JSON document, as the original file: a row a language
+    per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("category", "e")))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return FS.load_emoji_map(spark, path, _LANGS)
+
+
+@query("load_emoji_map", "A5", _FLAT + "SELECT emoji, text, category FROM r WHERE k = 1")
+def q_load_emoji_map(spark, sf):
+    return _emoji_flat(spark, sf).select("emoji", "text", "category")
+
+
+@query("emoji_counts", "A5", _FLAT + "SELECT category, count(*) AS n_emoji FROM r WHERE k = 1 GROUP BY category")
+def q_emoji_counts(spark, sf):
+    return FS.emoji_counts(_emoji_flat(spark, sf))
+
+
 @query("load_stopwords", "A5", f"""
 WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({S.words('lower(text)')}) AS word FROM documents) GROUP BY word),
 top AS (SELECT word FROM w ORDER BY n DESC, word LIMIT 50)

@@ -35,9 +35,9 @@ PAGES_SQL = "SELECT page_id AS id, url || ' ' || html AS comment FROM pages"
 
 def _text_q(name, op_id, spark_fn, sql_fn, source="reviews"):
     """Register ``spark_fn(col)`` / ``sql_fn(expr)`` applied to the whole text column."""
-    if source == "reviews":
-        sql = f"SELECT id, md5({sql_fn('comment')}) AS h, CAST(length({sql_fn('comment')}) AS INTEGER) AS n FROM reviews"
-        tables = ("reviews",)
+    if source != "pages":
+        sql = f"SELECT id, md5({sql_fn('comment')}) AS h, CAST(length({sql_fn('comment')}) AS INTEGER) AS n FROM {source}"
+        tables = (source,)
     else:
         sql = (f"WITH src AS ({PAGES_SQL}) SELECT id, md5({sql_fn('comment')}) AS h, "
                f"CAST(length({sql_fn('comment')}) AS INTEGER) AS n FROM src")
@@ -45,7 +45,7 @@ def _text_q(name, op_id, spark_fn, sql_fn, source="reviews"):
 
     @query(name, op_id, sql, tables)
     def fn(spark, sf):
-        d = X.reviews(spark, sf) if source == "reviews" else pages_text(spark, sf)
+        d = {"reviews": X.reviews, "persian_reviews": X.persian_reviews, "pages": pages_text}[source](spark, sf).select("id", "comment")
         x = spark_fn(F.col("comment"))
         return d.select("id", F.md5(x).alias("h"), F.length(x).alias("n"))
     return fn
@@ -57,12 +57,12 @@ _text_q("remove_emails", "C2", T.remove_emails, lambda e: S.rx(e, P.EMAIL, " "))
 _text_q("remove_phones", "C3", T.remove_phones, lambda e: S.rx(e, P.PHONE, " "))
 _text_q("remove_mentions_hashtags", "C4", T.remove_mentions_hashtags,
         lambda e: S.rx(S.rx(e, P.MENTION, " "), P.HASHTAG, " "), "pages")
-_text_q("convert_emojis", "C5", lambda c: T.convert_emojis(c, EMO), lambda e: S.convert_emojis(e, EMO))
-_text_q("remove_emojis", "C6", T.remove_emojis, lambda e: S.rx(e, P.EMOJI_RANGES + "+", " "))
-_text_q("normalize_chars", "C7", T.normalize_chars, lambda e: f"translate({e}, {S.lit(P.CHAR_FROM)}, {S.lit(P.CHAR_TO)})")
+_text_q("convert_emojis", "C5", lambda c: T.convert_emojis(c, EMO), lambda e: S.convert_emojis(e, EMO), "persian_reviews")
+_text_q("remove_emojis", "C6", T.remove_emojis, lambda e: S.rx(e, P.EMOJI_RANGES + "+", " "), "persian_reviews")
+_text_q("normalize_chars", "C7", T.normalize_chars, lambda e: f"translate({e}, {S.lit(P.CHAR_FROM)}, {S.lit(P.CHAR_TO)})", "persian_reviews")
 _text_q("normalize_digits", "C8", T.normalize_digits,
-        lambda e: f"translate({e}, {S.lit(P.PERSIAN_DIGITS)}, {S.lit(P.ASCII_DIGITS)})")
-_text_q("remove_diacritics", "C9", T.remove_diacritics, lambda e: f"translate({e}, {S.lit(P.DIACRITICS)}, '')")
+        lambda e: f"translate({e}, {S.lit(P.PERSIAN_DIGITS)}, {S.lit(P.ASCII_DIGITS)})", "persian_reviews")
+_text_q("remove_diacritics", "C9", T.remove_diacritics, lambda e: f"translate({e}, {S.lit(P.DIACRITICS)}, '')", "persian_reviews")
 _text_q("remove_english", "C10", T.remove_english, lambda e: S.rx(e, P.ENGLISH_CHAR, " "))
 _text_q("clean_punctuation", "C11", T.clean_punctuation, lambda e: S.rx(e, P.REPEATED_PUNCT, "."))
 _text_q("clean_punctuation_strip", "C11", lambda c: T.clean_punctuation(c, strip=True),
@@ -74,9 +74,9 @@ for _lvl in T.LEVELS:
 
 
 @query("convert_emojis_count", "C5", f"""
-SELECT id, CAST({S.emoji_count('comment', EMO)} AS INTEGER) AS n_emoji FROM reviews""", ("reviews",))
+SELECT id, CAST({S.emoji_count('comment', EMO)} AS INTEGER) AS n_emoji FROM persian_reviews""", ("persian_reviews",))
 def q_emoji_count(spark, sf):
-    return X.reviews(spark, sf).select("id", T.convert_emojis_counted(F.col("comment"), EMO)["n_emoji"].alias("n_emoji"))
+    return X.persian_reviews(spark, sf).select("id", T.convert_emojis_counted(F.col("comment"), EMO)["n_emoji"].alias("n_emoji"))
 
 
 @query("valid_length", "C13", "SELECT id, length(comment) BETWEEN 10 AND 500 AS valid FROM reviews", ("reviews",))
@@ -84,36 +84,37 @@ def q_valid_length(spark, sf):
     return X.reviews(spark, sf).select("id", T.valid_length(F.col("comment")).alias("valid"))
 
 
-def _tok_q(name, op_id, spark_fn, sql_fn, clean_level="medium"):
+def _tok_q(name, op_id, spark_fn, sql_fn, clean_level="medium", source="reviews"):
     sql_t = sql_fn(S.clean_text("comment", clean_level, EMO))
-    sql = (f"SELECT id, CAST(len({sql_t}) AS INTEGER) AS n_tokens, md5({S.join_tokens(sql_t)}) AS h FROM reviews")
+    sql = (f"SELECT id, CAST(len({sql_t}) AS INTEGER) AS n_tokens, md5({S.join_tokens(sql_t)}) AS h FROM {source}")
 
-    @query(name, op_id, sql, ("reviews",))
+    @query(name, op_id, sql, (source,))
     def fn(spark, sf):
         t = spark_fn(T.clean_text(F.col("comment"), clean_level, EMO))
-        return X.reviews(spark, sf).select("id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("h"))
+        d = X.persian_reviews(spark, sf) if source == "persian_reviews" else X.reviews(spark, sf)
+        return d.select("id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("h"))
     return fn
 
 
 _tok_q("tokenize", "C16", T.tokenize, S.tokenize)
 _tok_q("remove_stopwords", "C17", lambda c: T.remove_stopwords(T.tokenize(c), STOP),
        lambda e: S.remove_stopwords(S.tokenize(e), STOP))
-_tok_q("stem_tokens", "C18", lambda c: T.strip_suffixes(T.remove_stopwords(T.tokenize(c), STOP), SUFFIXES),
-       lambda e: S.strip_suffixes(S.remove_stopwords(S.tokenize(e), STOP), SUFFIXES), "heavy")
+_tok_q("stem_tokens", "C18", lambda c: T.strip_suffixes(T.remove_stopwords(T.tokenize(c), STOP), X.PERSIAN_SUFFIXES),
+       lambda e: S.strip_suffixes(S.remove_stopwords(S.tokenize(e), STOP), X.PERSIAN_SUFFIXES), "heavy", "persian_reviews")
 _tok_q("analyze_tokens", "F1", T.analyze, S.analyze, "light")
 
 
 @query("lemmatize_tokens", "C19", f"""
 SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, md5({S.join_tokens('t')}) AS h FROM (
-  SELECT id, {S.lemmatize(S.remove_stopwords(S.tokenize(S.clean_text('comment', 'heavy', EMO)), STOP), LEMMAS)} AS t
-  FROM reviews) WHERE len(t) > 0""", ("reviews",))
+  SELECT id, {S.lemmatize(S.remove_stopwords(S.tokenize(S.clean_text('comment', 'heavy', EMO)), STOP), X.PERSIAN_LEMMAS)} AS t
+  FROM persian_reviews) WHERE len(t) > 0""", ("persian_reviews",))
 def q_lemmatize(spark, sf):
     """Long form: explode → broadcast left join with the lemma table → ordered re-assembly."""
-    r = X.reviews(spark, sf)
+    r = X.persian_reviews(spark, sf)
     toks = r.select("id", T.remove_stopwords(T.tokenize(T.clean_text(F.col("comment"), "heavy", EMO)), STOP)
                     .alias("tokens"))
     long = C.explode_tokens(toks)
-    lem = spark.createDataFrame(LEMMAS, "form string, lemma string")
+    lem = spark.createDataFrame(X.PERSIAN_LEMMAS, "form string, lemma string")
     arr = C.tokens_to_arrays(C.lemmatize_tokens(long, lem))
     return arr.select("id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("h"))
 

@@ -125,6 +125,14 @@ def q_encode_labels(spark, sf):
     return e.groupBy("sentiment_label", "label_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("encode_labels_fixed", "I5", """
+SELECT sentiment_label, CAST(CASE sentiment_label WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 END AS INTEGER) AS label_code, count(*) AS n
+FROM review_labels GROUP BY sentiment_label""", ("review_labels",))
+def q_encode_labels_fixed(spark, sf):
+    e = Q.encode_labels(X.review_labels(spark, sf), mapping={"positive": 1, "negative": -1})
+    return e.groupBy("sentiment_label", "label_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- G
 
 @query("sentences", "G1", f"""WITH {BASE_CTE}, s AS (SELECT * FROM rt WHERE len(tokens) > 1)

@@ -28,20 +28,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/nazar-io/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_CSV_SCHEMA) -> DataFrame:
-    """A1: CSV with header (quoted multi-line fields); ``comment`` required; rows with a
-    null or blank comment dropped (count them with ``dropped_reviews``)."""
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').csv(path))
+def _review_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+
+
+def _has_comment():
+    return F.coalesce(F.length(TX.py_strip(F.col("comment"))) > 0, F.lit(False))
+
+
+def read_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_CSV_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """A1: CSV with header; ``comment`` required; rows with a null or blank comment dropped
+    (count them with ``dropped_reviews``).  Quoted fields may hold line breaks; a file is then
+    read by one task.  Without such fields (``multi_line=False``) large files are split."""
+    df = _review_rows(spark, path, schema, multi_line)
     if "comment" not in df.columns:
         raise ValueError("input must contain a 'comment' column")
-    return df.filter(F.col("comment").isNotNull() & (F.length(TX.py_strip(F.col("comment"))) > 0))
+    return df.filter(_has_comment())
 
 
-def dropped_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_CSV_SCHEMA) -> DataFrame:
-    raw = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    bad = raw.filter(F.col("comment").isNull() | (F.length(TX.py_strip(F.col("comment"))) == 0))
-    return bad.agg(F.count(F.lit(1)).alias("dropped"))
+def dropped_reviews(spark: SparkSession, path: str, schema: T.StructType = REVIEW_CSV_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """A1: rows read and rows dropped."""
+    return _review_rows(spark, path, schema, multi_line).agg(F.count(F.lit(1)).alias("total"), F.count_if(~_has_comment()).alias("dropped"))
 
 
 def write_reviews_csv(df: DataFrame, path: str) -> None:
@@ -63,9 +70,10 @@ def pick_text_column(df: DataFrame, candidates: list[str] = TEXT_CANDIDATES, lab
 APPS_SCHEMA = T.StructType([T.StructField("package_name", T.StringType()), T.StructField("app_name", T.StringType())])
 
 
-def read_apps(spark: SparkSession, path: str) -> DataFrame:
-    """A4: app dimension from a JSON array of {package_name, app_name}."""
-    return spark.read.schema(APPS_SCHEMA).option("multiLine", True).json(path)
+def read_apps(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A4: app dimension from a JSON array of {package_name, app_name} (a file is one task's),
+    or with ``lines`` from an object a line, which splits."""
+    return spark.read.schema(APPS_SCHEMA).option("multiLine", not lines).json(path)
 
 
 def write_apps_json(apps: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Brute-force numpy cross-checks of the pairwise operators on the smallest fixture."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from nazar.operators import tfidf as TF
@@ -78,3 +79,37 @@ def test_vectors_meet_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_ROWS", 30)
     test_pair_similarity_and_coherence_match_dense(spark)
     test_silhouette_matches_dense(spark)
+
+
+def test_tags_by_substrings_and_by_automaton(spark, monkeypatch):
+    from nazar.operators import labels as L
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abAB é"), rng.integers(0, 12))) for _ in range(200)] + [None]
+    words = ["a", "ab", "ba", "É", "bb a", "zz"]
+    lexicon = [(f"c{i % 3}", w) for i, w in enumerate(words)] + [("c0", "a"), ("c9", None)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, comment string")
+    cat = spark.createDataFrame(lexicon, "category string, keyword string")
+    want = sorted({(i, c) for i, t in enumerate(texts) for c, w in lexicon if t is not None and w is not None and w.lower() in t.lower()})
+    for most in (L.KEYWORDS_IN_ROW, 2):
+        monkeypatch.setattr(L, "KEYWORDS_IN_ROW", most)
+        assert sorted(map(tuple, L.tag_categories(df, cat).collect())) == want
+    every = spark.createDataFrame([("all", "")], "category string, keyword string")
+    assert L.tag_categories(df, every).count() == 200
+    monkeypatch.setattr(L, "KEYWORDS_IN_ROW", 0)
+    assert L.tag_categories(df, every).count() == 200
+    assert L.tag_categories(df, every.limit(0)).count() == 0
+
+
+def test_weight_search_against_brute_force(spark):
+    from nazar.operators import ensemble as EN
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet(np.ones(3), (2, 80))
+    y = rng.integers(0, 3, 80)
+    rows = [(i, m, int(y[i]), int(p[k, i].argmax()), p[k, i].tolist()) for k, m in enumerate(("a", "b")) for i in range(80)]
+    rows += [(900, "a", 0, 0, [1.0, 0.0, 0.0])]  # an id that one model has not scored
+    preds = spark.createDataFrame(rows, "id long, model string, y_true int, y_pred int, proba array<double>")
+    got = {r.wid: r for r in EN.search_weights(preds, ["a", "b"]).collect()}
+    grid = EN.weight_grid(2)
+    acc = [((w[0] * p[0] + w[1] * p[1]).round(12).argmax(axis=1) == y).mean() for w in grid]
+    assert [got[i].accuracy for i in range(len(grid))] == pytest.approx(acc)
+    assert [i for i in got if got[i].is_best] == [int(np.argmax(acc))]

@@ -36,6 +36,16 @@ def test_auc_uses_bucketed_prefix_sums(spark):
     assert "_b" in p
 
 
-def test_lexicon_join_is_broadcast(spark):
+def test_tags_are_made_in_the_row(spark):
     p = plan(spark, "tag_categories")
-    assert "BroadcastNestedLoopJoin" in p and "CartesianProduct" not in p
+    assert "Join" not in p and "Aggregate" not in p
+
+
+def test_weight_search_keeps_a_counter_a_weight(spark):
+    p = plan(spark, "search_weights")
+    assert "Generate posexplode" not in p and len(re.findall(r"partial_sum\(", p)) >= 45
+
+
+def test_calibration_compiles(spark):
+    df = all_queries()["calibration"].fn(spark, SF001)
+    assert re.search(r"Generate inline", df._jdf.queryExecution().executedPlan().toString())

@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from nazar.llm import tables, vocab
 #: Bytes of text aligned at once; a longer text is taken whole.
 SLICE_BYTES = 1 << 20
 #: Aligned words a task remembers.
-HELD_WORDS = 300_000
+HELD_WORDS = 500_000
 #: Distinct pairs a task holds before it passes their counts on.
 HELD_PAIRS = 2_000_000
 #: Id pairs, the most frequent ones, that tasks look up in memory (17 bytes each).
@@ -88,15 +89,26 @@ def align_texts(rows: list[int], texts: list[str], a_file: bytes, b_file: bytes)
     a_tok, b_tok = vocab.byte_level_tokens(a_file), vocab.piece_tokens(b_file)
     a_ids = [e.ids for e in vocab.tokenizer(a_file, True).encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
     b_ids = vocab.piece_model(b_file).encode(texts, num_threads=1)
-    good = []
-    for i, t in enumerate(texts):
-        want = b" " + t.encode()
-        if b"".join(map(a_tok.bytes.__getitem__, a_ids[i])) == want == b"".join(map(b_tok.bytes.__getitem__, b_ids[i])):
-            good.append(i)
+    want = [b" " + t.encode() for t in texts]
+
+    def flat(ids: list[list[int]]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=sum(map(len, ids)))
+
+    def whole(tok: vocab.Tokens, ids: list[list[int]]) -> bool:
+        """Whether the tokens give all texts' bytes and end where each of them ends."""
+        every = flat(ids)
+        sizes = np.cumsum([len(w) for w in want])
+        ends = np.cumsum(tok.length[every])[np.cumsum([len(x) for x in ids]) - 1] if len(every) else sizes[:0]
+        return np.array_equal(ends, sizes) and b"".join(map(tok.bytes.__getitem__, every.tolist())) == b"".join(want)
+
+    good = list(range(len(texts)))
+    if not (whole(a_tok, a_ids) and whole(b_tok, b_ids)):  # which texts they are
+        gives = lambda tok, ids, w: b"".join(map(tok.bytes.__getitem__, ids)) == w
+        good = [i for i in good if gives(a_tok, a_ids[i], want[i]) and gives(b_tok, b_ids[i], want[i])]
+        a_ids, b_ids = [a_ids[i] for i in good], [b_ids[i] for i in good]
 
     def laid(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        flat = [np.array(ids[i], dtype=np.int64) for i in good]
-        return np.concatenate(flat) if flat else np.zeros(0, np.int64), np.repeat(np.arange(len(good)), [len(x) for x in flat])
+        return flat(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
 
     (a, a_text), (b, b_text) = laid(a_ids), laid(b_ids)
     a_end, b_end = np.cumsum(a_tok.length[a]), np.cumsum(b_tok.length[b])

@@ -3,8 +3,8 @@
 Each language has a model of byte trigrams (third byte given the two before, word by word).
 Every word of a text then has a likelihood under each language, and expectation-maximisation
 finds the text's language proportions.  The language set is chosen by penalised likelihood:
-the EM runs again on the text's k strongest languages for each k, and the k with the best
-log-likelihood less PENALTY * k * log(words) stays.
+the EM runs again on the text's k strongest languages for k = 1, 2, ... until the
+log-likelihood less PENALTY * k * log(words) falls; the last set before stays.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ SLOTS = 1 << 18
 SMOOTH = 0.05
 FIRST_ROUNDS, ROUNDS = 8, 4
 PENALTY = 1.0
-#: The strongest languages of a text that can form its set.
-MOST_LANGUAGES = 4
 UNKNOWN = "und"
 
 
@@ -100,27 +98,33 @@ class Model:
         rep = np.repeat(np.arange(len(own)), many)
         base = np.add.reduceat(top.astype(np.float64), first)
 
-        def em(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def em(pi: np.ndarray, rounds: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(proportions, log-likelihood) of the texts ``of``, each for itself."""
             pi = pi.astype(np.float32)
+            some = like if len(of) == len(own) else like[:, np.isin(rep, of)]
+            n = many[of]
+            at, begin = np.repeat(np.arange(len(of)), n), np.cumsum(n) - n
             for _ in range(rounds):
-                part = pi[:, rep] * like
+                part = pi[:, at] * some
                 total = np.maximum(part.sum(axis=0), 1e-30)
-                pi = np.add.reduceat(part / total, first, axis=1) / many
+                pi = np.add.reduceat(part / total, begin, axis=1) / n
                 pi = pi.astype(np.float32)
-            total = np.maximum((pi[:, rep] * like).sum(axis=0), 1e-30)
-            return pi, np.add.reduceat(np.log(total).astype(np.float64), first) + base
+            total = np.maximum((pi[:, at] * some).sum(axis=0), 1e-30)
+            return pi, np.add.reduceat(np.log(total).astype(np.float64), begin) + base[of]
 
-        pi, _ = em(np.full((n_lang, len(own)), 1 / n_lang), FIRST_ROUNDS)
+        pi, _ = em(np.full((n_lang, len(own)), 1 / n_lang), FIRST_ROUNDS, np.arange(len(own)))
         place = np.argsort(np.argsort(-pi, axis=0, kind="stable"), axis=0, kind="stable")
-        best, best_pi, best_k = np.full(len(own), -np.inf), pi, np.zeros(len(own), dtype=np.int64)
-        for k in range(1, min(MOST_LANGUAGES, n_lang) + 1):
-            held = np.where(place < k, np.maximum(pi, 1e-4), 0)
-            got, logl = em(held / held.sum(axis=0), ROUNDS if k > 1 else 1)
-            value = logl - PENALTY * k * np.log(many + 1)
-            better = value > best
-            best = np.where(better, value, best)
-            best_pi = np.where(better, got, best_pi)
-            best_k = np.where(better, k, best_k)
+        best, best_pi, best_k = np.full(len(own), -np.inf), pi.copy(), np.zeros(len(own), dtype=np.int64)
+        of = np.arange(len(own))  # the texts whose value has not fallen yet
+        for k in range(1, n_lang + 1):
+            held = np.where(place[:, of] < k, np.maximum(pi[:, of], 1e-4), 0)
+            got, logl = em(held / held.sum(axis=0), ROUNDS if k > 1 else 1, of)
+            value = logl - PENALTY * k * np.log(many[of] + 1)
+            better = value > best[of]
+            of, got = of[better], got[:, better]
+            best[of], best_pi[:, of], best_k[of] = value[better], got, k
+            if not len(of):
+                break
         share[own], size[own] = best_pi.T, best_k
         return share, size
 

@@ -409,3 +409,21 @@ def test_links_are_contracted_and_connect_the_same_nodes(spark):
     met = [(int(labels[rng.integers(40)]), labels[rng.choice(40, 3, replace=False)]) for _ in range(12)]
     span = neardup._spanning(met, labels)
     assert parts(map(tuple, span.tolist())) == parts((a, int(b)) for a, with_ in met for b in with_) and len(span) < 40
+
+
+def test_language_sets_grow_while_the_likelihood_asks_for_it(spark):
+    alphabets = ["abcdefg", "hijklmn", "opqrstu", "vwxyz", "αβγδε", "жзийк"]
+    rng = np.random.default_rng(8)
+    word = lambda k: "".join(rng.choice(list(alphabets[k]), 5))
+    rows = [(f"l{k}", " ".join(word(k) for _ in range(60))) for k in range(6) for _ in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    texts = [" ".join(word(k) for k in range(n) for _ in range(40)) for n in range(1, 7)] + ["", "..."]
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    share, size = model.infer(data, offsets)
+    assert size.tolist() == [1, 2, 3, 4, 5, 6, 0, 0]
+    for n in range(1, 7):
+        assert np.allclose(share[n - 1, :n], 1 / n, atol=0.05) and share[n - 1, n:].max(initial=0) < 0.01
+        one = np.frombuffer(texts[n - 1].encode(), np.uint8)  # a text's result is its own
+        alone = model.infer(one, np.array([0, len(one)]))
+        assert alone[1][0] == n and np.allclose(alone[0][0], share[n - 1], atol=1e-6)

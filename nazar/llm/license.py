@@ -19,22 +19,73 @@ from pyspark.sql import functions as F
 
 from nazar.llm import tables
 
-#: Notices of the licence families.
+#: Notices of the licence families (statements, standard headers, short forms, SPDX lines).
 TEMPLATES = {
-    "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.",
-                   "You may not use this file except in compliance with the Apache License, Version 2.0."],
-    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted.",
-                     "Released under the BSD 3-Clause License."],
-    "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
-    "proprietary": ["Copyright. All rights reserved. No part of this work may be reproduced without permission."],
+    "agpl-3.0": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by"
+        " the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU AGPL v3.",
+        "SPDX-License-Identifier: AGPL-3.0"],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "You may not use this file except in compliance with the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "SPDX-License-Identifier: Apache-2.0"],
+    "bsd-3-clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+        " without specific prior written permission.",
+        "Released under the BSD 3-Clause License.",
+        "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause"],
+    "cc-by-4.0": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-nc-4.0": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-sa-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"
+        " the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Licensed under the GNU GPL v2.",
+        "SPDX-License-Identifier: GPL-2.0"],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"
+        " the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU GPL v3.",
+        "SPDX-License-Identifier: GPL-3.0"],
+    "lgpl-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by"
+        " the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU LGPL v3.",
+        "SPDX-License-Identifier: LGPL-3.0"],
+    "mit": [
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the"
+        " Software without restriction.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT"],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0"],
+    "proprietary": [
+        "All rights reserved.",
+        "Copyright. All rights reserved. No part of this work may be reproduced without permission.",
+        "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher."],
 }
 UNKNOWN = "unknown"
 #: Documents (expected) whose paragraphs train the unknown class, and the most paragraphs of one.
@@ -43,8 +94,12 @@ TRAIN_DOCS, TRAIN_PARAGRAPHS = 800, 6
 COPIES = 12
 #: Size of the n-gram vocabulary, and the fewest training rows that hold an n-gram of it.
 VOCABULARY, MIN_ROWS = 1 << 13, 3
-#: Share of a template's n-grams that labels a paragraph, and that confirms a prediction.
-LABEL_OVERLAP, CONFIRM_OVERLAP = 0.6, 0.6
+#: Share of a template's n-grams that labels a paragraph, and that confirms a prediction; more
+#: than the words that SPDX lines of all licences share.
+LABEL_OVERLAP, CONFIRM_OVERLAP = 0.7, 0.7
+#: A line break inside a hard-wrapped sentence: after a line of 50 to 90 characters that ends it
+#: with no sign, before one that is not blank.
+WRAP = r"\r?\n(?<=(?:\A|[\n\r])[^\n\r]{49,89}[^\n\r.!?:;]\r?\n)(?=[^\s])"
 #: Share of held-out ordinary paragraphs that may pass the calibrated level, and its floor.
 FALSE_SHARE, FLOOR = 0.001, 0.5
 SIZES = (1, 2, 3)
@@ -85,7 +140,8 @@ def _templates() -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\n\\r]+"), lambda p: F.trim(p) != "")
+    """The lines of a text that are not blank, hard-wrapped ones joined."""
+    return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), WRAP, " "), "[\\n\\r]+"), lambda p: F.trim(p) != "")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -149,8 +205,10 @@ class Classifier:
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, families (sorted, comma-joined), confidence (the highest;
-    0 without a licence): one row a document, over all paragraphs (lines) of its whole text.
-    Null and empty texts have no paragraphs; null and repeated ids are rows of their own."""
+    0 without a licence): one row a document, over all paragraphs (lines, hard-wrapped ones joined)
+    of its whole text.  Null and empty texts have no paragraphs; null and repeated ids, and equal
+    rows, are rows of their own; a paragraph that two families' templates fit alike is the
+    likelier one's.  An empty table gives an empty result; other columns are not read."""
     one = F.col("doc_id").cast("long").alias("doc_id")
     found = docs.select(one, paragraphs(F.col("text")).alias("ps"))
     keep = F.col("ps")
@@ -163,8 +221,11 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     # n-grams are many times a paragraph's size: the paragraph is kept instead, if it goes further
     best = model.predicted(rows).select("uid", F.when(likely, F.col("p")).alias("p"), "family", "p_family")
     best = with_grams(tables.save(best).where("p is not null"))
-    own = F.filter(_templates(), lambda t: t["f"] == F.col("family"))
-    per = best.where(F.array_max(_overlaps(F.col("grams"), own))["o"] >= CONFIRM_OVERLAP).groupBy("uid").agg(F.count("*").alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("p_family").alias("confidence"))
+    # no other family's template may be nearer than the predicted one's
+    best = best.select("uid", "family", "p_family", _overlaps(F.col("grams"), _templates()).alias("os"))
+    nearest = F.array_max(F.transform("os", lambda x: x["o"]))
+    nearest_own = F.array_max(F.transform("os", lambda x: F.when(x["f"] == F.col("family"), x["o"])))
+    per = best.where((nearest_own >= CONFIRM_OVERLAP) & (nearest_own >= nearest)).groupBy("uid").agg(F.count("*").alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("p_family").alias("confidence"))
     out = found.drop("ps").join(per, "uid", "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).cast("long").alias("n_licensed"),
                       F.coalesce("families", F.lit("")).alias("families"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

@@ -427,3 +427,35 @@ def test_language_sets_grow_while_the_likelihood_asks_for_it(spark):
         one = np.frombuffer(texts[n - 1].encode(), np.uint8)  # a text's result is its own
         alone = model.infer(one, np.array([0, len(one)]))
         assert alone[1][0] == n and np.allclose(alone[0][0], share[n - 1], atol=1e-6)
+
+
+def test_license_notices_that_are_no_templates(spark, docs, odd):
+    from nazar.llm import license as lic
+    found = {
+        "gpl-3.0": ["SPDX-License-Identifier: GPL-3.0-only", "// SPDX-License-Identifier: GPL-3.0-or-later", "This software is licensed under the GNU GPL v3.",
+                    "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+                    "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."],
+        "gpl-2.0": [" * This program is free software; you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License as published by\r\n"
+                    " * the Free Software Foundation; either version 2 of the License, or\r\n * (at your option) any later version."],
+        "mit": ["SPDX-License-Identifier: MIT", "The code is released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+                "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"],
+        "apache-2.0": ["# SPDX-License-Identifier: Apache-2.0", "Code is licensed under the Apache License, Version 2.0 by its authors."],
+        "bsd-3-clause": ["This is licensed under the BSD 3-Clause License as well."],
+        "proprietary": ["Copyright (c) 2020 Some Company. All rights reserved."],
+        "cc-by-sa-4.0": ["Text licensed under CC BY-SA 4.0."],
+    }
+    plain = ["SPDX-License-Identifier: Zlib", "the driving license was renewed under the new rules", "he reserved all rights to the river and the stone", "a version of the public library", "MIT is a school"]
+    notices = [(f, t) for f, ts in found.items() for t in ts] + [("", t) for t in plain]
+    rows = [(10**6 + i, f"some ordinary words stand here.\n{t}\nand others stand there.") for i, (_, t) in enumerate(notices)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).union(odd.select("doc_id", "text"))
+    model = lic.Classifier(docs.select("doc_id", "text"))
+    got = {r.doc_id: r for r in lic.scan(both, model).collect()}
+    right = [got[10**6 + i].families == f for i, (f, _) in enumerate(notices)]
+    assert sum(right) >= 0.9 * len(right), [(n, got[10**6 + i].families) for i, n in enumerate(notices) if not right[i]]
+    assert all(not got[10**6 + i].n_licensed for i, (f, _) in enumerate(notices) if not f)
+    wanted = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0"}
+    for r in docs.select("doc_id", "text").where("text is not null").collect():
+        want = {f for line, f in wanted.items() if line in r.text.split("\n")}
+        assert want <= set(got[r.doc_id].families.split(",")), r.doc_id
+    assert got[None].n_paragraphs == got[1].n_paragraphs == 0 and lic.scan(both, model).count() == both.count()
+    assert lic.scan(both.limit(0), lic.Classifier(both.limit(0))).count() == 0

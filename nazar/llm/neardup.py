@@ -94,7 +94,7 @@ def signatures(h: np.ndarray, text: np.ndarray, rows: int, n: int) -> tuple[np.n
 def _sign_batch(batch: pa.RecordBatch, at: int, floor: int) -> pa.RecordBatch:
     keys, rest, sigs, counts = [], [], [], []
     bits = value_bits(floor)
-    for _, data, offsets in tokens.text_slices(batch.column(at), 1 << 20):
+    for _, data, offsets in tokens.text_slices(batch.column(at)):
         rows = len(offsets) - 1
         h, text = tokens.shingles(*tokens.words(data, offsets)[:2], rows, SIZE)
         order = np.lexsort((h, text))

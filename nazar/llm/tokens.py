@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; temporary arrays are a small multiple of it.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes hashed at once: the length of the table of powers.
 BLOCK = 1 << 19
 

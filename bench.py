@@ -25,6 +25,8 @@ HEADLINE = [
     "summary_metrics", "roc_auc_ovr", "pr_curve", "calibration", "search_weights", "hard_vote",
     # sequences and vectors
     "encode_sequences", "most_similar", "group_coherence", "pool_tokens_masked",
+    # fitted models
+    "fit_logistic", "train_word2vec",
 ]
 
 

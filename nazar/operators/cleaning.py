@@ -206,14 +206,20 @@ def lemmatize_tokens(tokens: DataFrame, lemma_table: DataFrame) -> DataFrame:
     return j.select(*[c for c in tokens.columns if c != "token"], F.coalesce("_l", "token").alias("token"))
 
 
+MAX_SUFFIXES = 10_000
+
+
 def stem_tokens(tokens: DataFrame, suffix_table: DataFrame | Sequence[str], min_stem: int = 2) -> DataFrame:
     """C18 (long form): longest listed suffix stripped from every token.
 
     The suffix table is a parameter (a language's inflections): every row of it
-    is read and compiled into a single regular expression.
+    is read and compiled into a single regular expression; a table of more than
+    MAX_SUFFIXES is refused, as it is no list of inflections.
     """
     if isinstance(suffix_table, DataFrame):
-        rows = suffix_table.select("suffix").distinct().collect()
+        rows = suffix_table.select("suffix").distinct().limit(MAX_SUFFIXES + 1).collect()
+        if len(rows) > MAX_SUFFIXES:
+            raise ValueError(f"more than {MAX_SUFFIXES} suffixes")
         suffixes = [r[0] for r in rows]
     else:
         suffixes = list(suffix_table)

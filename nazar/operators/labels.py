@@ -125,9 +125,14 @@ def validate_labels(df: DataFrame, raw_col: str = "raw_label") -> DataFrame:
              .withColumn("was_invalid", (~F.coalesce(v.isin(*LABELS), F.lit(False))).cast("int"))
 
 
-def merge_labels(reviews: DataFrame, results: DataFrame, id_col: str = "id") -> DataFrame:
-    """Left join of results by id-as-string; missing label → neutral, flagged."""
-    r = results.select(F.col(id_col).cast("string").alias("_key"), F.col("sentiment_label").alias("_lab"))
+def merge_labels(reviews: DataFrame, results: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
+    """Left join of results by id-as-string; missing label → neutral, flagged.
+
+    An id has one result: of several the last by ``order_col``, or without it the last label by
+    name, so reviews are never multiplied."""
+    r = results.select(F.col(id_col).cast("string").alias("_key"), F.col("sentiment_label").alias("_lab"),
+                       (F.col(order_col) if order_col else F.lit(0)).alias("_at"))
+    r = r.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.max(F.struct("_at", "_lab"))["_lab"].alias("_lab"))
     out = reviews.withColumn("_key", F.col(id_col).cast("string")).join(r, "_key", "left")
     return (out.withColumn("was_missing", F.col("_lab").isNull().cast("int"))
                .withColumn("sentiment_label", F.coalesce(F.col("_lab"), F.lit("neutral")))

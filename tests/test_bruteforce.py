@@ -113,3 +113,12 @@ def test_weight_search_against_brute_force(spark):
     acc = [((w[0] * p[0] + w[1] * p[1]).round(12).argmax(axis=1) == y).mean() for w in grid]
     assert [got[i].accuracy for i in range(len(grid))] == pytest.approx(acc)
     assert [i for i in got if got[i].is_best] == [int(np.argmax(acc))]
+
+
+def test_results_of_one_id_do_not_multiply_reviews(spark):
+    from nazar.operators import labels as L
+    reviews = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id long")
+    results = spark.createDataFrame([("1", "positive", 1), ("1", "negative", 2), ("2", None, 1), (None, "positive", 1)], "id string, sentiment_label string, at int")
+    merged = lambda **kw: sorted((str(r.id), r.sentiment_label, r.was_missing) for r in L.merge_labels(reviews, results, **kw).collect())
+    rest = [("2", "neutral", 1), ("3", "neutral", 1), ("None", "neutral", 1)]
+    assert merged() == [("1", "positive", 0), *rest] and merged(order_col="at") == [("1", "negative", 0), *rest]

@@ -90,7 +90,7 @@ def gram_sums(df: DataFrame, key: str | None, vec_col: str) -> DataFrame:
         held: dict = {}
 
         def passed():
-            cols = list(zip(*[(k, n, t.tolist(), g.ravel().tolist()) for k, (n, t, g) in held.items()], strict=True)) or [()] * 4
+            cols = list(zip(*[(k, n, t.tolist(), g.ravel().tolist()) for k, (n, t, g) in held.items()], strict=True))
             held.clear()
             return pd.DataFrame(dict(zip(["key", "n", "total", "gram"], cols, strict=True)))
 
@@ -112,7 +112,8 @@ def gram_sums(df: DataFrame, key: str | None, vec_col: str) -> DataFrame:
             size = len(held) * 8 * u.shape[1] * (u.shape[1] + 1)
             if size > HELD_GRAMS:
                 yield passed()
-        yield passed()
+        if held:
+            yield passed()
 
     src = df.select((F.col(key) if key else F.lit(0)).alias("key"), F.col(vec_col).alias("vec"))
     parts = src.mapInPandas(run, f"key {kind}, n long, total array<double>, gram array<double>")

@@ -286,6 +286,29 @@ def q_pca(spark, sf):
     return spark.createDataFrame([(i, r) for i, r in enumerate(ratios)], "component int, variance_ratio double")
 
 
+@query("kmeans_identities", "G6", """
+SELECT count(*) AS points, CAST(10 AS BIGINT) AS clusters, true AS inertia_is_sum_of_squares FROM word_vectors""", ("word_vectors",))
+def q_kmeans_identities(spark, sf):
+    assigned, sizes, cost = V.kmeans(X.word_vectors(spark, sf), k=10)
+    # Σ‖x − mean of its cluster‖² = Σ (n − 1)·variance, when the centres have settled on the means: within 1 %
+    spread = V.vector_summary(assigned, ["cluster"], "vec", "variance")
+    total = spread.agg(F.sum(F.aggregate("variance", F.lit(0.0), lambda a, x: a + x) * (F.col("count") - 1))).scalar()
+    near = F.abs(total - F.lit(float(cost))) <= 0.01 * F.lit(float(cost))
+    return sizes.agg(F.sum("size").alias("points"), F.count(F.lit(1)).alias("clusters")).withColumn("inertia_is_sum_of_squares", near)
+
+
+@query("pca_identities", "G12", """
+SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS component, true AS variance_is_explained, true AS not_above_the_one_before""")
+def q_pca_identities(spark, sf):
+    vectors = X.word_vectors(spark, sf)
+    proj, ratios = V.pca(vectors, 10)
+    whole = V.vector_summary(vectors, [], "vec", "variance").select(F.aggregate("variance", F.lit(0.0), lambda a, x: a + x)).scalar()
+    own = V.vector_summary(proj, [], "projection", "variance").select(F.posexplode("variance").alias("component", "v"))
+    ratio = F.element_at(F.array(*[F.lit(r) for r in ratios]), F.col("component") + 1)
+    before = F.element_at(F.array(*[F.lit(r) for r in [1.0, *ratios]]), F.col("component") + 1)
+    return own.select("component", (F.abs(F.col("v") / whole - ratio) < 1e-9).alias("variance_is_explained"), (ratio <= before).alias("not_above_the_one_before"))
+
+
 # ---------------------------------------------------------------- H
 
 TV_CTE = """comp AS (SELECT id, pos, mask, unnest(vec) AS val, unnest(range(0, len(vec))) AS dim FROM token_vectors)"""
@@ -407,3 +430,13 @@ def q_effective_dims(spark, sf):
             k95 = i + 1
     rows = [(i, r, k95) for i, r in enumerate(ratios[:10])]
     return spark.createDataFrame(rows, "component int, variance_ratio double, dims_for_95 int")
+
+
+@query("effective_dims_identities", "H6", """
+SELECT CAST(max(len(embedding)) AS INTEGER) AS components, 1.0::DOUBLE AS ratio_sum, true AS falling, true AS reaches_95 FROM embeddings""")
+def q_effective_dims_identities(spark, sf):
+    e = X.table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("vec"))
+    _, ratios = V.pca(e, e.select(F.max(F.size("vec"))).first()[0])
+    falling = all(a >= b for a, b in zip(ratios, ratios[1:], strict=False))
+    row = (len(ratios), round(sum(ratios), 9), falling, any(sum(ratios[:k + 1]) >= 0.95 for k in range(len(ratios))))
+    return spark.createDataFrame([row], "components int, ratio_sum double, falling boolean, reaches_95 boolean")

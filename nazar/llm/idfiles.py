@@ -24,6 +24,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -177,7 +178,7 @@ class WordEncoder:
 
     def __init__(self, data: bytes):
         self.tokenizer = vocab.tokenizer(data, False)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}  # before and after white space at an end
         mark = self._ids(self.MARK.decode())
         self.mark = int(mark[0]) if len(mark) == 1 else None
         size = self.tokenizer.get_vocab_size()
@@ -226,15 +227,27 @@ class WordEncoder:
         return True
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        data = [t.encode() for t in texts]
-        split = [(d if b"<|" in d else d.lower()).split() for d in data]
-        found = set().union(*split)
-        if len(self.known) + len(found) > HELD_WORDS:
-            self.known = {w: self.known[w] for w in found if w in self.known}
-        self._learn([w for w in found if w not in self.known])
-        # a small table of the words at hand: most look-ups stay in the processor's cache
-        at_hand = {w: self.known[w] for w in found}.__getitem__
-        return [np.frombuffer(b"".join(map(at_hand, words)), "<u4") for words in split]
+        col = pa.array(texts, pa.string())
+        col = pc.if_else(pc.match_substring(col, "<|"), col, pc.ascii_lower(col))
+        lists = pc.ascii_split_whitespace(col)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.known) + len(words) > HELD_WORDS:
+            self.known = {w: self.known[w] for w in (b"", *words) if w in self.known}
+        self._learn([w for w in words if w not in self.known])
+        found = [self.known[w] for w in words]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+        # each place's word, laid out as its run of ids
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        after = np.cumsum(n)
+        total = int(after[-1]) if len(after) else 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        first = ((np.cumsum(size) - size)[at] - (after - n)).astype(kind)
+        laid = ids[np.repeat(first, n) + np.arange(total, dtype=kind)]
+        ends = np.concatenate([[0], after])[lists.offsets.to_numpy()]
+        return [laid[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 class TextEncoder:

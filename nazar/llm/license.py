@@ -158,8 +158,23 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return own.unionByName(notices)
 
 
+def anchor_words(place: dict[str, int]) -> list[str]:
+    """Words of which a confirmed paragraph holds one: of each template so many of its rarest words
+    (``place``: a word's rank by frequency) that its n-grams without them are too few."""
+    out = set()
+    for text in (t for own in TEMPLATES.values() for t in own):
+        rest = _grams(text)
+        least = CONFIRM_OVERLAP * len(rest)
+        for w in sorted({w for w in _grams(text) if w.isalpha()}, key=lambda w: (-place.get(w, len(place)), w)):
+            if len(rest) < least:
+                break
+            out.add(w)
+            rest = [g for g in rest if w not in g.split(" ")]
+    return sorted(out)
+
+
 class Classifier:
-    """The fitted n-gram vocabulary, regression, calibrated level and prefilter words."""
+    """The fitted n-gram vocabulary, regression, calibrated level and the words a notice must hold one of."""
 
     def __init__(self, docs: DataFrame):
         rows = training_rows(docs)
@@ -179,20 +194,7 @@ class Classifier:
         best = self.predicted(rows.where("held"))
         level = best.agg(F.percentile_approx(F.when(F.col("family") == UNKNOWN, F.lit(0.0)).otherwise(F.col("p_family")), 1 - FALSE_SHARE, 10_000)).first()[0]
         self.level = max(FLOOR, level or 0.0)
-        # a paragraph is unknown if what speaks for a family in it cannot outweigh the intercepts:
-        # the commonest n-grams are left out while all of them together could not
-        weights = self.model.coefficientMatrix.toArray()
-        bias = self.model.interceptVector.toArray()
-        lead = (weights[1:] - weights[:1]).clip(min=0)
-        room = bias[0] - bias[1:]
-        place = {g: i for i, g in enumerate(self.counts.vocabulary)}  # by falling frequency
-        rarest = set()
-        for g, i in place.items():
-            if (lead[:, i] < 0.99 * room).all():
-                room = room - lead[:, i]
-            elif lead[:, i].any():
-                rarest.add(max(g.split(" "), key=lambda w: place.get(w, len(place))))
-        self.anchors = sorted(rarest) if (bias[1:] < bias[0]).all() else None
+        self.anchors = anchor_words({g: i for i, g in enumerate(self.counts.vocabulary)})  # by falling frequency
 
     def predicted(self, rows: DataFrame) -> DataFrame:
         """``rows`` (grams) with family and p_family of the likeliest class."""
@@ -211,10 +213,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     likelier one's.  An empty table gives an empty result; other columns are not read."""
     one = F.col("doc_id").cast("long").alias("doc_id")
     found = docs.select(one, paragraphs(F.col("text")).alias("ps"))
-    keep = F.col("ps")
-    if model.anchors is not None:
-        either = "|".join(re.escape(a) for a in model.anchors) or "(?!)"
-        keep = F.filter("ps", lambda p: p.rlike(f"(?i)(?<![a-z0-9])(?:{either})(?![a-z0-9])"))
+    keep = F.filter("ps", lambda p: p.rlike(f"(?i)(?<![a-z])(?:{'|'.join(model.anchors)})(?![a-z])"))
     found = tables.save(found.select("doc_id", F.size("ps").cast("long").alias("n_paragraphs"), keep.alias("ps")).withColumn("uid", F.monotonically_increasing_id()))
     rows = with_grams(found.select("uid", F.explode("ps").alias("p")))
     likely = (F.col("family") != UNKNOWN) & (F.col("p_family") >= model.level)

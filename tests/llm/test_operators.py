@@ -459,3 +459,13 @@ def test_license_notices_that_are_no_templates(spark, docs, odd):
         assert want <= set(got[r.doc_id].families.split(",")), r.doc_id
     assert got[None].n_paragraphs == got[1].n_paragraphs == 0 and lic.scan(both, model).count() == both.count()
     assert lic.scan(both.limit(0), lic.Classifier(both.limit(0))).count() == 0
+
+
+def test_confirmed_paragraphs_hold_an_anchor_word():
+    from nazar.llm import license as lic
+    anchors = set(lic.anchor_words({g: i for i, g in enumerate(["the", "of", "and", "this", "license", "software", "version"])}))
+    assert "the" not in anchors and "mit" in anchors
+    for t in (t for own in lic.TEMPLATES.values() for t in own):
+        grams = lic._grams(t)
+        without = [g for g in grams if not anchors & set(g.split(" "))]
+        assert len(without) < lic.CONFIRM_OVERLAP * len(grams), t

@@ -56,6 +56,16 @@ def test_silhouette_prunes_and_is_exact(spark, clustered, monkeypatch, block):
     assert V.silhouette(df.limit(0)).count() == 0
 
 
+def test_silhouette_without_arrow_on_the_driver(spark, clustered):
+    df, x, grp = clustered
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")  # Spark's default: toPandas gives lists
+    try:
+        got = {r.word: r.silhouette for r in V.silhouette(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert all(abs(got[f"w{i:03d}"] - w) < 1e-9 for i, w in enumerate(brute_silhouette(x, grp)))
+
+
 @pytest.mark.parametrize("block", [V.BLOCK_ROWS, 11])
 def test_pair_statistics_of_all_pairs(spark, clustered, monkeypatch, block):
     monkeypatch.setattr(V, "BLOCK_ROWS", block)

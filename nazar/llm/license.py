@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nazar.llm import tables
+from nazar.operators.common import computed
 
 #: Notices of the licence families (statements, standard headers, short forms, SPDX lines).
 TEMPLATES = {
@@ -205,6 +206,17 @@ class Classifier:
                 .withColumn("p_family", F.array_max("pp")).drop("x", "rawPrediction", "probability", "prediction", "pp"))
 
 
+def confirmed(best: DataFrame) -> DataFrame:
+    """p, family: those of ``best`` that the family's templates confirm, no other family's being nearer;
+    equal paragraphs are compared once.  The templates' lambda reads a computed column: it would run
+    an expression once a template."""
+    rows = with_grams(best.select("p", "family").distinct())
+    rows = computed(rows.select("p", "family", F.inline_outer(F.array(F.struct("grams")))), "os", _overlaps(F.col("grams"), _templates()))
+    nearest = F.array_max(F.transform("os", lambda x: x["o"]))
+    nearest_own = F.array_max(F.transform("os", lambda x: F.when(x["f"] == F.col("family"), x["o"])))
+    return rows.where((nearest_own >= CONFIRM_OVERLAP) & (nearest_own >= nearest)).select("p", "family")
+
+
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, families (sorted, comma-joined), confidence (the highest;
     0 without a licence): one row a document, over all paragraphs (lines, hard-wrapped ones joined)
@@ -219,12 +231,8 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     likely = (F.col("family") != UNKNOWN) & (F.col("p_family") >= model.level)
     # n-grams are many times a paragraph's size: the paragraph is kept instead, if it goes further
     best = model.predicted(rows).select("uid", F.when(likely, F.col("p")).alias("p"), "family", "p_family")
-    best = with_grams(tables.save(best).where("p is not null"))
-    # no other family's template may be nearer than the predicted one's
-    best = best.select("uid", "family", "p_family", _overlaps(F.col("grams"), _templates()).alias("os"))
-    nearest = F.array_max(F.transform("os", lambda x: x["o"]))
-    nearest_own = F.array_max(F.transform("os", lambda x: F.when(x["f"] == F.col("family"), x["o"])))
-    per = best.where((nearest_own >= CONFIRM_OVERLAP) & (nearest_own >= nearest)).groupBy("uid").agg(F.count("*").alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("p_family").alias("confidence"))
+    best = tables.save(best).where("p is not null")
+    per = best.join(confirmed(best), ["p", "family"], "left_semi").groupBy("uid").agg(F.count("*").alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.max("p_family").alias("confidence"))
     out = found.drop("ps").join(per, "uid", "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).cast("long").alias("n_licensed"),
                       F.coalesce("families", F.lit("")).alias("families"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

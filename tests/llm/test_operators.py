@@ -469,3 +469,25 @@ def test_confirmed_paragraphs_hold_an_anchor_word():
         grams = lic._grams(t)
         without = [g for g in grams if not anchors & set(g.split(" "))]
         assert len(without) < lic.CONFIRM_OVERLAP * len(grams), t
+
+
+def test_license_paragraphs_are_confirmed_once(spark):
+    """A notice that stands in every document: its n-grams are made once, not in each template's lambda."""
+    from nazar.llm import license as lic
+
+    class Model:
+        anchors, level = ["license", "reserved", "licensed"], 0.5
+
+        def predicted(self, rows):
+            from pyspark.sql import functions as F
+            family = F.when(F.col("p").contains("MIT"), "mit").when(F.col("p").contains("Zlib"), "gpl-3.0").otherwise("proprietary")
+            return rows.withColumn("family", family).withColumn("p_family", F.lit(0.9))
+
+    rows = [(i, "Licensed under the MIT License.\nall rights reserved.\n" + f"word {i}") for i in range(40)]
+    rows += [(None, "Licensed under the MIT License.\nLicensed under the MIT License."), (5, None), (6, "a license of Zlib\nreserved seats")]
+    out = lic.scan(spark.createDataFrame(rows, "doc_id long, text string"), Model())
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = [(i, 3, 2, "mit,proprietary", 0.9) for i in range(40)] + [(None, 2, 2, "mit", 0.9), (5, 0, 0, "", 0.0), (6, 2, 0, "", 0.0)]
+    assert got == sorted(want, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("array_intersect(") == 1

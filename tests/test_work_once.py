@@ -106,3 +106,38 @@ def test_vocabulary_bounds_are_counts_and_terms_are_dropped(spark):
     again = {r.id: r.features for r in model.transform(df).collect()}
     assert all(again[r.id] == r.features for r in seen.collect())
     assert re.search("gamma", " ".join(tf.vocabulary))
+
+
+def test_texts_are_cleaned_once_for_index_and_readers(spark, monkeypatch):
+    """The word index and what is looked up in it read the same tokens."""
+    from nazar.plans import q_vectors as QV
+
+    calls, plain = [], QV.review_tokens
+    monkeypatch.setattr(QV, "review_tokens", lambda s, d: calls.append(d) or plain(s, d))
+    for q in (QV.q_embedding_coverage, QV.q_encode_sequences, QV.q_lookup_vector, QV.q_vocab_coverage):
+        calls.clear()
+        q(spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1, q.__name__
+
+
+def test_whitespace_and_tokens_as_python_has_them(spark):
+    """Every white space character, alone, in runs and beside punctuation, as ``str.split`` has it."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from nazar.functions import patterns as P
+    from nazar.functions import text as T
+
+    space = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()]
+    rows = [f"{c}ab{c}{c}cd {c}ef,{c}gh؟ij{c}" for c in [*space, "​", "᠎", "﻿", "\n\n", " ", "  "]] + ["", " ", None, "\n", "..", "a"]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, c string")
+    q = d.select("id", T.normalize_whitespace(F.col("c")).alias("w"), T.tokenize(F.col("c")).alias("t"))
+    cut = P.PUNCTUATION[:-1] + P.PERSIAN_PUNCTUATION[1:-1] + "]"
+    for i, w, t in q.collect():
+        r = rows[i]
+        assert w == (r if r is None else " ".join(r.split()))
+        assert t == (r if r is None else [x for x in re.sub(cut, " ", r).split() if 2 <= len(x) <= 50])
+    # line feeds, the common case, are no work for a regular expression
+    plan = d.select(T.normalize_whitespace(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(c" in plan and "regexp_replace(c" not in plan

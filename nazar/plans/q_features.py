@@ -126,8 +126,7 @@ def _char_terms_sql():
                                             max_df=1.0, max_features=5000, sublinear=False), ("reviews",))
 def q_char_ngram_vocab(spark, sf):
     r = X.reviews(spark, sf)
-    docs = TF.with_char_terms(r, T.clean_text(F.col("comment"), "medium", EMO), 2, 4)
-    vocab, _ = TF.fit_tfidf(docs, max_df=1.0, max_features=5000, sublinear=False, weigh=False)
+    vocab = TF.char_vocab(r, T.clean_text(F.col("comment"), "medium", EMO), 2, 4, max_df=1.0, max_features=5000)
     return vocab.select("term", "df", "cf", "idx")
 
 

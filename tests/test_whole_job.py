@@ -1,6 +1,7 @@
 """What an operator names is all there, and what grows with the data stays in pieces."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from nazar.llm import ann
 from nazar.operators import vectors as V
@@ -33,3 +34,23 @@ def test_shards_and_queries_of_nearest_neighbours_are_not_multiplied(spark, monk
     monkeypatch.setattr(ann, "HELD_NUMBERS", 40)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
     assert rows == sorted(map(tuple, ann.search(vec, asked, k=3, shard_rows=64).collect()))
+
+
+def test_silhouette_multiplies_no_rows(spark, monkeypatch):
+    """Points stream past the clusters' files; equal rows, far offsets and single points are exact."""
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(size=(40, 3)), np.ones((4, 3)), [[9.0, 9.0, 9.0]]] + 1e4
+    g = np.r_[rng.integers(0, 2, 40), [0, 0, 1, 1], 2]
+    d = spark.createDataFrame([(f"w{i}", v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, g, strict=True))], "word string, vec array<double>, grp int").repartition(3)
+    monkeypatch.setattr(V, "SLAB", 7)
+    s = V.silhouette(d)
+    assert "Join" not in plan(s) and "explode" not in plan(s)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for r in s.collect():
+        i = int(r.word[1:])
+        own = (g == g[i]) & (np.arange(len(x)) != i)
+        a, b = dist[i, own].mean() if own.any() else None, min(dist[i, g == c].mean() for c in set(g) - {g[i]})
+        assert abs(r.silhouette - (0.0 if a is None else (b - a) / max(a, b))) < 1e-9
+    same = spark.createDataFrame([("a", [1.0], 0), ("b", [1.0], 0)], "word string, vec array<double>, grp int")
+    assert [r.silhouette for r in V.silhouette(same).collect()] == [0.0, 0.0]
+    assert [r.silhouette for r in V.silhouette(same.withColumn("vec", F.array(F.ascii("word").cast("double")))).collect()] == [None, None]
